@@ -49,8 +49,9 @@ def compare(spark, con, name: str, fn, sql: str | None, sf_dir: str) -> tuple[bo
     theirs = canonical(tuple(r[i] for i in order) for r in rel.fetchall())
     notes = [f"{c}: {ours_types[c]} vs {theirs_types[c]}" for c in cols if TYPES.get(ours_types[c]) != theirs_types[c]]
     if ours != theirs:
-        a = [r for r in ours if r not in set(theirs)][:3]
-        b = [r for r in theirs if r not in set(ours)][:3]
+        in_ours, in_theirs = set(ours), set(theirs)
+        a = [r for r in ours if r not in in_theirs][:3]
+        b = [r for r in theirs if r not in in_ours][:3]
         return False, f"{len(ours)} vs {len(theirs)} rows {cols}\n   ours {a}\n   sql  {b}"
     return not notes and bool(ours), f"{len(ours)} rows" + (f" TYPES {notes}" if notes else "")
 

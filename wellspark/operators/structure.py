@@ -233,7 +233,7 @@ def split_cells(line: Column, delimiter: Column) -> Column:
     for d in reversed(DELIMITERS):
         quoted = F.when(delimiter == d, quoted_split(line, d)).otherwise(quoted)
     parts = F.when(~F.contains(line, F.lit('"')), plain_split(line, delimiter)).otherwise(quoted)
-    return F.transform(parts, F.trim)
+    return F.transform(parts, lambda x: F.trim(x))
 
 
 def to_cells(lines: DataFrame, delimiters: DataFrame, keep_short: bool = True) -> DataFrame:
@@ -284,7 +284,7 @@ def empty_plates(failed: DataFrame) -> DataFrame:
 
 def duplicate_headers(lines: DataFrame) -> DataFrame:
     """Whether the comma-separated first line repeats a name."""
-    names = F.transform(F.split(F.trim("line"), ","), F.trim)
+    names = F.transform(F.split(F.trim("line"), ","), lambda x: F.trim(x))
     return lines.filter(F.col("line_no") == 0).select(
         "file", (F.size(names) != F.size(F.array_distinct(names))).alias("duplicate_headers")
     )

@@ -62,8 +62,8 @@ def txt_05(spark, sf):
 
 view("header_view", """
 SELECT file, coalesce(min(CASE WHEN n > 4 AND k > n * 0.5 THEN line_no END), 1) AS header_rows
-FROM (SELECT file, line_no, len(p) AS n, len(list_filter(p, x -> regexp_matches(x, '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$'))) AS k
-      FROM (SELECT file, line_no, list_filter(regexp_split_to_array(replace(line, ',', '.'), '\\s+'), x -> x <> '') AS p FROM clean_lines WHERE line_no < 10))
+FROM (SELECT file, line_no, len(p) AS n, len(list_filter(p, lambda x: regexp_matches(x, '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$'))) AS k
+      FROM (SELECT file, line_no, list_filter(regexp_split_to_array(replace(line, ',', '.'), '\\s+'), lambda x: x <> '') AS p FROM clean_lines WHERE line_no < 10))
 GROUP BY file""")
 
 
@@ -90,7 +90,7 @@ def txt_08(spark, sf):
 
 view("starts", """
 SELECT file, coalesce(min(CASE WHEN n = 12 AND k > 8.4 THEN line_no END), any_value(header_rows)) AS data_start
-FROM (SELECT file, line_no, len(p) AS n, len(list_filter(p, x -> regexp_matches(trim(CASE WHEN contains(x, ',') AND NOT contains(x, '.') THEN replace(x, ',', '.') ELSE x END), '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$'))) AS k
+FROM (SELECT file, line_no, len(p) AS n, len(list_filter(p, lambda x: regexp_matches(trim(CASE WHEN contains(x, ',') AND NOT contains(x, '.') THEN replace(x, ',', '.') ELSE x END), '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$'))) AS k
       FROM (SELECT file, line_no, string_split(line, delimiter) AS p FROM clean_lines JOIN detected USING (file) WHERE regexp_matches(line, '\\S')))
 JOIN header_view USING (file) GROUP BY file""")
 
@@ -203,7 +203,7 @@ def txt_15(spark, sf):
 
 @query("txt_16_duplicate_headers", """
 SELECT file, len(p) <> len(list_distinct(p)) AS duplicate_headers
-FROM (SELECT file, list_transform(string_split(trim(line), ','), x -> trim(x)) AS p FROM clean_lines WHERE line_no = 0)""")
+FROM (SELECT file, list_transform(string_split(trim(line), ','), lambda x: trim(x)) AS p FROM clean_lines WHERE line_no = 0)""")
 def txt_16(spark, sf):
     return st.duplicate_headers(_clean(spark, sf))
 

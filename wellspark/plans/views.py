@@ -43,8 +43,10 @@ def delimiter_of(plate: Column) -> Column:
 
 
 view("plate_rows", """
-SELECT plate, r, d, string_agg(CASE WHEN plate % 4 = 1 THEN replace(printf('%.2f', v), '.', ',') ELSE printf('%.2f', v) END, d ORDER BY c) AS line
-FROM grid JOIN delims USING (plate) GROUP BY plate, r, d""")
+SELECT plate, r, d, CASE d WHEN ',' THEN string_agg(x, ',' ORDER BY c) WHEN ';' THEN string_agg(x, ';' ORDER BY c)
+  WHEN '|' THEN string_agg(x, '|' ORDER BY c) ELSE string_agg(x, chr(9) ORDER BY c) END AS line
+FROM (SELECT *, CASE WHEN plate % 4 = 1 THEN replace(printf('%.2f', v), '.', ',') ELSE printf('%.2f', v) END AS x FROM grid) JOIN delims USING (plate)
+GROUP BY plate, r, d""")
 
 view("raw_lines", """
 SELECT 'plate_' || plate || '.csv' AS file, 0::BIGINT AS line_no,
