@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -14,6 +15,14 @@ ISO_DATE = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
 EXTRA_TIME_FORMATS = ["MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm", "MM/dd/yyyy", "dd.MM.yyyy HH:mm:ss", "yyyy/MM/dd HH:mm:ss"]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it.
+
+    Without it every mention repeats the whole expression tree.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def col_(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
