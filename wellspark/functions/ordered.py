@@ -118,3 +118,21 @@ def count_since_reset(
         .withColumn(out, F.sum("__f").over(in_group) + F.when(F.col("__g") == 0, F.col(_CARRY)).otherwise(F.lit(0)))
         .drop(_CHUNK, _CARRY, "__f", "__s", "__g")
     )
+
+
+def sessionize(df: DataFrame, keys: Sequence[str], at: str, tie: str, gap_seconds: int, chunk_seconds: int = 3600) -> DataFrame:
+    """Activity sessions: a row starts one when nothing happened in the gap before it.
+
+    The previous time comes from the same chunk, or from the last earlier chunk;
+    sessions are then summed with partial aggregation, never collected.
+    """
+    data = df.select(*keys, at, tie).withColumn(_CHUNK, time_chunk(at, chunk_seconds))
+    ends = data.groupBy(*keys, _CHUNK).agg(F.max(at).alias("__last"))
+    before = W.partitionBy(*keys).orderBy(_CHUNK)
+    carried = ends.select(*keys, _CHUNK, F.lag("__last").over(before).alias(_CARRY))
+    inside = W.partitionBy(*keys, _CHUNK).orderBy(at, tie)
+    previous = F.coalesce(F.lag(at).over(inside), F.col(_CARRY))
+    silent = F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(previous.cast("timestamp"))
+    marked = _attach(data, carried, keys).withColumn("__start", F.when(previous.isNull() | (silent >= gap_seconds * 1_000_000), F.col(at)))
+    filled = fill_forward(marked.drop(_CHUNK, _CARRY), keys, [at, tie], time_chunk(at, chunk_seconds), {"created_at": F.col("__start")})
+    return filled.groupBy(*keys, "created_at").agg(F.max(at).alias("last_activity"), F.count(F.lit(1)).alias("n_events"))
