@@ -14,8 +14,9 @@ CLOSED = "(SELECT max(ts) FROM events)"
 
 
 @query("str_01_daily_counters", f"""
-SELECT date_trunc('day', ts) AS window_start, c_nationkey::BIGINT AS organization_id, event_type AS metric_type, count(*) AS event_count, round(sum(value), 2) AS total_value
-FROM events JOIN customer ON c_custkey = user_id GROUP BY ALL HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= {CLOSED} - INTERVAL 1 DAY""".replace("HAVING date_trunc('day', ts)", "HAVING window_start"))
+SELECT window_start, organization_id, metric_type, count(*) AS event_count, round(sum(value), 2) AS total_value
+FROM (SELECT date_trunc('day', ts) AS window_start, c_nationkey::BIGINT AS organization_id, event_type AS metric_type, value FROM events JOIN customer ON c_custkey = user_id)
+WHERE window_start + INTERVAL 1 DAY <= {CLOSED} - INTERVAL 1 DAY GROUP BY window_start, organization_id, metric_type""")
 def str_01(spark, sf):
     out = ev.run_available(ev.daily_counters(ev.read_events(spark, sf), users(spark, sf)), "daily-counters")
     return out.withColumn("total_value", F.round("total_value", 2))

@@ -45,7 +45,7 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     this machine; on a cluster a missing setting is an error, since executors
     would not see each other's files.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")

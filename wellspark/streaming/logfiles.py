@@ -12,10 +12,10 @@ from wellspark.sources.files import to_lines
 
 def watch_folder(spark: SparkSession, folder: str, glob: str = "*.txt", files_per_batch: int | None = None) -> DataFrame:
     """One row per arriving file: its path and whole text (log files are at most 50 MB)."""
-    reader = spark.readStream.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", True)
+    reader = spark.readStream.option("pathGlobFilter", glob).option("recursiveFileLookup", True)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.text(folder).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    return reader.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
 def parse_batch(texts: DataFrame) -> DataFrame:
