@@ -112,10 +112,11 @@ def test_type_vote_keeps_lost_text_when_asked(spark):
 
 
 def test_column_limit_is_an_error(spark):
-    timed = spark.createDataFrame([(["t", "a", "b"], 0)], "names array<string>, ts_col int")
-    assert lg.column_names(timed) == ["a", "b"]
+    names = spark.createDataFrame([("f_log.csv", ["t", "a", "b"])], "file string, names array<string>")
+    times = spark.createDataFrame([("f_log.csv", 0)], "file string, ts_col int")
+    assert lg.column_names(names, times) == ["f_a", "f_b"] and lg.column_names(names, times, prefix=False) == ["a", "b"]
     with pytest.raises(ValueError):
-        lg.column_names(timed, limit=1)
+        lg.column_names(names, times, limit=1)
 
 
 def brute_force_lock(rows):

@@ -1,0 +1,16 @@
+"""Spreading inputs that arrive in too few pieces."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Repartition by a unique key when the scan has fewer splits than the cluster has slots.
+
+    For work that is heavy per row.  A large table has many splits and is left
+    alone, so nothing is shuffled at scale; the hash of a unique key has no hot
+    value and gives the same layout when a task is repeated.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots, key)

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from wellspark.functions.ordered import fill_forward, int_chunk, number_rows
 from wellspark.functions.values import contains_any, null_token, parse_time, to_num
-from wellspark.operators.structure import not_blank, split_cells
+from wellspark.operators.structure import not_blank, split_cells, to_rows
+from wellspark.session import settle
 
 # Names of time columns, columns that get no file prefix, and the typing threshold.
 TIME_NAMES = ["timestamp", "time", "datetime", "date_time", "created_at", "updated_at", "event_time", "log_time", "recorded_at"]
@@ -20,27 +21,38 @@ STANDARD_COLUMNS = ["timestamp", "source_file", "timestamp_source", "confidence_
 NUMERIC_SHARE = 0.7
 
 
-def first_values(cells: DataFrame, k: int) -> DataFrame:
-    """The first ``k`` non-missing cells of each column; limited in each task before the shuffle."""
-    rank = F.row_number().over(W.partitionBy("file", "col").orderBy("row"))
+def first_values(cells: DataFrame, k: int, head_rows: int = 1000) -> DataFrame:
+    """The first ``k`` non-missing cells of each column.
+
+    Columns that reach ``k`` values in the first ``head_rows`` rows are settled
+    there.  Only the others are looked for further down, so the bulk of a long
+    file is neither sorted nor shuffled; no row is left out for it.
+    """
     known = cells.withColumn("cell", null_token("cell")).filter(F.col("cell").isNotNull())
-    return known.withColumn("k", rank).filter(F.col("k") <= k)
+    head, rest = known.filter(F.col("row") < head_rows), known.filter(F.col("row") >= head_rows)
+    done = head.groupBy("file", "col").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).select("file", "col")
+    rank = F.row_number().over(W.partitionBy("file", "col").orderBy("row"))
+    wanted = head.unionByName(rest.join(done, ["file", "col"], "left_anti").select(*head.columns))
+    return wanted.withColumn("k", rank).filter(F.col("k") <= k)
 
 
-def time_column(cells: DataFrame) -> DataFrame:
-    """``(file, ts_col, ts_name, step)``: by exact name, by name and content, then by content of the first three."""
-    low = F.lower(F.trim("name"))
-    names = cells.select("file", "col", "name").distinct()
-    head = first_values(cells, 5).groupBy("file", "col").agg(
-        F.count(F.lit(1)).alias("n"), F.count(parse_time("cell")).alias("parsed")
+def time_step(low: Column, col: Column, n: Column, parsed: Column) -> Column:
+    """1 by exact name, 2 by name and all sampled values, 3 by any sampled value in the first three columns."""
+    return (
+        F.when(low.isin(TIME_NAMES), 1).when(contains_any(low, TIME_PIECES) & (n > 0) & (parsed == n), 2).when((col < 3) & (parsed > 0), 3)
     )
-    known = names.join(head, ["file", "col"], "left")
-    step = (
-        F.when(low.isin(TIME_NAMES), 1)
-        .when(contains_any(low, TIME_PIECES) & (F.col("n") > 0) & (F.col("parsed") == F.col("n")), 2)
-        .when((F.col("col") < 3) & (F.col("parsed") > 0), 3)
-    )
-    best = known.withColumn("step", step).filter(F.col("step").isNotNull())
+
+
+def time_column(cells: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """``(file, ts_col, ts_name, step)``: by exact name, by name and content, then by content of the first three.
+
+    ``names`` (``file, col, name``) saves collecting the names from the cells.
+    """
+    if names is None:
+        names = cells.groupBy("file", "col").agg(F.min("name").alias("name"))
+    head = first_values(cells, 5).groupBy("file", "col").agg(F.count(F.lit(1)).alias("n"), F.count(parse_time("cell")).alias("parsed"))
+    step = time_step(F.lower(F.trim("name")), F.col("col"), F.col("n"), F.col("parsed"))
+    best = names.join(head, ["file", "col"], "left").withColumn("step", step).filter(F.col("step").isNotNull())
     return best.groupBy("file").agg(F.min(F.struct("step", "col", "name")).alias("m")).select(
         "file", F.col("m.col").alias("ts_col"), F.col("m.name").alias("ts_name"), F.col("m.step").alias("step")
     )
@@ -48,17 +60,32 @@ def time_column(cells: DataFrame) -> DataFrame:
 
 def log_rows(lines: DataFrame, delimiters: DataFrame) -> DataFrame:
     """``(file, row, cells)`` with one array per line."""
-    rows = lines.filter(not_blank()).join(delimiters.select("file", "delimiter"), "file")
-    return rows.select("file", F.col("line_no").alias("row"), split_cells(F.col("line"), F.col("delimiter")).alias("cells"))
+    return to_rows(lines, delimiters)
 
 
 def header_names(rows: DataFrame, annotation: DataFrame) -> DataFrame:
     """``(file, names)``; a missing name is ``col_i``."""
-    head = rows.join(annotation.select("file", "header_row"), "file").filter(F.col("row") == F.col("header_row"))
+    head = rows.join(annotation.select("file", F.col("header_row").alias("row")), ["file", "row"])
     named = F.transform("cells", lambda c, i: F.when(c == "", F.concat(F.lit("col_"), i.cast("string"))).otherwise(c))
     return head.select("file", named.alias("names"))
 
 
+def data_cells(rows: DataFrame, annotation: DataFrame, names: DataFrame) -> DataFrame:
+    """Named cells of the data rows, opened from the row arrays."""
+    data = rows.join(annotation.select("file", "data_start"), "file").filter(F.col("row") >= F.col("data_start")).join(names, "file")
+    pairs = F.transform("cells", lambda c, i: F.struct(i.cast("int").alias("col"), F.coalesce(F.get(F.col("names"), i), F.concat(F.lit("col_"), i.cast("string"))).alias("name"), c.alias("cell")))
+    return data.select("file", "row", F.inline(pairs))
+
+
+def file_facts(lines: DataFrame, delimiters: DataFrame, annotation: DataFrame) -> DataFrame:
+    """``(file, delimiter, data_start, names, ts_col)``: all that is needed to read a file, settled as one small table."""
+    known = settle(annotation.join(delimiters.select("file", "delimiter"), "file"), "log-annotation")
+    rows = log_rows(lines, known)
+    names = settle(header_names(rows, known), "log-names")
+    times = time_column(data_cells(rows, known, names), names.select("file", F.posexplode("names").alias("col", "name")))
+    return settle(known.join(names, "file").join(times.select("file", "ts_col"), "file").select("file", "delimiter", "data_start", "names", "ts_col"), "log-facts")
+
+
 def file_prefix(file: Column) -> Column:
     """File name without ending and without the usual ``_log`` and ``_data`` parts."""
     out = file
@@ -71,17 +98,14 @@ def prefixed(file: Column, name: Column) -> Column:
     return F.when(name.isin(STANDARD_COLUMNS), name).otherwise(F.concat(file_prefix(file), F.lit("_"), name))
 
 
-def with_time(rows: DataFrame, annotation: DataFrame, names: DataFrame, times: DataFrame, prefix: bool = True) -> DataFrame:
+def with_time(lines: DataFrame, facts: DataFrame, prefix: bool = True) -> DataFrame:
     """Data rows with their parsed time and column names (prefixed by file if asked)."""
-    data = (
-        rows.join(annotation.select("file", "data_start"), "file").filter(F.col("row") >= F.col("data_start"))
-        .join(names, "file").join(times.select("file", "ts_col"), "file")
-    )
+    data = lines.filter(not_blank()).join(facts, "file").filter(F.col("line_no") >= F.col("data_start"))
+    data = data.withColumn("cells", split_cells(F.col("line"), F.col("delimiter")))
     stamp = F.get(F.col("cells"), F.col("ts_col"))
     shown = F.transform("names", lambda n: prefixed(F.col("file"), n)) if prefix else F.col("names")
     return data.select(
-        F.col("file").alias("source_file"), F.col("row").alias("line_no"), parse_time(stamp).alias("timestamp"), stamp.alias("raw_timestamp"),
-        "ts_col", shown.alias("names"), "cells",
+        F.col("file").alias("source_file"), F.col("line_no"), parse_time(stamp).alias("timestamp"), stamp.alias("raw_timestamp"), "ts_col", shown.alias("names"), "cells",
     )
 
 
@@ -105,12 +129,14 @@ def to_long(timed: DataFrame, source: str = "original") -> DataFrame:
     return timed.select("source_file", "line_no", "timestamp", F.lit(source).alias("timestamp_source"), F.inline(pairs)).drop("i")
 
 
-def column_names(timed: DataFrame, limit: int = 5000) -> list[str]:
-    """Sorted union of value column names over all files; too many is an error, never a cut."""
-    pairs = F.filter(F.transform("names", lambda n, i: F.struct(i.alias("i"), n.alias("n"))), lambda p: p["i"] != F.col("ts_col"))
-    # One row per distinct header, so the explode runs over headers and not over data.
-    heads = timed.select("names", "ts_col").distinct()
-    found = [r[0] for r in heads.select(F.inline(pairs)).select("n").distinct().limit(limit + 1).collect()]
+def column_names(facts: DataFrame, prefix: bool = True, limit: int = 5000) -> list[str]:
+    """Sorted union of value column names, from the headers of all files and not from their data.
+
+    Too many is an error, never a cut.
+    """
+    shown = prefixed(F.col("file"), F.col("n")) if prefix else F.col("n")
+    heads = facts.select("file", "ts_col", F.posexplode("names").alias("i", "n")).filter(F.col("i") != F.col("ts_col"))
+    found = [r[0] for r in heads.select(shown.alias("n")).distinct().limit(limit + 1).collect()]
     if len(found) > limit:
         raise ValueError(f"more than {limit} columns; keep the long form")
     return sorted(found)

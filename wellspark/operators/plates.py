@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wellspark.functions.ordered import fill_forward, int_chunk
 from wellspark.functions.values import null_token, to_num
+from wellspark.operators.structure import not_blank, split_cells
 
 # Well formats, the id used when a plate has none, and the id patterns in order.
 FORMATS = {96: (8, 12, r"^[A-H]([1-9]|1[0-2])$"), 384: (16, 24, r"^[A-P]([1-9]|1[0-9]|2[0-4])$")}
@@ -53,6 +54,23 @@ def cut_blocks(cells: DataFrame, annotation: DataFrame) -> DataFrame:
     )
 
 
+def cut_lines(lines: DataFrame, facts: DataFrame) -> DataFrame:
+    """``correct_end_row`` and ``cut_blocks`` in one pass over raw lines.
+
+    ``facts`` is the annotation with the delimiter of each file.  Whether row 8
+    extends a 1..7 block shows in that row's own array, so neither a second pass
+    over the cells nor an aggregate is needed.
+    """
+    extra = [c for c in facts.columns if c not in ("file", "start_row", "end_row", "start_col", "end_col", "delimiter", "score")]
+    near = lines.filter(not_blank()).join(facts, "file").filter(F.col("line_no").between(F.col("start_row"), F.greatest(F.col("end_row"), F.lit(8))))
+    part = F.slice(split_cells(F.col("line"), F.col("delimiter")), F.col("start_col") + 1, F.col("end_col") - F.col("start_col") + 1)
+    eighth = (F.col("start_row") == 1) & (F.col("end_row") == 7) & (F.col("line_no") == 8) & F.exists("part", lambda c: null_token(c).isNotNull())
+    inside = (F.col("line_no") <= F.col("end_row")) | eighth
+    return near.withColumn("part", part).filter(inside).select(
+        "file", *extra, (F.col("line_no") - F.col("start_row")).cast("int").alias("r"), F.posexplode("part").alias("c", "cell")
+    )
+
+
 def grid_to_wells(block: DataFrame, value: str) -> DataFrame:
     """One row per well: ``plate_id``, ``well_id``, the trimmed text and its number."""
     text = null_token("cell")

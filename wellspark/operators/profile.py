@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from wellspark.functions.values import contains_any, null_token, parse_time, to_num
-from wellspark.operators.logs import first_values, time_column
+from wellspark.operators.logs import first_values, time_step
 
 # Name pieces, unit pieces and thresholds of the complexity tests.
 TIME_LIKE = ["time", "timestamp", "datetime", "date"]
@@ -35,14 +35,15 @@ def column_flags(cells: DataFrame) -> DataFrame:
     embedded = (F.contains(cell, F.lit("T")) & F.contains(cell, F.lit("Z"))) | (F.contains(cell, F.lit("at 20")) & F.contains(cell, F.lit(":")))
     odd = contains_any(cell, ZONES) | ((F.length(cell) > 10) & cell.rlike("[0-9]") & parse_time("cell").isNull())
     units = contains_any(cell, SYMBOLS) | contains_any(F.upper(cell), UNITS)
+    in5 = F.col("k") <= 5
     head = first_values(cells, 10).groupBy("file", "col").agg(
-        F.count(F.lit(1)).alias("n10"), F.count_if(looks_numeric).alias("num10"), F.max(in3 & embedded).alias("embedded"),
+        F.count_if(in5).alias("n5"), F.count(F.when(in5, parse_time("cell"))).alias("parsed5"), F.count(F.lit(1)).alias("n10"), F.count_if(looks_numeric).alias("num10"), F.max(in3 & embedded).alias("embedded"),
         F.max(in3 & to_num("cell").between(EPOCH_LOW, EPOCH_HIGH)).alias("epoch_values"), F.max(in3 & odd).alias("odd_values"), F.max(in3 & units).alias("unit_values"),
     )
     is_text = F.col("n_numeric") < F.col("n_known")
     false = F.lit(False)
     return stats.join(head, ["file", "col"], "left").select(
-        "file", "col", "name", "n_known",
+        "file", "col", "name", "n_known", time_step(F.lower(F.trim("name")), F.col("col"), F.col("n5"), F.col("parsed5")).alias("step"),
         contains_any(low, TIME_LIKE).alias("time_like"), contains_any(low, SUSPICIOUS).alias("suspicious"), F.col("name").rlike(r"[^\x00-\x7F]").alias("non_ascii"),
         F.coalesce(is_text & (F.col("n10") > 5) & (F.least(F.col("num10"), F.col("n10") - F.col("num10")) >= 2), false).alias("mixed"),
         F.coalesce(is_text & F.col("embedded"), false).alias("embedded"),
@@ -56,31 +57,31 @@ def row_flags(cells: DataFrame) -> DataFrame:
     rows = cells.groupBy("file", "row").agg(
         F.count(null_token("cell")).alias("filled"), F.max(F.trim("cell").startswith("#")).alias("comment")
     )
-    total = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n_rows"))
     rank = F.row_number().over(W.partitionBy("file").orderBy("row"))
     head = rows.withColumn("k", rank).filter(F.col("k") <= 5)
     first = head.groupBy("file").agg(F.max("comment").alias("comment_cells"), F.min("filled").alias("least_filled"))
+    # Every row has a cell in column 0, so rows are counted without grouping by row again.
+    total = cells.filter(F.col("col") == 0).groupBy("file").agg(F.count(F.lit(1)).alias("n_rows"))
     return total.join(first, "file")
 
 
 def profile_files(cells: DataFrame) -> DataFrame:
     """All flags of every file, ``needs_annotation`` and ``is_standard``."""
-    cols = column_flags(cells).join(row_flags(cells).select("file", "n_rows"), "file")
-    by_file = cols.groupBy("file").agg(
-        F.count(F.lit(1)).alias("n_cols"),
+    time = F.when(F.col("step").isNotNull(), F.struct("step", "col", "name"))
+    by_file = column_flags(cells).groupBy("file").agg(
+        F.count(F.lit(1)).alias("n_cols"), F.min("n_known").alias("least_known"), F.min(time).alias("time"),
         (F.count_if("time_like") > 1).alias("many_time_columns"), (F.count_distinct("name") < F.count(F.lit(1))).alias("duplicate_names"),
-        F.max(F.col("n_known") / F.col("n_rows") < 0.5).alias("mostly_missing_column"), F.max("mixed").alias("mixed_types"),
-        (F.count_if("suspicious") > 2).alias("suspicious_names"), (F.count(F.lit(1)) > 100).alias("very_wide"),
+        F.max("mixed").alias("mixed_types"), (F.count_if("suspicious") > 2).alias("suspicious_names"), (F.count(F.lit(1)) > 100).alias("very_wide"),
         F.max("embedded").alias("embedded_timestamps"), F.max("epoch").alias("epoch_column"), F.max("odd").alias("odd_time_format"),
         F.max("non_ascii").alias("non_ascii_names"), F.max("units").alias("units_in_values"),
     )
-    both = by_file.join(row_flags(cells), "file")
+    both = by_file.join(row_flags(cells), "file").withColumn("mostly_missing_column", F.col("least_known") / F.col("n_rows") < 0.5)
     both = both.withColumn("transposed", (F.col("n_rows") <= 2) & (F.col("n_cols") > 10)).withColumn(
         "irregular_rows", (F.col("n_rows") > 5) & (F.col("least_filled") < F.col("n_cols") * 0.5)
     )
     needs = F.lit(False)
     for flag in FLAGS:
         needs = needs | F.coalesce(F.col(flag), F.lit(False))
-    both = both.join(time_column(cells), "file", "left").withColumn("needs_annotation", needs)
+    both = both.withColumn("needs_annotation", needs).withColumn("ts_col", F.col("time.col")).withColumn("ts_name", F.col("time.name"))
     standard = ~F.col("needs_annotation") & F.col("ts_col").isNotNull() & (F.col("n_cols") >= 2) & (F.col("n_rows") > 0)
     return both.select("file", "n_rows", "n_cols", *FLAGS, "needs_annotation", "ts_col", "ts_name", standard.alias("is_standard"))

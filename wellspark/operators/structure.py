@@ -7,9 +7,9 @@ aggregates move a bounded number of rows whatever the file size.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from wellspark.functions.values import count_of, is_num
+from wellspark.functions.values import count_of, is_num, let
 
 # Candidate delimiters in tie order, and words that end a data block.
 DELIMITERS = [",", ";", "\t", "|"]
@@ -61,37 +61,49 @@ def _candidates(lines: DataFrame, delimiters: list[str]) -> DataFrame:
     return lines.select("file", "line_no", F.inline(F.array(*options)))
 
 
+def mode_of(values: Column) -> Column:
+    """``STRUCT<n, value>`` of the most frequent number of a short array; the smaller value wins a tie."""
+    counted = F.transform(
+        F.array_distinct(values), lambda v: F.struct(F.size(F.filter(values, lambda x: x == v)).alias("n"), (-v).alias("neg"))
+    )
+    return let(F.array_max(counted), lambda m: F.struct(m["n"].alias("n"), (-m["neg"]).alias("value")))
+
+
+def _score(widths: Column, delimiter: str, fixed: bool) -> Column:
+    def score(m: Column) -> Column:
+        mode, ratio = m["value"], m["n"] / F.size(widths)
+        points = (
+            ratio * 100
+            + F.when(mode.isin(8, 12, 96), 50).when(mode > 4, 10).otherwise(0)
+            - F.when(mode < 2, 50).when(mode > 50, 20).otherwise(0)
+            + (F.when(ratio > 0.8, 20).otherwise(0) if delimiter == ";" else F.lit(0))
+        ).cast("double")
+        return F.when(mode < 2, F.lit(0.0)).otherwise(points) if fixed else points
+
+    return let(mode_of(widths), score)
+
+
 def delimiter_scores(lines: DataFrame, sample: int = 20, fixed: bool = False) -> DataFrame:
-    """Consistency score of each candidate over the first lines of a file.
+    """Consistency score of each candidate over the first lines of a file, as one row per file.
 
-    ``fixed`` scores a candidate that never occurs as 0 instead of letting the
-    uniform width of 1 count as consistency.
+    At most ``sample`` widths per file meet in one group, so a single shuffle of
+    the file heads is enough.  ``fixed`` scores a candidate that never occurs as 0
+    instead of letting the uniform width of 1 count as consistency.
     """
     head = lines.filter((F.col("line_no") < sample) & not_blank())
-    widths = _candidates(head, DELIMITERS).groupBy("file", "rank", "delimiter", "n_cols").agg(F.count(F.lit(1)).alias("n"))
-    best = widths.groupBy("file", "rank", "delimiter").agg(
-        F.max(F.struct(F.col("n"), (-F.col("n_cols")).alias("neg"))).alias("mode"), F.sum("n").alias("total")
+    widths = head.groupBy("file").agg(
+        F.collect_list(F.struct(*[width(F.col("line"), d).alias(f"w{i}") for i, d in enumerate(DELIMITERS)])).alias("w")
     )
-    mode, ratio = -F.col("mode.neg"), F.col("mode.n") / F.col("total")
-    score = (
-        ratio * 100
-        + F.when(mode.isin(8, 12, 96), 50).when(mode > 4, 10).otherwise(0)
-        - F.when(mode < 2, 50).when(mode > 50, 20).otherwise(0)
-        + F.when((F.col("delimiter") == ";") & (ratio > 0.8), 20).otherwise(0)
-    )
-    if fixed:
-        score = F.when(mode < 2, F.lit(0.0)).otherwise(score)
-    return best.select("file", "rank", "delimiter", mode.cast("int").alias("n_cols"), score.cast("double").alias("score"))
+    options = [
+        F.struct(_score(F.col(f"w.w{i}"), d, fixed).alias("score"), F.lit(-i).alias("order"), F.lit(d).alias("delimiter")) for i, d in enumerate(DELIMITERS)
+    ]
+    return widths.select("file", F.array(*options).alias("options"))
 
 
 def detect_delimiter(lines: DataFrame, sample: int = 20, fixed: bool = False) -> DataFrame:
     """``(file, delimiter, score)``; the earlier candidate wins a tie."""
-    return (
-        delimiter_scores(lines, sample, fixed)
-        .groupBy("file")
-        .agg(F.max_by(F.struct("delimiter", "score"), F.struct(F.col("score"), -F.col("rank"))).alias("top"))
-        .select("file", "top.delimiter", "top.score")
-    )
+    top = delimiter_scores(lines, sample, fixed).select("file", F.array_max("options").alias("top"))
+    return top.select("file", "top.delimiter", "top.score")
 
 
 def detect_delimiter_by_count(lines: DataFrame, sample: int = 10) -> DataFrame:
@@ -176,10 +188,8 @@ def data_block(lines: DataFrame, delimiters: DataFrame, starts: DataFrame, searc
     near = rows.filter(F.col("line_no") < F.col("data_start") + search).withColumn("n_cols", n_cols)
     modes = (
         near.filter((F.col("line_no") < F.col("data_start") + sample) & not_blank())
-        .groupBy("file", "n_cols")
-        .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("file")
-        .agg(F.max_by("n_cols", F.struct(F.col("n"), -F.col("n_cols"))).alias("expected"))
+        .agg(mode_of(F.collect_list("n_cols"))["value"].alias("expected"))
     )
     trimmed = width_by(F.trim("line"), F.col("delimiter"))
     low = F.lower("line")
@@ -236,6 +246,12 @@ def split_cells(line: Column, delimiter: Column) -> Column:
     return F.transform(parts, lambda x: F.trim(x))
 
 
+def to_rows(lines: DataFrame, delimiters: DataFrame) -> DataFrame:
+    """``(file, row, cells)`` with one array per non-blank line."""
+    rows = lines.filter(not_blank()).join(delimiters.select("file", "delimiter"), "file")
+    return rows.select("file", F.col("line_no").cast("int").alias("row"), split_cells(F.col("line"), F.col("delimiter")).alias("cells"))
+
+
 def to_cells(lines: DataFrame, delimiters: DataFrame, keep_short: bool = True) -> DataFrame:
     """``(file, row, col, cell)`` with the row being the line number; blank lines give no cells."""
     rows = lines.filter(not_blank()).join(delimiters.select("file", "delimiter"), "file")

@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wellspark.functions import characters as ch
+from wellspark.functions.parallel import spread
 from wellspark.operators import cleaning as cl
 from wellspark.plans.registry import query, view
 from wellspark.plans.views import table
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+
+
+def pages(spark, sf):
+    return spread(table(spark, sf, "pages"), "page_id")
 
 
 def _sql_replace(column: str, chars: dict[str, str]) -> str:
@@ -92,14 +97,14 @@ def cln_07(spark, sf):
 
 @query("cln_07b_readable_paths")
 def cln_07b(spark, sf):
-    return table(spark, sf, "pages").select("page_id", cl.readable_path(F.col("url")).alias("path"))
+    return pages(spark, sf).select("page_id", cl.readable_path(F.col("url")).alias("path"))
 
 
 @query("cln_08_upload_names", """
 SELECT page_id, CASE WHEN length(b) - length(replace(b, '.', '')) > 1 THEN replace(regexp_replace(b, '\\.[^.]*$', ''), '.', '_') || regexp_extract(b, '\\.[^.]*$') ELSE b END AS name
 FROM (SELECT page_id, regexp_replace(regexp_replace(string_split(u, '/')[-1], '[^A-Za-z0-9_\\s.-]', '_', 'g'), '\\s+', '_', 'g') AS b FROM (SELECT page_id, url || '.v1.final report.csv' AS u FROM pages))""")
 def cln_08(spark, sf):
-    return table(spark, sf, "pages").select("page_id", cl.upload_name(F.concat("url", F.lit(".v1.final report.csv"))).alias("name"))
+    return pages(spark, sf).select("page_id", cl.upload_name(F.concat("url", F.lit(".v1.final report.csv"))).alias("name"))
 
 
 ESCAPED = "replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
@@ -110,12 +115,12 @@ for _p in (r"javascript:", r"on[\p{L}\p{M}\p{N}_]+[\s\p{Z}]*=", r"expression[\s\
 
 @query("cln_09_sanitized_html", f"SELECT page_id, {REMOVED} AS html FROM pages")
 def cln_09(spark, sf):
-    return table(spark, sf, "pages").select("page_id", cl.sanitize_html(F.col("html")).alias("html"))
+    return pages(spark, sf).select("page_id", cl.sanitize_html(F.col("html")).alias("html"))
 
 
 @query("cln_10_sanitized_text")
 def cln_10(spark, sf):
-    return table(spark, sf, "pages").select("page_id", cl.sanitize_string(F.col("html"), max_length=1_000_000).alias("text"))
+    return pages(spark, sf).select("page_id", cl.sanitize_string(F.col("html"), max_length=1_000_000).alias("text"))
 
 
 @query("cln_11_token_estimate", "SELECT conv_id, turn, length(text) // 4 AS tokens FROM conversations")

@@ -20,13 +20,14 @@ SELECT c.file AS source_file, c.row AS line_no, t."timestamp" AS "timestamp", 'o
 FROM named_log_cells c JOIN log_time t ON t.file = c.file AND t.row = c.row WHERE col <> 0""")
 
 
-def timed(spark, sf, prefix=True):
+def facts_of(spark, sf):
     lines = log_lines(spark, sf)
     comma = lines.filter(F.col("line_no") == 0).select("file", F.lit(",").alias("delimiter"))
-    ann = log_annotation(spark, sf)
-    rows = lg.log_rows(lines, comma)
-    times = lg.time_column(st.named_cells(st.to_cells(lines, comma), ann))
-    return lg.with_time(rows, ann, lg.header_names(rows, ann), times, prefix)
+    return lg.file_facts(lines, comma, log_annotation(spark, sf))
+
+
+def timed(spark, sf, prefix=True):
+    return lg.with_time(log_lines(spark, sf), facts_of(spark, sf), prefix)
 
 
 @query("log_03_fast_path", f"""
@@ -50,11 +51,7 @@ def log_04b(spark, sf):
     """Every thirteenth line gets a broken time; those lines go to quarantine and nowhere else."""
     lines = log_lines(spark, sf)
     broken = lines.withColumn("line", F.when((F.col("line_no") % 13 == 0) & (F.col("line_no") >= 3), F.concat(F.lit("late,"), "line")).otherwise(F.col("line")))
-    comma = lines.filter(F.col("line_no") == 0).select("file", F.lit(",").alias("delimiter"))
-    ann = log_annotation(spark, sf)
-    rows = lg.log_rows(broken, comma)
-    first = ann.select("file", F.lit(0).alias("ts_col"))
-    return lg.split_bad_times(lg.with_time(rows, ann, lg.header_names(rows, ann), first))[1]
+    return lg.split_bad_times(lg.with_time(broken, facts_of(spark, sf)))[1]
 
 
 view("imputed", """
@@ -143,8 +140,8 @@ SELECT "timestamp", max(CASE WHEN "column" = 'click_props' THEN value END) AS cl
   max(CASE WHEN "column" = 'view_props' THEN value END) AS view_props, max(CASE WHEN "column" = 'view_value' THEN value END) AS view_value, source_file, line_no
 FROM log_long GROUP BY source_file, line_no, "timestamp" """)
 def log_10(spark, sf):
-    t = timed(spark, sf)
-    return lg.to_wide(t, lg.column_names(t))
+    facts = facts_of(spark, sf)
+    return lg.to_wide(lg.with_time(log_lines(spark, sf), facts), lg.column_names(facts))
 
 
 @query("log_11_type_votes", """

@@ -6,14 +6,15 @@ from pyspark.sql import functions as F
 
 from wellspark.operators import categories, plates as pl, protocols as pr, structure as st
 from wellspark.plans.registry import query, view
-from wellspark.plans.structure import _clean, log_cells
+from wellspark.plans.structure import _clean, _found
 from wellspark.plans.views import annotation, data_wells, grid, map_wells, raw_lines, scopes, table
+from wellspark.session import settle
 from wellspark.sources import annotations as an
 
 
 def plate_cells(spark, sf):
     lines = _clean(spark, sf)
-    return st.to_cells(lines, st.detect_delimiter(lines))
+    return st.to_cells(lines, _found(lines))
 
 
 view("fixed_annotation", """
@@ -39,8 +40,16 @@ def plt_02(spark, sf):
 
 
 def cut_wells(spark, sf):
+    lines = _clean(spark, sf)
+    facts = settle(st.detect_delimiter(lines).join(annotation(spark, sf), "file"), "plate-facts")
+    return pl.grid_to_wells(pl.cut_lines(lines, facts), "raw data")
+
+
+@query("plt_02b_corrected_blocks", "SELECT file, plate_id, r, c, cell FROM block_cells")
+def plt_02b(spark, sf):
+    """The two-step form: correct the annotation from the cells, then cut."""
     cells = plate_cells(spark, sf)
-    return pl.grid_to_wells(pl.cut_blocks(cells, pl.correct_end_row(cells, annotation(spark, sf))), "raw data")
+    return pl.cut_blocks(cells, pl.correct_end_row(cells, annotation(spark, sf)))
 
 
 @query("plt_03_grid_to_wells", 'SELECT plate_id, well_id, "raw data", value_num FROM cut_wells')

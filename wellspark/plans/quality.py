@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from wellspark.functions.parallel import spread
 from wellspark.operators import errors as er, quality as dq, reports as rp
 from wellspark.plans.cleaning import ESCAPED, REMOVED
 from wellspark.plans.registry import query, view
@@ -132,8 +133,8 @@ SELECT 'page' AS kind, page_id AS id, html AS body FROM pages UNION ALL SELECT '
 
 def bodies(spark, sf):
     parts = [
-        table(spark, sf, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("body")),
-        table(spark, sf, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("body")),
+        spread(table(spark, sf, "pages"), "page_id").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("body")),
+        spread(table(spark, sf, "documents"), "doc_id").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("body")),
         names(spark, sf).select(F.lit("name").alias("kind"), "id", F.col("name").alias("body")),
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)

@@ -8,12 +8,18 @@ from wellspark.functions.values import is_num, null_token, to_num
 from wellspark.operators import structure as st
 from wellspark.plans.registry import query, view
 from wellspark.plans.views import log_lines, raw_lines, table
+from wellspark.session import settle
 
 
 def _clean(spark, sf):
     return st.fix_decimal_commas(st.strip_bom(raw_lines(spark, sf)))
 
 
+def _found(lines):
+    """Delimiter of each file, settled so that the join with the lines is planned by its true size."""
+    return settle(st.detect_delimiter(lines), "delimiters")
+
+
 @query("txt_01_strip_bom", "SELECT file, line_no, regexp_replace(line, '^' || chr(65279), '') AS line FROM raw_lines")
 def txt_01(spark, sf):
     return st.strip_bom(raw_lines(spark, sf))
@@ -85,7 +91,7 @@ SELECT file, string_agg(line_no || ':' || len(string_split(line, delimiter)), '
 FROM clean_lines JOIN detected USING (file) WHERE line_no < 10 AND regexp_matches(line, '\\S') GROUP BY file""")
 def txt_08(spark, sf):
     lines = _clean(spark, sf)
-    return st.column_pattern(lines, st.detect_delimiter(lines))
+    return st.column_pattern(lines, _found(lines))
 
 
 view("starts", """
@@ -107,8 +113,8 @@ GROUP BY file, data_start""")
 
 def _block(spark, sf):
     lines = _clean(spark, sf)
-    found = st.detect_delimiter(lines)
-    starts = st.data_start(lines, found, st.header_rows(lines))
+    found = _found(lines)
+    starts = settle(st.data_start(lines, found, st.header_rows(lines)), "starts")
     return lines, found, st.data_block(lines, found, starts)
 
 
@@ -120,7 +126,7 @@ def txt_09(spark, sf):
 @query("txt_10_cells", "SELECT file, row, col, cell FROM cells")
 def txt_10(spark, sf):
     lines = _clean(spark, sf)
-    return st.to_cells(lines, st.detect_delimiter(lines))
+    return st.to_cells(lines, _found(lines))
 
 
 view("log_cells", """
@@ -169,7 +175,7 @@ JOIN (SELECT unnest(range(200)) AS c) ON c <= last LEFT JOIN (SELECT file, row,
 @query("txt_13_pad_rows", "SELECT file, row, col, cell, name FROM padded")
 def txt_13(spark, sf):
     lines = _clean(spark, sf)
-    return st.pad_rows(lines, st.detect_delimiter(lines))
+    return st.pad_rows(lines, _found(lines))
 
 
 # Text documents cut at spaces give every shape: single words, and far over fifty columns.
@@ -196,7 +202,7 @@ CROSS JOIN (SELECT unnest(range(8)) AS r) CROSS JOIN (SELECT unnest(range(12)) A
 def txt_15(spark, sf):
     """Files whose label line is ragged fail the strict header-less reader and fall back to an empty grid."""
     lines = _clean(spark, sf)
-    padded = st.pad_rows(lines, st.detect_delimiter(lines)).filter(F.col("row") == 0)
+    padded = st.pad_rows(lines, _found(lines)).filter(F.col("row") == 0)
     failed = padded.groupBy("file").agg(F.count("cell").alias("n")).filter(F.col("n") < 12)
     return st.empty_plates(failed)
 
@@ -270,7 +276,7 @@ SELECT file, n_rows, n_cols, delimiter, header_rows FROM (SELECT file, count(DIS
 JOIN detected USING (file) JOIN header_view USING (file)""")
 def txt_21(spark, sf):
     lines = _clean(spark, sf)
-    found = st.detect_delimiter(lines)
+    found = _found(lines)
     return st.parse_log(st.to_cells(lines, found), found, st.header_rows(lines))
 
 
@@ -279,6 +285,6 @@ SELECT file, n_cols, n FROM (SELECT file, n_cols, count(*) AS n, row_number() OV
   FROM (SELECT file, len(string_split(line, delimiter)) AS n_cols FROM clean_lines JOIN detected USING (file)) GROUP BY file, n_cols) WHERE k = 1""")
 def agg_24(spark, sf):
     lines = _clean(spark, sf)
-    widths = lines.join(st.detect_delimiter(lines), "file").select("file", st.width_by(F.col("line"), F.col("delimiter")).alias("n_cols"))
+    widths = lines.join(_found(lines), "file").select("file", st.width_by(F.col("line"), F.col("delimiter")).alias("n_cols"))
     counts = widths.groupBy("file", "n_cols").agg(F.count(F.lit(1)).alias("n"))
     return counts.groupBy("file").agg(F.max_by(F.struct("n_cols", "n"), F.struct(F.col("n"), -F.col("n_cols"))).alias("m")).select("file", "m.n_cols", "m.n")

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from wellspark.functions.ordered import sessionize
+from wellspark.functions.parallel import spread
 from wellspark.plans.registry import view
 
 USAGE_AS_OF = "2024-01-31 00:00:00"
@@ -17,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def rendered(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table that is about to be turned into files: heavy per row, so spread when it is one small split."""
+    return spread(table(spark, sf_dir, name), key)
+
+
 def ntz(text: str) -> Column:
     return F.to_timestamp_ntz(F.lit(text))
 
@@ -28,7 +35,7 @@ view("grid", "SELECT o_orderkey // 96 AS plate, (o_orderkey % 96) // 12 AS r, o_
 
 def grid(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("o_orderkey")
-    return table(spark, sf, "orders").select(
+    return rendered(spark, sf, "orders", "o_orderkey").select(
         F.floor(k / 96).alias("plate"), F.floor((k % 96) / 12).alias("r"), (k % 12).alias("c"),
         F.col("o_totalprice").alias("v"), F.col("o_orderpriority").alias("label"),
     )
@@ -192,7 +199,7 @@ UNION ALL SELECT DISTINCT file, 2, 'event time,user_id,value' FROM log_values WH
 
 def log_lines(spark: SparkSession, sf: str) -> DataFrame:
     """One log file per event type: noisy ones have a comment and a late header, the others quoted JSON."""
-    e = table(spark, sf, "events")
+    e = rendered(spark, sf, "events", "event_id")
     file = F.concat("event_type", F.lit("_log.csv"))
     noisy = F.col("event_type").isin(NOISY_LOGS)
     k = F.col("event_id")
@@ -305,10 +312,7 @@ GROUP BY user_id, s""")
 
 
 def sessions(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").withColumn("at", F.col("ts").cast("timestamp"))
-    merged = e.groupBy("user_id", F.session_window("at", "30 minutes").alias("w")).agg(
-        F.min("ts").alias("created_at"), F.max("ts").alias("last_activity"), F.count(F.lit(1)).alias("n_events")
-    )
+    merged = sessionize(table(spark, sf, "events"), ["user_id"], "ts", "event_id", 1800)
     return merged.select(
         "user_id", "created_at", "last_activity", "n_events",
         (F.col("last_activity") + F.expr("INTERVAL '24' HOUR")).alias("expires_at"), (F.col("user_id") % 4 != 0).alias("is_active"),

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -51,3 +51,16 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="wellspark-")
     return os.path.join(base.rstrip("/"), f"{purpose}-{uuid.uuid4().hex}")
+
+
+def settle(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a per-file summary once and read it back.
+
+    Later joins see its true size: Catalyst broadcasts it below the broadcast
+    threshold and shuffles above it.  An estimate derived from the raw text would
+    always be too large, and every line would be shuffled to meet its file's
+    summary.  The written table also survives lost executors.
+    """
+    path = work_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

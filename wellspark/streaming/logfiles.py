@@ -22,12 +22,9 @@ def parse_batch(texts: DataFrame) -> DataFrame:
     """Long log rows of a set of files: delimiter, header and time column are found per file."""
     lines = to_lines(texts)
     found = st.detect_delimiter(lines, fixed=True)
-    rows = lg.log_rows(lines, found)
     first = lines.filter(st.not_blank() & ~F.trim("line").startswith("#")).groupBy("file").agg(F.min("line_no").alias("header_row"))
-    annotation = first.withColumn("data_start", F.col("header_row") + 1)
-    cells = st.named_cells(st.to_cells(lines, found), annotation)
-    timed = lg.with_time(rows, annotation, lg.header_names(rows, annotation), lg.time_column(cells), prefix=False)
-    return lg.to_long(lg.split_bad_times(timed)[0])
+    facts = lg.file_facts(lines, found, first.withColumn("data_start", F.col("header_row") + 1))
+    return lg.to_long(lg.split_bad_times(lg.with_time(lines, facts, prefix=False))[0])
 
 
 def append_batches(out: str, parse: Callable[[DataFrame], DataFrame] = parse_batch) -> Callable[[DataFrame, int], None]:
