@@ -112,11 +112,20 @@ def test_type_vote_keeps_lost_text_when_asked(spark):
 
 
 def test_column_limit_is_an_error(spark):
-    names = spark.createDataFrame([("f_log.csv", ["t", "a", "b"])], "file string, names array<string>")
-    times = spark.createDataFrame([("f_log.csv", 0)], "file string, ts_col int")
-    assert lg.column_names(names, times) == ["f_a", "f_b"] and lg.column_names(names, times, prefix=False) == ["a", "b"]
+    facts = spark.createDataFrame([("f_log.csv", ["t", "a", "b"], 0)], "file string, names array<string>, ts_col int")
+    assert lg.column_names(facts) == ["f_a", "f_b"] and lg.column_names(facts, prefix=False) == ["a", "b"]
     with pytest.raises(ValueError):
-        lg.column_names(names, times, limit=1)
+        lg.column_names(facts, limit=1)
+
+
+def test_first_values_look_past_the_head_only_where_needed(spark):
+    """Column 0 settles in the head, column 1 is known only far down; a brute-force pass agrees."""
+    rows = [("f", r, 0, str(r)) for r in range(50)] + [("f", r, 1, str(r) if r >= 30 and r % 2 else "n/a") for r in range(50)]
+    cells = spark.createDataFrame(rows, "file string, row int, col int, cell string")
+    want = {(0, r) for r in range(3)} | {(1, r) for r in (31, 33, 35)}
+    for head in (0, 5, 33, 1000):
+        got = {(r.col, r.row) for r in lg.first_values(cells, 3, head_rows=head).collect()}
+        assert got == want
 
 
 def brute_force_lock(rows):
