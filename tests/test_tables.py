@@ -128,6 +128,21 @@ def test_first_values_look_past_the_head_only_where_needed(spark):
         assert got == want
 
 
+def test_time_column_of_rows_agrees_with_the_full_search(spark):
+    """Exact name, content deep in the file, and a file without any time."""
+    def file(name, header, line):
+        return [(name, 0, header)] + [(name, i, line(i)) for i in range(1, 40)]
+
+    rows = file("a", ["v", "timestamp"], lambda i: [str(i), "x"]) + file("b", ["v", "w"], lambda i: [str(i), f"2024-01-01 00:00:{i:02d}" if i > 30 else ""])
+    rows += file("c", ["v", "w"], lambda i: [str(i), "text"]) + file("d", ["start_time", "w"], lambda i: [f"2024-01-01 00:00:{i:02d}", "text"])
+    df = spark.createDataFrame(rows, "file string, row int, cells array<string>")
+    ann = spark.createDataFrame([(f, 0, 1) for f in "abcd"], "file string, header_row int, data_start int")
+    names = lg.header_names(df, ann)
+    for head in (1, 5, 10, 1000):
+        got = {r.file: (r.ts_name, r.step) for r in lg.time_column_of_rows(df, ann, names, head).collect()}
+        assert got == {"a": ("timestamp", 1), "b": ("w", 3), "d": ("start_time", 2)}
+
+
 def brute_force_lock(rows):
     out, state = {}, {}
     for user, event, at, success in sorted(rows, key=lambda r: (r[0], r[2], r[1])):

@@ -77,12 +77,30 @@ def data_cells(rows: DataFrame, annotation: DataFrame, names: DataFrame) -> Data
     return data.select("file", "row", F.inline(pairs))
 
 
+def time_column_of_rows(rows: DataFrame, annotation: DataFrame, names: DataFrame, head_rows: int = 1000) -> DataFrame:
+    """``time_column`` over row arrays, reading past the head only for files that need it.
+
+    A file is decided by its head when a header has an exact time name, or when
+    every column has its five sample values there.  Lines of decided files are
+    dropped before they are split into cells.
+    """
+    columns = names.select("file", F.posexplode("names").alias("col", "name"))
+    exact = columns.filter(F.lower(F.trim("name")).isin(TIME_NAMES)).select("file")
+    head = data_cells(rows.filter(F.col("row") < head_rows), annotation, names)
+    full = head.filter(null_token("cell").isNotNull()).groupBy("file", "col").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 5)
+    filled = full.groupBy("file").agg(F.count(F.lit(1)).alias("n")).join(names, "file").filter(F.col("n") >= F.size("names")).select("file")
+    decided = exact.unionByName(filled).distinct()
+    rest = rows.filter(F.col("row") >= head_rows).join(decided, "file", "left_anti")
+    return time_column(head.unionByName(data_cells(rest, annotation, names)), columns)
+
+
 def file_facts(lines: DataFrame, delimiters: DataFrame, annotation: DataFrame) -> DataFrame:
     """``(file, delimiter, data_start, names, ts_col)``: all that is needed to read a file, settled as one small table."""
     known = settle(annotation.join(delimiters.select("file", "delimiter"), "file"), "log-annotation")
-    rows = log_rows(lines, known)
-    names = settle(header_names(rows, known), "log-names")
-    times = time_column(data_cells(rows, known, names), names.select("file", F.posexplode("names").alias("col", "name")))
+    # Header rows are found among the lines up to the deepest header; one number comes to the driver.
+    deepest = known.agg(F.max("header_row")).first()[0]
+    names = settle(header_names(log_rows(lines.filter(F.col("line_no") <= F.lit(deepest)), known), known), "log-names")
+    times = time_column_of_rows(log_rows(lines, known), known, names)
     return settle(known.join(names, "file").join(times.select("file", "ts_col"), "file").select("file", "delimiter", "data_start", "names", "ts_col"), "log-facts")
 
 
