@@ -137,9 +137,10 @@ def test_time_column_of_rows_agrees_with_the_full_search(spark):
     rows += file("c", ["v", "w"], lambda i: [str(i), "text"]) + file("d", ["start_time", "w"], lambda i: [f"2024-01-01 00:00:{i:02d}", "text"])
     df = spark.createDataFrame(rows, "file string, row int, cells array<string>")
     ann = spark.createDataFrame([(f, 0, 1) for f in "abcd"], "file string, header_row int, data_start int")
-    names = lg.header_names(df, ann)
+    heads = lg.header_names(df, ann)
+    data = df.filter("row > 0").join(heads, "file")
     for head in (1, 5, 10, 1000):
-        got = {r.file: (r.ts_name, r.step) for r in lg.time_column_of_rows(df, ann, names, head).collect()}
+        got = {r.file: (r.ts_name, r.step) for r in lg.time_column_of_rows(data, heads, head).collect()}
         assert got == {"a": ("timestamp", 1), "b": ("w", 3), "d": ("start_time", 2)}
 
 

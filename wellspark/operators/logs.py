@@ -70,28 +70,33 @@ def header_names(rows: DataFrame, annotation: DataFrame) -> DataFrame:
     return head.select("file", named.alias("names"))
 
 
-def data_cells(rows: DataFrame, annotation: DataFrame, names: DataFrame) -> DataFrame:
-    """Named cells of the data rows, opened from the row arrays."""
-    data = rows.join(annotation.select("file", "data_start"), "file").filter(F.col("row") >= F.col("data_start")).join(names, "file")
+def data_rows(lines: DataFrame, heads: DataFrame) -> DataFrame:
+    """``(file, row, cells, names)`` of the data lines; one join brings everything known about the file."""
+    data = lines.filter(not_blank()).join(heads.select("file", "delimiter", "data_start", "names"), "file").filter(F.col("line_no") >= F.col("data_start"))
+    return data.select("file", F.col("line_no").cast("int").alias("row"), split_cells(F.col("line"), F.col("delimiter")).alias("cells"), "names")
+
+
+def named(rows: DataFrame) -> DataFrame:
+    """Named cells opened from row arrays."""
     pairs = F.transform("cells", lambda c, i: F.struct(i.cast("int").alias("col"), F.coalesce(F.get(F.col("names"), i), F.concat(F.lit("col_"), i.cast("string"))).alias("name"), c.alias("cell")))
-    return data.select("file", "row", F.inline(pairs))
+    return rows.select("file", "row", F.inline(pairs))
 
 
-def time_column_of_rows(rows: DataFrame, annotation: DataFrame, names: DataFrame, head_rows: int = 1000) -> DataFrame:
+def time_column_of_rows(rows: DataFrame, heads: DataFrame, head_rows: int = 1000) -> DataFrame:
     """``time_column`` over row arrays, reading past the head only for files that need it.
 
     A file is decided by its head when a header has an exact time name, or when
     every column has its five sample values there.  Lines of decided files are
     dropped before they are split into cells.
     """
-    columns = names.select("file", F.posexplode("names").alias("col", "name"))
-    exact = columns.filter(F.lower(F.trim("name")).isin(TIME_NAMES)).select("file")
-    head = data_cells(rows.filter(F.col("row") < head_rows), annotation, names)
+    columns = heads.select("file", F.posexplode("names").alias("col", "name"))
+    exact = heads.filter(F.exists("names", lambda n: F.lower(F.trim(n)).isin(TIME_NAMES))).select("file")
+    open_heads = heads.join(exact, "file", "left_anti")
+    head = named(rows.filter(F.col("row") < head_rows))
     full = head.filter(null_token("cell").isNotNull()).groupBy("file", "col").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 5)
-    filled = full.groupBy("file").agg(F.count(F.lit(1)).alias("n")).join(names, "file").filter(F.col("n") >= F.size("names")).select("file")
-    decided = exact.unionByName(filled).distinct()
-    rest = rows.filter(F.col("row") >= head_rows).join(decided, "file", "left_anti")
-    return time_column(head.unionByName(data_cells(rest, annotation, names)), columns)
+    filled = full.groupBy("file").agg(F.count(F.lit(1)).alias("n")).join(open_heads, "file").filter(F.col("n") >= F.size("names")).select("file")
+    rest = rows.filter(F.col("row") >= head_rows).join(exact.unionByName(filled), "file", "left_anti")
+    return time_column(head.unionByName(named(rest)), columns)
 
 
 def file_facts(lines: DataFrame, delimiters: DataFrame, annotation: DataFrame) -> DataFrame:
@@ -99,9 +104,10 @@ def file_facts(lines: DataFrame, delimiters: DataFrame, annotation: DataFrame) -
     known = settle(annotation.join(delimiters.select("file", "delimiter"), "file"), "log-annotation")
     # Header rows are found among the lines up to the deepest header; one number comes to the driver.
     deepest = known.agg(F.max("header_row")).first()[0]
-    names = settle(header_names(log_rows(lines.filter(F.col("line_no") <= F.lit(deepest)), known), known), "log-names")
-    times = time_column_of_rows(log_rows(lines, known), known, names)
-    return settle(known.join(names, "file").join(times.select("file", "ts_col"), "file").select("file", "delimiter", "data_start", "names", "ts_col"), "log-facts")
+    names = header_names(log_rows(lines.filter(F.col("line_no") <= F.lit(deepest)), known), known)
+    heads = settle(known.join(names, "file").select("file", "delimiter", "data_start", "names"), "log-heads")
+    times = time_column_of_rows(data_rows(lines, heads), heads)
+    return settle(heads.join(times.select("file", "ts_col"), "file"), "log-facts")
 
 
 def file_prefix(file: Column) -> Column:
