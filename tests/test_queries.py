@@ -17,7 +17,7 @@ def duck():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     ok, text = compare(spark, duck, name, QUERIES[name], ORACLES.get(name), SF)
-    if name == "flt_04_search" or "0 rows" == text:
+    if text == "0 rows":  # both sides agree that this small scale holds no such row
         return
     assert ok, text
 
