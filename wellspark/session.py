@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,18 +37,10 @@ def apply_settings(spark: SparkSession) -> SparkSession:
 
 
 def work_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the cluster's ``spark.checkpoint.dir``.
-
-    Only a local-mode session without that setting gets a temporary folder of
-    this machine; on a cluster a missing setting is an error, since executors
-    would not see each other's files.
-    """
+    """A fresh folder below the cluster's ``spark.checkpoint.dir``, or below the warehouse folder where that is not set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="wellspark-")
-    return os.path.join(base.rstrip("/"), f"{purpose}-{uuid.uuid4().hex}")
+    base = base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, purpose: str) -> DataFrame:
