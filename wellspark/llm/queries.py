@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wellspark.llm.embeddings import near_vectors
+from wellspark.llm.language import identify
+from wellspark.llm.mixing import mix
+from wellspark.llm.packing import packed_documents
+from wellspark.llm.quality import score_documents
 from wellspark.llm.simhash import simhash_groups
 from wellspark.llm.topk import top_k
 
@@ -66,3 +70,44 @@ SELECT c.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, c.vec_id = c
 def op10(spark, sf_dir):
     """Links and component of every vector."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, CAST([5, 2, 1][1 + CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER)] AS DOUBLE) AS weight FROM s),
+f AS (SELECT *, 2.0 * source_size AS cap, 2.0 * source_size / weight AS full_at FROM w),
+l AS (SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY full_at, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+             / sum(weight) OVER (ORDER BY full_at, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),
+t AS (SELECT source, source_size, least(cap, weight * (SELECT arg_min(level, full_at) FROM l WHERE level <= full_at)) AS target FROM l),
+c AS (SELECT d.*, t.source_size, t.target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
+       CAST(greatest(0, least(size, floor(target - before))) + greatest(0, least(size, floor(target - before - source_size))) AS BIGINT) AS taken FROM c
+"""
+
+
+@query("op4_mix_sources", OP4_SQL)
+def op4(spark, sf_dir):
+    """Words the mix takes of every document."""
+    return mix(table(spark, sf_dir, "documents"))
+
+
+@query("op6_best_fit_packing")
+def op6(spark, sf_dir):
+    """Place of every document's pieces in sequences of 2,048 tokens."""
+    import public_tokenizers
+
+    return packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op7_language")
+def op7(spark, sf_dir):
+    """Language of every document."""
+    return identify(table(spark, sf_dir, "documents"))
+
+
+@query("op9_quality")
+def op9(spark, sf_dir):
+    """Quality of every document."""
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
