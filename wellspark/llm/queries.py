@@ -10,7 +10,9 @@ from wellspark.llm.embeddings import near_vectors
 from wellspark.llm.language import identify
 from wellspark.llm.mixing import mix
 from wellspark.llm.packing import packed_documents
+from wellspark.llm.pii import personal_data
 from wellspark.llm.quality import score_documents
+from wellspark.llm.secrets import secrets
 from wellspark.llm.simhash import simhash_groups
 from wellspark.llm.topk import top_k
 
@@ -111,3 +113,15 @@ def op7(spark, sf_dir):
 def op9(spark, sf_dir):
     """Quality of every document."""
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op1_personal_data")
+def op1(spark, sf_dir):
+    """Personal data in every document."""
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
+@query("op5_secrets")
+def op5(spark, sf_dir):
+    """Secrets in every document."""
+    return secrets(table(spark, sf_dir, "documents"))
