@@ -14,6 +14,7 @@ from wellspark.llm.pii import personal_data
 from wellspark.llm.quality import score_documents
 from wellspark.llm.secrets import secrets
 from wellspark.llm.simhash import simhash_groups
+from wellspark.llm.substring import without_repeats
 from wellspark.llm.topk import top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +126,21 @@ def op1(spark, sf_dir):
 def op5(spark, sf_dir):
     """Secrets in every document."""
     return secrets(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS a FROM documents),
+s AS (SELECT doc_id, a, unnest(range(1, len(a) - 18)) AS s FROM w WHERE len(a) >= 20),
+k AS (SELECT doc_id, s, row_number() OVER (PARTITION BY array_to_string(a[s:s + 19], ' ') ORDER BY doc_id, s) AS n FROM s),
+r AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM k WHERE n > 1),
+p AS (SELECT doc_id, unnest(a) AS word, unnest(range(1, len(a) + 1)) AS p FROM w),
+g AS (SELECT p.doc_id, count(*) - count(r.p) AS n_kept, count(r.p) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY p.p) FILTER (WHERE r.p IS NULL), '') AS kept
+      FROM p LEFT JOIN r ON r.doc_id = p.doc_id AND r.p = p.p GROUP BY p.doc_id)
+SELECT w.doc_id, CAST(len(a) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN g ON g.doc_id = w.doc_id
+"""
+
+
+@query("op8_repeated_passages", OP8_SQL)
+def op8(spark, sf_dir):
+    """Every document without passages that stand earlier."""
+    return without_repeats(table(spark, sf_dir, "documents"))
