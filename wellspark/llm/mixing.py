@@ -37,8 +37,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     return levels.withColumn("chosen", chosen).select("_key", "source_size", F.coalesce(F.least(F.col("weight") * F.col("chosen"), F.col("cap")), F.col("cap")).alias("target"))
 
 
-def schedule(docs: DataFrame, id_col: str, source_col: str, size_col: str, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
-    """``docs`` with ``_source_size``, ``_target`` and ``_service``: per pass over its source the virtual finish time and the words taken.
+def schedule(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
+    """``docs`` (``id``, ``source``, ``size`` and what rides along in ``row``) with ``_source_size``, ``_target`` and ``_service``: per pass over its source the virtual finish time and the words taken.
 
     Each source's documents are shuffled by the md5 of their ids.  A document's
     virtual start in pass e is (words of its source before it + e * source size) /
@@ -46,21 +46,21 @@ def schedule(docs: DataFrame, id_col: str, source_col: str, size_col: str, weigh
     virtual time 1, where the words served sum up to the budget; a document in
     service at that moment keeps the words served so far.
     """
-    keyed = docs.withColumn("_key", F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))).withColumn("_order", F.coalesce(F.md5(F.col(id_col).cast("string").cast("binary")), F.lit("")))
+    keyed = docs.withColumn("_key", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))).withColumn("_order", F.coalesce(F.md5(F.col("id").cast("string").cast("binary")), F.lit("")))
     keyed = keyed.withColumn("_range", F.conv(F.substring("_order", 1, 2), 16, 10).cast("int"))
-    ranges = settle(keyed.groupBy("_key", F.coalesce("_range", F.lit(-1)).alias("_range")).agg(F.first(source_col).alias("source"), F.sum(size_col).alias("words")), "ranges")
+    ranges = settle(keyed.groupBy("_key", F.coalesce("_range", F.lit(-1)).alias("_range")).agg(F.first("source").alias("source"), F.sum("size").alias("words")), "ranges")
     sizes = ranges.groupBy("_key").agg(F.first("source").alias("source"), F.sum("words").alias("source_size"))
     before = F.sum("words").over(Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     offsets = ranges.select("_key", "_range", F.coalesce(before, F.lit(0)).alias("_before")).join(source_targets(sizes, weights, share, most), "_key")
     offsets = offsets.withColumnsRenamed({"source_size": "_source_size", "target": "_target"})
     placed = keyed.withColumn("_range", F.coalesce("_range", F.lit(-1))).join(offsets, ["_key", "_range"])
-    inside = F.sum(size_col).over(Window.partitionBy("_key", "_range").orderBy("_order", id_col, size_col).rowsBetween(Window.unboundedPreceding, -1))
+    inside = F.sum("size").over(Window.partitionBy("_key", "_range").orderBy("_order", "id", "size").rowsBetween(Window.unboundedPreceding, -1))
     started = placed.withColumn("_start", F.col("_before") + F.coalesce(inside, F.lit(0)))
 
     def served(e: Column) -> Column:
         start = F.col("_start") + e * F.col("_source_size")
-        words = F.greatest(F.lit(0).cast("long"), F.least(F.col(size_col), F.floor(F.col("_target") - start)))
-        finish = F.when(F.col("_target") > 0, (start + F.col(size_col)) / F.col("_target"))
+        words = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.floor(F.col("_target") - start)))
+        finish = F.when(F.col("_target") > 0, (start + F.col("size")) / F.col("_target"))
         return F.struct(finish.alias("finish"), words.alias("words"))
 
     service = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), served)
@@ -76,7 +76,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     table gives no rows; other columns are not read.
     """
     sized = settle(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
-    done = schedule(sized, "id", "source", "size", **options)
+    done = schedule(sized, **options)
     taken = F.aggregate("_service", F.lit(0).cast("long"), lambda a, s: a + s["words"])
     return done.select(F.col("id").alias(id_col), "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken.alias("taken"))
 
@@ -86,10 +86,11 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
     With ``sort`` they come in the order of their virtual finish times, range-sorted over all partitions.
     """
-    done = schedule(docs.withColumn("_size", word_count(F.col(text_col))), id_col, source_col, "_size", **options)
-    each = done.withColumn("_s", F.explode("_service")).filter("_s.words > 0")
-    head = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0)), F.lit(1), F.col("_s.words").cast("int")), " ")
-    cut = each.withColumn(text_col, F.when(F.col("_s.words") < F.col("_size"), head).otherwise(F.col(text_col)))
+    text = F.col(f"row.{text_col}")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    each = schedule(rows, **options).withColumn("_s", F.explode("_service")).filter("_s.words > 0")
+    head = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), F.col("_s.words").cast("int")), " ")
+    cut = each.withColumn("row", F.col("row").withField(text_col, F.when(F.col("_s.words") < F.col("size"), head).otherwise(text)))
     if sort:
-        cut = cut.repartitionByRange(F.col("_s.finish"), F.col(id_col)).sortWithinPartitions(F.col("_s.finish"), F.col(id_col))
-    return cut.select(*docs.columns)
+        cut = cut.repartitionByRange(F.col("_s.finish"), F.col("id")).sortWithinPartitions(F.col("_s.finish"), F.col("id"))
+    return cut.select("row.*")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -13,9 +14,12 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 PATTERNS = {"assign": ASSIGN, "access": "AKIA[A-Z0-9]{12,}", "hex": "[0-9a-f]{32,}", "random": "[A-Za-z0-9+/_=-]{16,}"}
 KINDS = list(PATTERNS)
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-STATES = len(ALPHABET) + 1  # state 0 is the start
+#: Long strings that label themselves as ordinary: words in one case or camel case with separators, and numbers.
+ORDINARY = "^([A-Z]?[a-z]++([/_=+-]?[A-Z]?[a-z]++)*+[/_=+-]*[0-9]{0,4}|[A-Z]++([/_=+-][A-Z]++)*+[/_=+-]*[0-9]{0,4}|[0-9]+)$"
 #: A string is a secret at this log-likelihood ratio in thousandths: in all, and for each character.
 LEAST, LEAST_EACH = 10_000, 400
+#: Counts that the share of a single character adds to the counts after each character.
+WEIGHT = 20
 
 
 def _matches(text: Column, pattern: str, kind: int) -> Column:
@@ -39,27 +43,31 @@ def _is_base(kind: Column, match: Column) -> Column:
 
 
 def samples(found: DataFrame) -> DataFrame:
-    """Labelled strings: ``secret`` 1 for the values of base matches, 0 for long strings outside them; each string once."""
+    """Labelled strings: ``secret`` 1 for the values of base matches, 0 for long ordinary ones outside them; each string once."""
     value = F.when(F.col("kind") == 0, F.regexp_extract("match", ASSIGN, 2)).otherwise(F.col("match"))
     hit = found.filter(_is_base(F.col("kind"), F.col("match"))).select(value.alias("match"), F.lit(1).alias("secret"))
-    other = found.filter("kind = 3").select("match", F.lit(0).alias("secret"))
+    other = found.filter((F.col("kind") == 3) & F.col("match").rlike(ORDINARY)).select("match", F.lit(0).alias("secret"))
     both = hit.union(other).groupBy("match").agg(F.max("secret").alias("secret"))
     cut = F.regexp_replace("match", r"\.", "")
     return both.select(cut.alias("match"), "secret").filter(F.char_length("match") >= 8)
 
 
 def ratios(found: DataFrame) -> list[int]:
-    """Log-likelihood ratios of all character pairs in thousandths, from the pair counts of the samples (half a count added)."""
+    """Log-likelihood ratios of all character pairs in thousandths, from the pair counts of the samples, smoothed by the counts of single characters."""
     chars = F.split(F.concat(F.lit("^"), F.col("match")), "")
     pair = F.zip_with(F.slice(chars, 1, F.size(chars) - 1), F.slice(chars, 2, F.size(chars) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     counted = samples(found).select("secret", F.explode(pair).alias("p")).groupBy("secret", "p.a", "p.b").agg(F.count("*").alias("n")).collect()
     counts = {(r["secret"], r["a"], r["b"]): r["n"] for r in counted}  # at most 2 * 68 * 67
-    totals: dict[tuple[int, str], int] = {}
-    for (s, a, _), n in counts.items():
-        totals[s, a] = totals.get((s, a), 0) + n
+    after: Counter = Counter()
+    alone: Counter = Counter()
+    for (s, a, b), n in counts.items():
+        after[s, a] += n
+        alone[s, b] += n
+        alone[s, ""] += n
 
     def log_share(s: int, a: str, b: str) -> float:
-        return math.log((counts.get((s, a, b), 0) + 0.5) / (totals.get((s, a), 0) + 0.5 * len(ALPHABET)))
+        share = (alone[s, b] + 0.5) / (alone[s, ""] + 0.5 * len(ALPHABET))
+        return math.log((counts.get((s, a, b), 0) + WEIGHT * share) / (after[s, a] + WEIGHT))
 
     return [round(1000 * (log_share(1, a, b) - log_share(0, a, b))) for a in "^" + ALPHABET for b in ALPHABET]
 
@@ -85,7 +93,7 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Positions are code points.  A string of 16 or more token characters outside
     the base matches is added as ``random`` where the model of the document
-    table's secrets outweighs that of its other long strings.  Null and empty
+    table's secrets outweighs that of its ordinary long strings.  Null and empty
     texts have no spans (empty string).  Without labelled secrets the random
     model is uniform.  Repeated rows each count; an empty table gives no rows;
     other columns are not read.

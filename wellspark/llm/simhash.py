@@ -123,6 +123,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """``docs`` without the rows of a group other than its smallest id; of repeated rows of an id one stays, null ids all stay."""
     groups = simhash_groups(docs, id_col, text_col, **options)
     dropped = groups.filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_dropped")).distinct()
-    left = docs.join(dropped, F.col(id_col) == F.col("_dropped"), "left_anti")
-    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.lit(0)))
-    return left.withColumn("_nth", nth).filter((F.col("_nth") == 1) | F.col(id_col).isNull()).select(*docs.columns)
+    rows = docs.select(F.col(id_col).alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    left = rows.join(dropped, F.col("_id") == F.col("_dropped"), "left_anti")
+    nth = F.row_number().over(Window.partitionBy("_id").orderBy(F.lit(0)))
+    return left.withColumn("_nth", nth).filter((F.col("_nth") == 1) | F.col("_id").isNull()).select("_row.*")
