@@ -122,7 +122,38 @@ def op1(spark, sf_dir):
     return personal_data(table(spark, sf_dir, "documents"))
 
 
-@query("op5_secrets")
+_ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_KIND = "SELECT doc_id, {k} AS kind, unnest(range(len(f))) AS i, unnest(f) AS match, unnest(g[:len(f)]) AS gap FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS f, string_split_regex(t, '{p}') AS g FROM d)"
+OP5_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(_KIND.format(k=k, p=p) for k, p in enumerate((_ASSIGN, "AKIA[A-Z0-9]{12,}", "[0-9a-f]{32,}", "[A-Za-z0-9+/_=-]{16,}")))}),
+e AS (SELECT *, sum(length(gap) + length(match)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM m),
+x AS (SELECT *, stop - length(match) AS start, kind IN (1, 2) OR kind = 0 AND length(regexp_extract(match, '{_ASSIGN}', 2)) >= 8 AS base FROM e),
+s AS (SELECT replace(match, '.', '') AS word, max(secret) AS secret FROM (
+        SELECT CASE WHEN kind = 0 THEN regexp_extract(match, '{_ASSIGN}', 2) ELSE match END AS match, 1 AS secret FROM x WHERE base
+        UNION ALL SELECT match, 0 FROM x WHERE kind = 3 AND regexp_matches(match, '^([A-Z]?[a-z]+([/_=+-]?[A-Z]?[a-z]+)*[/_=+-]*[0-9]{{0,4}}|[A-Z]+([/_=+-][A-Z]+)*[/_=+-]*[0-9]{{0,4}}|[0-9]+)$')) GROUP BY match HAVING length(replace(match, '.', '')) >= 8),
+c AS (SELECT secret, substr('^' || word, i, 1) AS a, substr(word, i, 1) AS b, count(*) AS n FROM (SELECT secret, word, CAST(unnest(range(1, length(word) + 1)) AS INTEGER) AS i FROM s) GROUP BY ALL),
+letters AS (SELECT unnest(string_split('ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-', '')) AS b),
+befores AS (SELECT b AS a FROM letters UNION ALL SELECT '^'),
+logs AS (SELECT k.secret, a, b, ln((coalesce((SELECT n FROM c WHERE c.secret = k.secret AND c.a = befores.a AND c.b = letters.b), 0)
+            + 20 * ((coalesce((SELECT sum(n) FROM c WHERE c.secret = k.secret AND c.b = letters.b), 0) + 0.5) / (coalesce((SELECT sum(n) FROM c WHERE c.secret = k.secret), 0) + 0.5 * 67)))
+            / (coalesce((SELECT sum(n) FROM c WHERE c.secret = k.secret AND c.a = befores.a), 0) + 20)) AS l
+         FROM (VALUES (0), (1)) k(secret) CROSS JOIN befores CROSS JOIN letters),
+ratio AS (SELECT p.a, p.b, CAST(round(1000 * (p.l - q.l)) AS BIGINT) AS v FROM logs p JOIN logs q ON p.a = q.a AND p.b = q.b AND p.secret = 1 AND q.secret = 0),
+t AS (SELECT doc_id, start, stop, match, CAST(unnest(range(1, length(match) + 1)) AS INTEGER) AS i FROM x WHERE kind = 3),
+r AS (SELECT doc_id, start, stop FROM t JOIN ratio ON ratio.a = substr('^' || match, i, 1) AND ratio.b = substr(match, i, 1) GROUP BY doc_id, start, stop
+      HAVING sum(v) >= greatest(10000, 400 * (stop - start))),
+w AS (SELECT doc_id, kind, start, stop, true AS base FROM x WHERE base UNION ALL
+      SELECT doc_id, 3, start, stop, false FROM r WHERE NOT EXISTS (SELECT 1 FROM x b WHERE b.base AND b.doc_id = r.doc_id AND b.start < r.stop AND b.stop > r.start)),
+g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+             string_agg(['assign', 'access', 'hex', 'random'][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop) AS spans,
+             string_agg(['assign', 'access', 'hex', 'random'][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop) FILTER (base) AS own FROM w GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
+
+
+@query("op5_secrets", OP5_SQL)
 def op5(spark, sf_dir):
     """Secrets in every document."""
     return secrets(table(spark, sf_dir, "documents"))
