@@ -54,13 +54,23 @@ class AsOf:
     def back(self, days: int) -> Column:
         return self._lit(self.at - timedelta(days=days))
 
+    def within(self, time: Column | str, start: Column) -> Column:
+        """From ``start`` up to this moment; what comes later has not happened yet."""
+        time = F.col(time) if isinstance(time, str) else time
+        return (time >= start) & (time < self.now)
+
+    def today(self, time: Column | str) -> Column:
+        """The whole day of this moment."""
+        time = F.col(time) if isinstance(time, str) else time
+        return (time >= self.day) & (time < self._lit(self.at.replace(hour=0, minute=0, second=0, microsecond=0) + timedelta(days=1)))
+
 
 def _sum(c: str) -> Column:
     return F.round(F.sum(c), 2)
 
 
 def usage_summary(usage: DataFrame, as_of: AsOf, days: int = 30) -> DataFrame:
-    return usage.filter(F.col("timestamp") >= as_of.back(days)).groupBy("organization_id", "metric_type").agg(
+    return usage.filter(as_of.within("timestamp", as_of.back(days))).groupBy("organization_id", "metric_type").agg(
         F.count(F.lit(1)).alias("event_count"), _sum("metric_value").alias("total_value"),
         F.round(F.avg("metric_value"), 6).alias("avg_value"), F.max("metric_value").alias("max_value"),
         F.min("timestamp").alias("first_event"), F.max("timestamp").alias("last_event"),
@@ -70,13 +80,13 @@ def usage_summary(usage: DataFrame, as_of: AsOf, days: int = 30) -> DataFrame:
 def daily_usage(usage: DataFrame, as_of: AsOf, days: int = 30, exact: bool = True) -> DataFrame:
     """Per organisation, metric and day, with distinct users (optionally approximate)."""
     people = F.count_distinct("user_id") if exact else F.approx_count_distinct("user_id")
-    return usage.filter(F.col("timestamp") >= as_of.back(days)).groupBy(
+    return usage.filter(as_of.within("timestamp", as_of.back(days))).groupBy(
         "organization_id", "metric_type", F.to_date("timestamp").alias("usage_date")
     ).agg(F.count(F.lit(1)).alias("event_count"), _sum("metric_value").alias("total_value"), people.alias("unique_users"))
 
 
 def user_usage(usage: DataFrame, as_of: AsOf, days: int = 30) -> DataFrame:
-    return usage.filter(F.col("timestamp") >= as_of.back(days)).groupBy("user_id", "metric_type").agg(
+    return usage.filter(as_of.within("timestamp", as_of.back(days))).groupBy("user_id", "metric_type").agg(
         F.count(F.lit(1)).alias("event_count"), _sum("metric_value").alias("total_value"),
         F.to_date(F.min("timestamp")).alias("first_activity"), F.to_date(F.max("timestamp")).alias("last_activity"),
     )
@@ -88,7 +98,7 @@ def top_users(usage: DataFrame, users: DataFrame, as_of: AsOf, days: int = 30, k
     Aggregated before ranking; the rank filter is applied in each task before
     the ranking shuffle, so a large organisation does not move all its users.
     """
-    totals = usage.filter(F.col("timestamp") >= as_of.back(days)).groupBy("organization_id", "metric_type", "user_id").agg(
+    totals = usage.filter(as_of.within("timestamp", as_of.back(days))).groupBy("organization_id", "metric_type", "user_id").agg(
         F.count(F.lit(1)).alias("event_count"), _sum("metric_value").alias("total_value"), F.max("timestamp").alias("last_activity")
     )
     rank = F.row_number().over(W.partitionBy("organization_id", "metric_type").orderBy(F.col("total_value").desc(), "user_id"))
@@ -101,7 +111,7 @@ def usage_trend(usage: DataFrame, as_of: AsOf, days: int = 7) -> DataFrame:
 
     The windows run over daily totals, at most ``days`` + 1 rows per group.
     """
-    daily = usage.filter(F.col("timestamp") >= as_of.back(days)).groupBy(
+    daily = usage.filter(as_of.within("timestamp", as_of.back(days))).groupBy(
         "organization_id", "metric_type", F.to_date("timestamp").alias("d")
     ).agg(F.sum("metric_value").alias("v"))
     group = W.partitionBy("organization_id", "metric_type")
@@ -117,16 +127,16 @@ def usage_trend(usage: DataFrame, as_of: AsOf, days: int = 7) -> DataFrame:
 
 
 def hourly_pattern(usage: DataFrame, as_of: AsOf, days: int = 7) -> DataFrame:
-    return usage.filter(F.col("timestamp") >= as_of.back(days)).groupBy(
+    return usage.filter(as_of.within("timestamp", as_of.back(days))).groupBy(
         "organization_id", "metric_type", F.hour("timestamp").alias("hour")
     ).agg(F.round(F.avg("metric_value"), 6).alias("avg_value"))
 
 
 def current_usage(usage: DataFrame, as_of: AsOf) -> DataFrame:
     """Totals of today and of the month to date in one pass."""
-    today = F.when(F.col("timestamp") >= as_of.day, F.col("metric_value"))
-    return usage.filter(F.col("timestamp") >= as_of.month).groupBy("organization_id", "metric_type").agg(
-        F.round(F.sum(today), 2).alias("today_total"), _sum("metric_value").alias("month_total")
+    today, month = as_of.today("timestamp"), as_of.within("timestamp", as_of.month)
+    return usage.filter(today | month).groupBy("organization_id", "metric_type").agg(
+        F.round(F.sum(F.when(today, F.col("metric_value"))), 2).alias("today_total"), F.round(F.sum(F.when(month, F.col("metric_value"))), 2).alias("month_total")
     )
 
 
@@ -138,13 +148,15 @@ def with_limits(orgs: DataFrame, limits: DataFrame) -> DataFrame:
 
 def usage_against_limits(
     orgs: DataFrame, experiments: DataFrame, usage: DataFrame, limits: DataFrame, as_of: AsOf,
-    api_metric: str = "api_call", storage_metric: str = "storage",
+    api_metric: str = "api_call", storage_metric: str = "storage", usage_as_of: AsOf | None = None,
 ) -> DataFrame:
-    exps = experiments.filter(F.col("created_at") >= as_of.month).groupBy("organization_id").agg(F.count(F.lit(1)).alias("experiments"))
+    """Use of this month, of today and of all storage so far; ``usage_as_of`` if usage has a moment of its own."""
+    at = usage_as_of or as_of
+    exps = experiments.filter(as_of.within("created_at", as_of.month)).groupBy("organization_id").agg(F.count(F.lit(1)).alias("experiments"))
     value, metric = F.col("metric_value"), F.col("metric_type")
     used = usage.filter(metric.isin(api_metric, storage_metric)).groupBy("organization_id").agg(
-        F.sum(F.when((metric == api_metric) & (F.col("timestamp") >= as_of.day), value)).alias("api"),
-        F.sum(F.when(metric == storage_metric, value)).alias("bytes"),
+        F.sum(F.when((metric == api_metric) & at.today("timestamp"), value)).alias("api"),
+        F.sum(F.when((metric == storage_metric) & (F.col("timestamp") < at.now), value)).alias("bytes"),
     )
     return (
         with_limits(orgs, limits).join(exps, "organization_id", "left").join(used, "organization_id", "left")
@@ -187,7 +199,7 @@ def _count_if(c: Column, name: str) -> Column:
 def user_counts(users: DataFrame, as_of: AsOf, by: list[str]) -> DataFrame:
     return users.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total_users"), _count_if(F.col("is_active"), "active_users"), _count_if(F.col("is_admin"), "admin_users"),
-        _count_if(F.col("is_system_admin"), "system_admin_users"), _count_if(F.col("created_at") >= as_of.month, "new_users_this_month"),
+        _count_if(F.col("is_system_admin"), "system_admin_users"), _count_if(as_of.within("created_at", as_of.month), "new_users_this_month"),
     )
 
 
@@ -202,8 +214,8 @@ def experiment_counts(experiments: DataFrame, as_of: AsOf, by: list[str]) -> Dat
     out = experiments.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total_experiments"), _count_if(_status("completed"), "completed_experiments"),
         _count_if(_status("processing"), "processing_experiments"), _count_if(_status("failed"), "failed_experiments"),
-        _count_if(at >= as_of.month, "experiments_this_month"), _count_if(at >= as_of.week, "experiments_this_week"),
-        _count_if(at >= as_of.day, "experiments_today"), (F.avg(seconds) / 1e6).alias("s"),
+        _count_if(as_of.within(at, as_of.month), "experiments_this_month"), _count_if(as_of.within(at, as_of.week), "experiments_this_week"),
+        _count_if(as_of.today(at), "experiments_today"), (F.avg(seconds) / 1e6).alias("s"),
     )
     return out.withColumn("avg_processing_time_seconds", F.round("s", 4)).withColumn("avg_processing_time_minutes", F.round(F.col("s") / 60, 4)).drop("s")
 
@@ -245,7 +257,7 @@ def user_detail(
     """Experiments and usage per user, each side aggregated before the join."""
     e = experiments.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("ne"), F.count_if(_status("completed")).alias("nc"), F.count_if(_status("failed")).alias("nf"),
-        F.count_if(_status("processing")).alias("np"), F.count_if(F.col("created_at") >= as_of.month).alias("nm"), F.max("created_at").alias("last_experiment_date"),
+        F.count_if(_status("processing")).alias("np"), F.count_if(as_of.within("created_at", as_of.month)).alias("nm"), F.max("created_at").alias("last_experiment_date"),
     )
     value, metric = F.col("metric_value"), F.col("metric_type")
     # The multiplied form needs the count of all usage rows, the counted form only two metrics.
@@ -271,23 +283,23 @@ def system_statistics(users: DataFrame, orgs: DataFrame, experiments: DataFrame,
     """System-wide numbers in long form: ``(section, name, value)``."""
     u = users.agg(
         F.count(F.lit(1)).alias("total_users"), _count_if(F.col("is_active"), "active_users"), _count_if(F.col("is_admin"), "admin_users"),
-        _count_if(F.col("is_system_admin"), "system_admin_users"), _count_if(F.col("created_at") >= as_of.month, "new_users_this_month"),
+        _count_if(F.col("is_system_admin"), "system_admin_users"), _count_if(as_of.within("created_at", as_of.month), "new_users_this_month"),
     )
     o = orgs.agg(
         F.count(F.lit(1)).alias("total_organizations"), _count_if(F.col("is_active"), "active_organizations"),
-        _count_if(F.col("created_at") >= as_of.month, "new_organizations_this_month"),
+        _count_if(as_of.within("created_at", as_of.month), "new_organizations_this_month"),
     )
     at = F.col("created_at")
     e = experiments.agg(
         F.count(F.lit(1)).alias("total_experiments"), _count_if(_status("completed"), "completed_experiments"), _count_if(_status("processing"), "processing_experiments"),
-        _count_if(_status("failed"), "failed_experiments"), _count_if(at >= as_of.month, "experiments_this_month"), _count_if(at >= as_of.day, "experiments_today"),
+        _count_if(_status("failed"), "failed_experiments"), _count_if(as_of.within(at, as_of.month), "experiments_this_month"), _count_if(as_of.today(at), "experiments_today"),
     )
 
     def long(df: DataFrame, section: str) -> DataFrame:
         pairs = [F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in df.columns]
         return df.select(F.lit(section).alias("section"), F.inline(F.array(*pairs)))
 
-    t = usage.filter(F.col("timestamp") >= usage_as_of.month).groupBy("metric_type").agg(_sum("metric_value").alias("total"), F.count(F.lit(1)).alias("n"))
+    t = usage.filter(usage_as_of.within("timestamp", usage_as_of.month)).groupBy("metric_type").agg(_sum("metric_value").alias("total"), F.count(F.lit(1)).alias("n"))
     pairs = F.array(
         F.struct(F.concat("metric_type", F.lit("_total")).alias("name"), F.col("total").alias("value")),
         F.struct(F.concat("metric_type", F.lit("_events")).alias("name"), F.col("n").cast("double").alias("value")),
@@ -303,7 +315,7 @@ def session_statistics(sessions: DataFrame, users: DataFrame, as_of: AsOf, by: l
     )
     out = owned.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total_sessions"), _count_if(F.col("s_active") & (F.col("expires_at") > as_of.now), "active_sessions"),
-        _count_if(F.col("s_created") >= as_of.day, "sessions_today"), _count_if(F.col("s_created") >= as_of.week, "sessions_this_week"), F.avg(seconds).alias("s"),
+        _count_if(as_of.today("s_created"), "sessions_today"), _count_if(as_of.within("s_created", as_of.week), "sessions_this_week"), F.avg(seconds).alias("s"),
     )
     return out.withColumn("avg_session_duration_seconds", F.round("s", 3)).withColumn("avg_session_duration_minutes", F.round(F.col("s") / 60, 3)).drop("s")
 
@@ -334,7 +346,7 @@ def call_statistics(calls: DataFrame, by: str) -> DataFrame:
 
 def remaining_requests(usage: DataFrame, as_of: AsOf, days: int, limit: int) -> DataFrame:
     """Share of a request limit left per user and metric, flagged when under 20 %."""
-    used = usage.filter(F.col("timestamp") >= as_of.back(days)).groupBy("user_id", "metric_type").agg(F.count(F.lit(1)).alias("used"))
+    used = usage.filter(as_of.within("timestamp", as_of.back(days))).groupBy("user_id", "metric_type").agg(F.count(F.lit(1)).alias("used"))
     left = F.greatest(F.lit(limit) - F.col("used"), F.lit(0))
     pct = left * 100.0 / limit
     return used.select("user_id", "metric_type", "used", left.alias("remaining"), F.round(pct, 4).alias("remaining_pct"), (pct < RATE_WARN_PERCENT).alias("nearly_reached"))

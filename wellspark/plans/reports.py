@@ -12,8 +12,8 @@ from wellspark.plans.views import (
 
 U, E = rp.AsOf.of(USAGE_AS_OF), rp.AsOf.of(EXPERIMENTS_AS_OF)
 API, STORAGE = "click", "view"
-SINCE = "\"timestamp\" >= TIMESTAMP '2024-01-01 00:00:00'"
-WEEK = "\"timestamp\" >= TIMESTAMP '2024-01-24 00:00:00'"
+SINCE = "\"timestamp\" >= TIMESTAMP '2024-01-01 00:00:00' AND \"timestamp\" < TIMESTAMP '2024-01-31 00:00:00'"
+WEEK = "\"timestamp\" >= TIMESTAMP '2024-01-24 00:00:00' AND \"timestamp\" < TIMESTAMP '2024-01-31 00:00:00'"
 BY_ORG = "organization_id, metric_type"
 
 
@@ -63,8 +63,9 @@ def agg_06(spark, sf):
 
 
 @query("agg_07_current_usage", """
-SELECT organization_id, metric_type, round(sum(CASE WHEN "timestamp" >= TIMESTAMP '2024-01-20' THEN metric_value END), 2) AS today_total, round(sum(metric_value), 2) AS month_total
-FROM usage WHERE "timestamp" >= TIMESTAMP '2024-01-01' GROUP BY organization_id, metric_type""")
+SELECT organization_id, metric_type, round(sum(CASE WHEN "timestamp"::DATE = DATE '2024-01-20' THEN metric_value END), 2) AS today_total,
+  round(sum(CASE WHEN "timestamp" < TIMESTAMP '2024-01-20 09:30:00' THEN metric_value END), 2) AS month_total
+FROM usage WHERE "timestamp" >= TIMESTAMP '2024-01-01' AND "timestamp" < TIMESTAMP '2024-01-21' GROUP BY organization_id, metric_type""")
 def agg_07(spark, sf):
     return rp.current_usage(usage(spark, sf), rp.AsOf.of("2024-01-20 09:30:00"))
 
@@ -73,14 +74,14 @@ CURRENT = """
 SELECT o.id AS organization_id, coalesce(n, 0) AS experiments, coalesce(experiments_monthly, 100)::BIGINT AS experiments_limit, round(coalesce(api, 0), 2) AS api_calls,
   coalesce(api_calls_daily, 1000)::BIGINT AS api_calls_limit, round(coalesce(bytes, 0) / 1048576, 6) AS storage_mb, coalesce(l.storage_mb, 1024)::BIGINT AS storage_limit_mb
 FROM organizations o LEFT JOIN limits l ON l.organization_id = o.id
-LEFT JOIN (SELECT organization_id, count(*) AS n FROM experiments WHERE created_at >= TIMESTAMP '2001-07-01' GROUP BY 1) e ON e.organization_id = o.id
-LEFT JOIN (SELECT organization_id, sum(CASE WHEN metric_type = 'click' AND "timestamp" >= TIMESTAMP '2001-07-20' THEN metric_value END) AS api,
-  sum(CASE WHEN metric_type = 'view' THEN metric_value END) AS bytes FROM usage GROUP BY 1) u ON u.organization_id = o.id"""
+LEFT JOIN (SELECT organization_id, count(*) AS n FROM experiments WHERE created_at >= TIMESTAMP '2001-07-01' AND created_at < TIMESTAMP '2001-07-20 10:00:00' GROUP BY 1) e ON e.organization_id = o.id
+LEFT JOIN (SELECT organization_id, sum(CASE WHEN metric_type = 'click' AND "timestamp"::DATE = DATE '2024-01-20' THEN metric_value END) AS api,
+  sum(CASE WHEN metric_type = 'view' AND "timestamp" < TIMESTAMP '2024-01-20 10:00:00' THEN metric_value END) AS bytes FROM usage GROUP BY 1) u ON u.organization_id = o.id"""
 
 
 def current(spark, sf):
     at = rp.AsOf.of("2001-07-20 10:00:00")
-    return rp.usage_against_limits(organizations(spark, sf), experiments(spark, sf), usage(spark, sf), limits(spark, sf), at, API, STORAGE)
+    return rp.usage_against_limits(organizations(spark, sf), experiments(spark, sf), usage(spark, sf), limits(spark, sf), at, API, STORAGE, rp.AsOf.of("2024-01-20 10:00:00"))
 
 
 @query("agg_08_usage_against_limits", CURRENT)
@@ -107,7 +108,7 @@ def agg_10(spark, sf):
 
 
 USER_COUNTS = """count(*) AS total_users, count(*) FILTER (is_active) AS active_users, count(*) FILTER (is_admin) AS admin_users,
-  count(*) FILTER (is_system_admin) AS system_admin_users, count(*) FILTER (created_at >= TIMESTAMP '2001-08-01') AS new_users_this_month"""
+  count(*) FILTER (is_system_admin) AS system_admin_users, count(*) FILTER (created_at >= TIMESTAMP '2001-08-01' AND created_at < TIMESTAMP '2001-08-15') AS new_users_this_month"""
 
 
 @query("agg_11_user_counts", f"SELECT organization_id, {USER_COUNTS} FROM users GROUP BY organization_id")
@@ -120,8 +121,8 @@ EXP_COUNTS = """count(*) AS total_experiments, count(*) FILTER (status = 'comple
 
 
 @query("agg_12_experiment_counts", f"""
-SELECT organization_id, {EXP_COUNTS}, count(*) FILTER (created_at >= TIMESTAMP '2001-07-01') AS experiments_this_month, count(*) FILTER (created_at >= TIMESTAMP '2001-07-16') AS experiments_this_week,
-  count(*) FILTER (created_at >= TIMESTAMP '2001-07-20') AS experiments_today, round(avg(epoch(completed_at - created_at)), 4) AS avg_processing_time_seconds,
+SELECT organization_id, {EXP_COUNTS}, count(*) FILTER (created_at >= TIMESTAMP '2001-07-01' AND created_at < TIMESTAMP '2001-07-20 08:00:00') AS experiments_this_month, count(*) FILTER (created_at >= TIMESTAMP '2001-07-16' AND created_at < TIMESTAMP '2001-07-20 08:00:00') AS experiments_this_week,
+  count(*) FILTER (created_at::DATE = DATE '2001-07-20') AS experiments_today, round(avg(epoch(completed_at - created_at)), 4) AS avg_processing_time_seconds,
   round(avg(epoch(completed_at - created_at)) / 60, 4) AS avg_processing_time_minutes FROM experiments GROUP BY organization_id""")
 def agg_12(spark, sf):
     return rp.experiment_counts(experiments(spark, sf), rp.AsOf.of("2001-07-20 08:00:00"), ["organization_id"])
@@ -146,7 +147,7 @@ def join_05(spark, sf):
 
 @query("join_05b_user_reference_counts", f"""
 SELECT u.id AS user_id, u.organization_id, email, username, count(e.id) AS experiment_count, count(*) FILTER (e.status = 'completed') AS completed_experiments, count(*) FILTER (e.status = 'failed') AS failed_experiments,
-  count(*) FILTER (e.status = 'processing') AS processing_experiments, count(*) FILTER (e.created_at >= TIMESTAMP '2001-08-01') AS experiments_this_month, max(e.created_at) AS last_experiment_date,
+  count(*) FILTER (e.status = 'processing') AS processing_experiments, count(*) FILTER (e.created_at >= TIMESTAMP '2001-08-01' AND e.created_at < TIMESTAMP '2001-08-15') AS experiments_this_month, max(e.created_at) AS last_experiment_date,
   round(coalesce(sum(CASE WHEN metric_type = 'click' THEN metric_value END), 0), 2) AS api_calls, round(coalesce(sum(CASE WHEN metric_type = 'view' THEN metric_value END), 0), 2) AS storage_used,
   round(coalesce(sum(CASE WHEN metric_type = 'view' THEN metric_value END), 0) / 1048576, 6) AS storage_used_mb
 FROM users u LEFT JOIN experiments e ON e.user_id = u.id LEFT JOIN usage t ON t.user_id = u.id GROUP BY u.id, u.organization_id, email, username""")
@@ -156,13 +157,13 @@ def join_05b(spark, sf):
 
 @query("agg_14_system_statistics", """
 SELECT 'users' AS section, name, value FROM (SELECT count(*)::DOUBLE AS total_users, count(*) FILTER (is_active)::DOUBLE AS active_users, count(*) FILTER (is_admin)::DOUBLE AS admin_users,
-   count(*) FILTER (is_system_admin)::DOUBLE AS system_admin_users, count(*) FILTER (created_at >= TIMESTAMP '2001-08-01')::DOUBLE AS new_users_this_month FROM users) UNPIVOT (value FOR name IN (*))
+   count(*) FILTER (is_system_admin)::DOUBLE AS system_admin_users, count(*) FILTER (created_at >= TIMESTAMP '2001-08-01' AND created_at < TIMESTAMP '2001-08-15')::DOUBLE AS new_users_this_month FROM users) UNPIVOT (value FOR name IN (*))
 UNION ALL SELECT 'organizations', name, value FROM (SELECT count(*)::DOUBLE AS total_organizations, count(*) FILTER (is_active)::DOUBLE AS active_organizations,
-   count(*) FILTER (created_at >= TIMESTAMP '2001-08-01')::DOUBLE AS new_organizations_this_month FROM organizations) UNPIVOT (value FOR name IN (*))
+   count(*) FILTER (created_at >= TIMESTAMP '2001-08-01' AND created_at < TIMESTAMP '2001-08-15')::DOUBLE AS new_organizations_this_month FROM organizations) UNPIVOT (value FOR name IN (*))
 UNION ALL SELECT 'experiments', name, value FROM (SELECT count(*)::DOUBLE AS total_experiments, count(*) FILTER (status = 'completed')::DOUBLE AS completed_experiments, count(*) FILTER (status = 'processing')::DOUBLE AS processing_experiments,
-   count(*) FILTER (status = 'failed')::DOUBLE AS failed_experiments, count(*) FILTER (created_at >= TIMESTAMP '2001-08-01')::DOUBLE AS experiments_this_month, count(*) FILTER (created_at >= TIMESTAMP '2001-08-15')::DOUBLE AS experiments_today FROM experiments) UNPIVOT (value FOR name IN (*))
-UNION ALL SELECT 'usage_this_month', metric_type || '_total', round(sum(metric_value), 2) FROM usage WHERE "timestamp" >= TIMESTAMP '2024-01-01' GROUP BY metric_type
-UNION ALL SELECT 'usage_this_month', metric_type || '_events', count(*)::DOUBLE FROM usage WHERE "timestamp" >= TIMESTAMP '2024-01-01' GROUP BY metric_type""")
+   count(*) FILTER (status = 'failed')::DOUBLE AS failed_experiments, count(*) FILTER (created_at >= TIMESTAMP '2001-08-01' AND created_at < TIMESTAMP '2001-08-15')::DOUBLE AS experiments_this_month, count(*) FILTER (created_at::DATE = DATE '2001-08-15')::DOUBLE AS experiments_today FROM experiments) UNPIVOT (value FOR name IN (*))
+UNION ALL SELECT 'usage_this_month', metric_type || '_total', round(sum(metric_value), 2) FROM usage WHERE "timestamp" >= TIMESTAMP '2024-01-01' AND "timestamp" < TIMESTAMP '2024-01-31' GROUP BY metric_type
+UNION ALL SELECT 'usage_this_month', metric_type || '_events', count(*)::DOUBLE FROM usage WHERE "timestamp" >= TIMESTAMP '2024-01-01' AND "timestamp" < TIMESTAMP '2024-01-31' GROUP BY metric_type""")
 def agg_14(spark, sf):
     return rp.system_statistics(users(spark, sf), organizations(spark, sf), experiments(spark, sf), usage(spark, sf), E, U)
 
@@ -172,7 +173,7 @@ SELECT u.id AS user_id, u.organization_id, email, username, coalesce(ne, 0) AS e
   coalesce(np, 0) AS processing_experiments, coalesce(nm, 0) AS experiments_this_month, last_experiment_date,
   round(coalesce(api, 0), 2) AS api_calls, round(coalesce(bytes, 0), 2) AS storage_used, round(coalesce(bytes, 0) / 1048576, 6) AS storage_used_mb
 FROM users u LEFT JOIN (SELECT user_id, count(*) AS ne, count(*) FILTER (status = 'completed') AS nc, count(*) FILTER (status = 'failed') AS nf, count(*) FILTER (status = 'processing') AS np,
-    count(*) FILTER (created_at >= TIMESTAMP '2001-08-01') AS nm, max(created_at) AS last_experiment_date FROM experiments GROUP BY 1) e ON e.user_id = u.id
+    count(*) FILTER (created_at >= TIMESTAMP '2001-08-01' AND created_at < TIMESTAMP '2001-08-15') AS nm, max(created_at) AS last_experiment_date FROM experiments GROUP BY 1) e ON e.user_id = u.id
 LEFT JOIN (SELECT user_id, sum(CASE WHEN metric_type = 'click' THEN metric_value END) AS api, sum(CASE WHEN metric_type = 'view' THEN metric_value END) AS bytes FROM usage GROUP BY 1) t ON t.user_id = u.id"""
 
 
@@ -192,7 +193,7 @@ def agg_16(spark, sf):
 
 @query("agg_17_session_statistics", """
 SELECT u.organization_id, count(*) AS total_sessions, count(*) FILTER (s.is_active AND expires_at > TIMESTAMP '2024-01-30 12:00:00') AS active_sessions,
-  count(*) FILTER (s.created_at >= TIMESTAMP '2024-01-30') AS sessions_today, count(*) FILTER (s.created_at >= TIMESTAMP '2024-01-29') AS sessions_this_week,
+  count(*) FILTER (s.created_at::DATE = DATE '2024-01-30') AS sessions_today, count(*) FILTER (s.created_at >= TIMESTAMP '2024-01-29' AND s.created_at < TIMESTAMP '2024-01-30 12:00:00') AS sessions_this_week,
   round(avg(epoch(last_activity - s.created_at)), 3) AS avg_session_duration_seconds, round(avg(epoch(last_activity - s.created_at)) / 60, 3) AS avg_session_duration_minutes
 FROM sessions s JOIN users u ON u.id = s.user_id GROUP BY u.organization_id""")
 def agg_17(spark, sf):
@@ -226,9 +227,9 @@ def agg_22(spark, sf):
     return rp.call_statistics(calls, "metric_type")
 
 
-@query("agg_23_record_count", "SELECT organization_id, count(*) AS n FROM experiments WHERE status = 'failed' AND created_at >= TIMESTAMP '2000-08-15' GROUP BY organization_id")
+@query("agg_23_record_count", "SELECT organization_id, count(*) AS n FROM experiments WHERE status = 'failed' AND created_at >= TIMESTAMP '2000-08-15' AND created_at < TIMESTAMP '2001-08-15' GROUP BY organization_id")
 def agg_23(spark, sf):
-    matching = experiments(spark, sf).filter((F.col("status") == "failed") & (F.col("created_at") >= E.back(365)))
+    matching = experiments(spark, sf).filter((F.col("status") == "failed") & E.within("created_at", E.back(365)))
     return matching.groupBy("organization_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -298,9 +299,9 @@ def win_02(spark, sf):
 
 @query("join_08_calendar", """
 SELECT d::DATE AS day, coalesce(n, 0) AS n FROM (SELECT unnest(generate_series(TIMESTAMP '2001-07-17', TIMESTAMP '2001-08-15', INTERVAL 1 DAY)) AS d)
-LEFT JOIN (SELECT created_at::DATE AS day, count(*) AS n FROM experiments GROUP BY 1) c ON c.day = d::DATE""")
+LEFT JOIN (SELECT created_at::DATE AS day, count(*) AS n FROM experiments WHERE created_at < TIMESTAMP '2001-08-15' GROUP BY 1) c ON c.day = d::DATE""")
 def join_08(spark, sf):
-    recent = experiments(spark, sf).filter(F.col("created_at") >= E.back(30))
+    recent = experiments(spark, sf).filter(E.within("created_at", E.back(30)))
     return rp.calendar_counts(recent, F.to_date("created_at"), E)
 
 
@@ -323,7 +324,7 @@ def win_03(spark, sf):
     from pyspark.sql import Window as W
 
     # One row per day and group, so a group holds at most as many rows as the period has days.
-    days = usage(spark, sf).filter(F.col("timestamp") >= U.back(30)).select("organization_id", "metric_type", F.to_date("timestamp").alias("day")).distinct()
+    days = usage(spark, sf).filter(U.within("timestamp", U.back(30))).select("organization_id", "metric_type", F.to_date("timestamp").alias("day")).distinct()
     g = W.partitionBy("organization_id", "metric_type")
     ranked = days.withColumn("k", F.row_number().over(g.orderBy("day"))).withColumn("n", F.count(F.lit(1)).over(g))
     return ranked.select("organization_id", "metric_type", "day", F.when(F.col("k") <= F.floor(F.col("n") / 2), 1).otherwise(2).alias("half"))
