@@ -25,24 +25,40 @@ class WordIds:
     """Token ids of words as little-endian bytes.
 
     The tokenizer's own splitting separates at white space and drops it, so a
-    text's ids are the ids of its words one after the other.
+    text's ids are the ids of its words one after the other.  It lowers all
+    letters, so words are kept in lower case (not in texts that may hold a
+    special token's string), and it separates signs from letters and digits, so
+    the signs that end a word are encoded apart from it.
     """
 
+    SIGNS = b'.,;:!?#$%&*|"'
+
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
+    @staticmethod
+    def words(text: bytes) -> list[bytes]:
+        return text.split() if b"<|" in text else text.lower().split()
+
     def encode(self, documents: list[list[bytes]]) -> list[bytes]:
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
         known = self.known
-        missing = list({w for words in documents for w in words if w not in known})
-        for i in range(0, len(missing), 10_000):
-            part = missing[i : i + 10_000]
+        missing = {w for words in documents for w in words if w not in known}
+        parted = {}
+        for w in missing:
+            core = w.rstrip(self.SIGNS)
+            if len(core) < len(w) and core[-1:].isalnum():
+                parted[w] = core, w[len(core) :]
+        single = list({p for w in missing for p in parted.get(w, (w,)) if p not in known})
+        for i in range(0, len(single), 10_000):
+            part = single[i : i + 10_000]
             for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
                 known[word] = np.array(e.ids, "<u4").tobytes()
+        known.update((w, known[core] + known[signs]) for w, (core, signs) in parted.items())
         return [b"".join([known[w] for w in words]) for words in documents]
 
 
@@ -59,7 +75,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for part in slices(batch, "text"):
                 at, piece, start, size, crc = [], [], [], [], []
-                for i, ids in enumerate(_LOADED[tokenizer].encode([t.split() for t in texts(part.column("text"))])):
+                for i, ids in enumerate(_LOADED[tokenizer].encode([WordIds.words(t) for t in texts(part.column("text"))])):
                     ids += bytes(4)
                     for p, lo in enumerate(range(0, len(ids), 4 * length)):
                         own = ids[lo : lo + 4 * length]
