@@ -121,8 +121,11 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, parts: int
     """A model from at most ``per_language`` documents of each language outside the held-out fold; None without any."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     own = own.filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~learned_apart(F.col("id"), parts, held_out))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = own.select("id", "lang").withColumn("n", first).filter(F.col("n") <= per_language).select("id", "lang").distinct()
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+    rates = own.groupBy("lang").agg((F.lit(2.0 * per_language * (1 << 40)) / F.count("*")).alias("below"))  # twice the rows wanted at most meet in a task
+    few = own.select("id", "lang", place.alias("place")).join(rates, "lang").filter("place <= below")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("place", "id"))
+    chosen = few.withColumn("n", first).filter(F.col("n") <= per_language).select("id", "lang").distinct()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
