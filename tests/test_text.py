@@ -139,4 +139,4 @@ def test_upload_names(spark):
 def test_sanitized_string(spark):
     df = spark.createDataFrame([("<b>Hi</b> a&b JAVASCRIPT:x \x00",), ("x" * 2000,)], "t string")
     got = [r[0] for r in df.select(cl.sanitize_string(F.col("t"))).collect()]
-    assert got[0] == "Hi a&amp;b JAVASCRIPT_x" and len(got[1]) == 1000
+    assert got[0] == "Hi a&amp;b JAVASCRIPT_x" and len(got[1]) == 2000

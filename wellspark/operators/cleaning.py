@@ -190,11 +190,16 @@ def sanitize_html(text: Column) -> Column:
     return out
 
 
-def sanitize_string(text: Column, max_length: int = 1000) -> Column:
-    """Tags removed, the rest escaped, length limited, URL schemes made harmless."""
-    t = F.substring(normalize(F.replace(text, F.lit("\x00"), F.lit(""))), 1, max_length)
-    t = F.regexp_replace(t, "<[^>]*>", "")
-    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+def sanitize_string(text: Column, max_length: int | None = None) -> Column:
+    """Tags removed, the rest escaped, URL schemes made harmless; shortened only where a length is asked for.
+
+    A tag starts with a letter, ``/``, ``!`` or ``?``, so comparison signs stay; entities are not escaped again.
+    """
+    t = normalize(F.replace(text, F.lit("\x00"), F.lit("")))
+    t = t if max_length is None else F.substring(t, 1, max_length)
+    t = F.regexp_replace(t, "<[A-Za-z/!?][^>]*>", "")
+    t = F.regexp_replace(t, "&(?!(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);)", "&amp;")
+    for raw, safe in (("<", "&lt;"), (">", "&gt;")):
         t = F.replace(t, F.lit(raw), F.lit(safe))
     for scheme in DANGEROUS_SCHEMES:
         for s in (scheme, scheme.upper()):

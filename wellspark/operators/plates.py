@@ -190,14 +190,10 @@ def check_plates(wells: DataFrame, value: str, expected: int = 96) -> DataFrame:
     )
 
 
-def bad_wells(wells: DataFrame, expected: int = 96, show: int = 5) -> DataFrame:
-    """The first bad well ids of each plate, as a text for a report line."""
-    from pyspark.sql import Window as W
-
-    pattern = FORMATS[expected][2]
-    bad = wells.filter(F.coalesce(~F.col("well_id").rlike(pattern), F.lit(True))).select("plate_id", "well_id").distinct()
-    ranked = bad.withColumn("k", F.row_number().over(W.partitionBy("plate_id").orderBy("well_id"))).filter(F.col("k") <= show)
-    return ranked.groupBy("plate_id").agg(F.array_join(F.sort_array(F.collect_list("well_id")), ",").alias("bad_wells"))
+def bad_wells(wells: DataFrame, expected: int = 96) -> DataFrame:
+    """Every bad well id of each plate with the number of its rows."""
+    bad = wells.filter(F.coalesce(~F.col("well_id").rlike(FORMATS[expected][2]), F.lit(True)))
+    return bad.groupBy("plate_id", "well_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def run_summary(wells: DataFrame, keys: tuple[str, str] = ("plate_id", "well_id")) -> DataFrame:

@@ -80,9 +80,10 @@ def field_names(long: DataFrame, limit: int = 2000) -> list[str]:
 
 
 def widen(long: DataFrame, fields: list[str] | None = None) -> DataFrame:
-    """One column per field, named in sorted order."""
+    """One column per field, named in sorted order; wells of different files stay apart where ``file`` is known."""
     names = field_names(long) if fields is None else sorted(fields)
-    return long.groupBy("plate_id", "well_id").pivot("field", names).agg(F.max("value"))
+    keys = [c for c in ("file", "plate_id", "well_id") if c in long.columns]
+    return long.groupBy(*keys).pivot("field", names).agg(F.max("value"))
 
 
 def check_protocol(long: DataFrame, pattern: str = r"^[A-H][0-9]{1,2}$") -> DataFrame:

@@ -1,15 +1,15 @@
 """Delimiter, header and data-block detection over ``(file, line_no, line)``.
 
-Every function looks at many files at once.  Decisions that need only the head of
-a file filter on ``line_no`` straight after the scan, so that the per-file
-aggregates move a bounded number of rows whatever the file size.
+Every function looks at many files at once and at all their lines.  What is known
+of a file comes from histograms and minima that each task sums up before the
+shuffle, so a long file moves no more rows than a short one.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wellspark.functions.values import count_of, is_num, let
+from wellspark.functions.values import count_of, is_num
 
 # Candidate delimiters in tie order, and words that end a data block.
 DELIMITERS = [",", ";", "\t", "|"]
@@ -61,54 +61,48 @@ def _candidates(lines: DataFrame, delimiters: list[str]) -> DataFrame:
     return lines.select("file", "line_no", F.inline(F.array(*options)))
 
 
-def mode_of(values: Column) -> Column:
-    """``STRUCT<n, value>`` of the most frequent number of a short array; the smaller value wins a tie."""
-    counted = F.transform(
-        F.array_distinct(values), lambda v: F.struct(F.size(F.filter(values, lambda x: x == v)).alias("n"), (-v).alias("neg"))
-    )
-    return let(F.array_max(counted), lambda m: F.struct(m["n"].alias("n"), (-m["neg"]).alias("value")))
+def _score(mode: Column, ratio: Column, semicolon: Column, fixed: bool) -> Column:
+    points = (
+        ratio * 100
+        + F.when(mode.isin(8, 12, 96), 50).when(mode > 4, 10).otherwise(0)
+        - F.when(mode < 2, 50).when(mode > 50, 20).otherwise(0)
+        + F.when(semicolon & (ratio > 0.8), 20).otherwise(0)
+    ).cast("double")
+    return F.when(mode < 2, F.lit(0.0)).otherwise(points) if fixed else points
 
 
-def _score(widths: Column, delimiter: str, fixed: bool) -> Column:
-    def score(m: Column) -> Column:
-        mode, ratio = m["value"], m["n"] / F.size(widths)
-        points = (
-            ratio * 100
-            + F.when(mode.isin(8, 12, 96), 50).when(mode > 4, 10).otherwise(0)
-            - F.when(mode < 2, 50).when(mode > 50, 20).otherwise(0)
-            + (F.when(ratio > 0.8, 20).otherwise(0) if delimiter == ";" else F.lit(0))
-        ).cast("double")
-        return F.when(mode < 2, F.lit(0.0)).otherwise(points) if fixed else points
+def width_modes(lines: DataFrame, sample: int | None = None) -> DataFrame:
+    """``(file, rank, delimiter, mode, ratio)``: the commonest width by each candidate and its share of the non-blank lines.
 
-    return let(mode_of(widths), score)
+    All lines count, unless the first ``sample`` are asked for.  The smaller
+    width wins a tie.  A file without such lines has NULL for both.
+    """
+    some = not_blank() if sample is None else not_blank() & (F.col("line_no") < sample)
+    widths = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(d).alias("delimiter"), F.when(some, width(F.col("line"), d)).alias("n_cols")) for i, d in enumerate(DELIMITERS)])
+    each = lines.select("file", F.inline(widths))
+    counted = each.groupBy("file", "rank", "delimiter", "n_cols").agg(F.count(F.col("n_cols")).alias("n"))
+    top = F.max_by("n_cols", F.when(F.col("n_cols").isNotNull(), F.struct(F.col("n"), -F.col("n_cols"))))
+    return counted.groupBy("file", "rank", "delimiter").agg(top.alias("mode"), F.max("n").alias("most"), F.sum("n").alias("total")).select(
+        "file", "rank", "delimiter", "mode", (F.col("most") / F.nullif("total", F.lit(0))).alias("ratio")
+    )
 
 
-def delimiter_scores(lines: DataFrame, sample: int = 20, fixed: bool = False) -> DataFrame:
-    """Consistency score of each candidate over the first lines of a file, as one row per file.
+def detect_delimiter(lines: DataFrame, sample: int | None = None, fixed: bool = True) -> DataFrame:
+    """``(file, delimiter, score)`` for every file; the earlier candidate wins a tie, a blank file has a comma and no score.
 
-    At most ``sample`` widths per file meet in one group, so a single shuffle of
-    the file heads is enough.  ``fixed`` scores a candidate that never occurs as 0
-    instead of letting the uniform width of 1 count as consistency.
+    ``fixed`` scores a candidate that never occurs as 0 instead of letting the
+    uniform width of 1 count as consistency.
     """
-    head = lines.filter((F.col("line_no") < sample) & not_blank())
-    widths = head.groupBy("file").agg(
-        F.collect_list(F.struct(*[width(F.col("line"), d).alias(f"w{i}") for i, d in enumerate(DELIMITERS)])).alias("w")
+    score = _score(F.col("mode"), F.col("ratio"), F.col("delimiter") == ";", fixed)
+    best = width_modes(lines, sample).withColumn("score", F.when(F.col("mode").isNotNull(), score)).groupBy("file").agg(
+        F.max_by(F.struct("delimiter", "score"), F.struct(F.col("score"), -F.col("rank"))).alias("top")
     )
-    options = [
-        F.struct(_score(F.col(f"w.w{i}"), d, fixed).alias("score"), F.lit(-i).alias("order"), F.lit(d).alias("delimiter")) for i, d in enumerate(DELIMITERS)
-    ]
-    return widths.select("file", F.array(*options).alias("options"))
-
+    return best.select("file", "top.delimiter", "top.score")
 
-def detect_delimiter(lines: DataFrame, sample: int = 20, fixed: bool = False) -> DataFrame:
-    """``(file, delimiter, score)``; the earlier candidate wins a tie."""
-    top = delimiter_scores(lines, sample, fixed).select("file", F.array_max("options").alias("top"))
-    return top.select("file", "top.delimiter", "top.score")
 
-
-def detect_delimiter_by_count(lines: DataFrame, sample: int = 10) -> DataFrame:
-    """Semicolon when it outnumbers commas, else the most frequent candidate."""
-    head = lines.filter(F.col("line_no") < sample).withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", ""))
+def detect_delimiter_by_count(lines: DataFrame) -> DataFrame:
+    """Semicolon when it outnumbers commas over all lines, else the most frequent candidate."""
+    head = lines.withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", ""))
     c, s, t, p = (F.sum(count_of("line", d)) for d in DELIMITERS)
     counts = head.groupBy("file").agg(c.alias("c"), s.alias("s"), t.alias("t"), p.alias("p"))
     top = F.greatest("c", "s", "t", "p")
@@ -122,49 +116,41 @@ def detect_delimiter_by_count(lines: DataFrame, sample: int = 10) -> DataFrame:
     return counts.select("file", choice.alias("delimiter"))
 
 
-def detect_uniform_delimiter(lines: DataFrame, starts: DataFrame, sample: int = 10) -> DataFrame:
-    """Delimiter with one and the same, largest width on the lines from the data start."""
-    rows = lines.join(starts, "file").filter(
-        (F.col("line_no") >= F.col("data_start")) & (F.col("line_no") < F.col("data_start") + sample) & not_blank()
-    )
-    spread = _candidates(rows, UNIFORM_DELIMITERS).groupBy("file", "rank", "delimiter").agg(
-        F.min("n_cols").alias("low"), F.max("n_cols").alias("high")
-    )
+def detect_uniform_delimiter(lines: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Delimiter with one and the same, largest width on all lines of the data block; NULL for a file without one."""
+    inside = (F.col("line_no") >= F.col("data_start")) & (F.col("line_no") < F.col("data_end")) & not_blank()
+    rows = lines.join(blocks, "file").filter(inside)
+    spread = _candidates(rows, UNIFORM_DELIMITERS).groupBy("file", "rank", "delimiter").agg(F.min("n_cols").alias("low"), F.max("n_cols").alias("high"))
     uniform = spread.filter((F.col("low") == F.col("high")) & (F.col("low") > 1))
-    return uniform.groupBy("file").agg(
-        F.max_by("delimiter", F.struct(F.col("low"), -F.col("rank"))).alias("delimiter"), F.max("low").cast("int").alias("n_cols")
-    )
+    found = uniform.groupBy("file").agg(F.max_by("delimiter", F.struct(F.col("low"), -F.col("rank"))).alias("delimiter"), F.max("low").cast("int").alias("n_cols"))
+    return blocks.select("file").join(found, "file", "left")
 
 
-def header_rows(lines: DataFrame, sample: int = 10) -> DataFrame:
+def header_rows(lines: DataFrame) -> DataFrame:
     """First line with more than four tokens of which over half are numbers, else 1."""
     parts = F.filter(F.split(F.replace(F.col("line"), F.lit(","), F.lit(".")), r"\s+"), lambda x: x != "")
     numeric = F.size(F.filter(parts, is_num))
     hit = (F.size(parts) > 4) & (numeric > F.size(parts) * 0.5)
-    head = lines.filter(F.col("line_no") < sample)
-    return head.groupBy("file").agg(
+    return lines.groupBy("file").agg(
         F.coalesce(F.min(F.when(hit & not_blank(), F.col("line_no"))), F.lit(1)).cast("int").alias("header_rows")
     )
 
 
-def plate_label_row(lines: DataFrame, sample: int = 5) -> DataFrame:
-    """First of the leading lines that mentions both ``plate`` and ``id``."""
+def plate_label_row(lines: DataFrame) -> DataFrame:
+    """First line that mentions both ``plate`` and ``id``."""
     low = F.lower("line")
     hit = F.contains(low, F.lit("plate")) & F.contains(low, F.lit("id"))
     return (
-        lines.filter(F.col("line_no") < sample)
-        .groupBy("file")
+        lines.groupBy("file")
         .agg(F.min(F.when(hit, F.col("line_no"))).cast("int").alias("plate_id_row"))
         .withColumn("has_plate_id", F.col("plate_id_row").isNotNull())
     )
 
 
-def column_pattern(lines: DataFrame, delimiters: DataFrame, sample: int = 10) -> DataFrame:
-    """``line_no:width`` of the leading lines, in order (at most ``sample`` of them)."""
-    head = lines.filter((F.col("line_no") < sample) & not_blank()).join(delimiters.select("file", "delimiter"), "file")
-    pair = F.struct(F.col("line_no"), width_by(F.col("line"), F.col("delimiter")).alias("n"))
-    text = F.transform(F.sort_array(F.collect_list(pair)), lambda p: F.concat_ws(":", p["line_no"].cast("string"), p["n"].cast("string")))
-    return head.groupBy("file").agg(F.array_join(text, " ").alias("pattern"))
+def column_pattern(lines: DataFrame, delimiters: DataFrame) -> DataFrame:
+    """``(file, line_no, n_cols)`` of every non-blank line."""
+    known = lines.filter(not_blank()).join(delimiters.select("file", "delimiter"), "file")
+    return known.select("file", "line_no", width_by(F.col("line"), F.col("delimiter")).alias("n_cols"))
 
 
 def data_start(lines: DataFrame, delimiters: DataFrame, headers: DataFrame) -> DataFrame:
@@ -180,28 +166,27 @@ def data_start(lines: DataFrame, delimiters: DataFrame, headers: DataFrame) -> D
     )
 
 
-def data_block(lines: DataFrame, delimiters: DataFrame, starts: DataFrame, search: int = 30, sample: int = 5) -> DataFrame:
-    """``(file, data_start, data_end)``; the end is exclusive and looked for in the next ``search`` lines."""
+def data_block(lines: DataFrame, delimiters: DataFrame, starts: DataFrame) -> DataFrame:
+    """``(file, data_start, data_end)``; the end is exclusive: the first line after the start that ends the data.
+
+    A line ends it if it is blank, holds a stop word or is under half as wide as
+    most lines from the start on.  The lines are summed up by (file, width) with
+    the first line of each width, so that the widths too small for the file's
+    mode can be told afterwards without reading the lines again.
+    """
     bounds = delimiters.select("file", "delimiter").join(starts, "file")
     rows = lines.join(bounds, "file").filter(F.col("line_no") >= F.col("data_start"))
-    n_cols = width_by(F.col("line"), F.col("delimiter"))
-    near = rows.filter(F.col("line_no") < F.col("data_start") + search).withColumn("n_cols", n_cols)
-    modes = (
-        near.filter((F.col("line_no") < F.col("data_start") + sample) & not_blank())
-        .groupBy("file")
-        .agg(mode_of(F.collect_list("n_cols"))["value"].alias("expected"))
-    )
-    trimmed = width_by(F.trim("line"), F.col("delimiter"))
     low = F.lower("line")
-    stop = ~not_blank() | (trimmed < F.greatest(F.lit(2.0), F.coalesce("expected", F.lit(PLATE_COLUMNS)) * 0.5))
+    stop = ~not_blank()
     for word in STOP_WORDS:
         stop = stop | F.contains(low, F.lit(word))
-    ends = (
-        near.filter(F.col("line_no") > F.col("data_start"))
-        .join(modes, "file", "left")
-        .groupBy("file")
-        .agg(F.min(F.when(stop, F.col("line_no"))).alias("stop_line"))
-    )
+    after = F.col("line_no") > F.col("data_start")
+    summed = rows.groupBy(
+        "file", F.when(not_blank(), width_by(F.col("line"), F.col("delimiter"))).alias("n_cols"), width_by(F.trim("line"), F.col("delimiter")).alias("trimmed")
+    ).agg(F.count(F.lit(1)).alias("n"), F.min(F.when(after & stop, F.col("line_no"))).alias("stop_line"), F.min(F.when(after, F.col("line_no"))).alias("first_line"))
+    modes = summed.filter(F.col("n_cols").isNotNull()).groupBy("file", "n_cols").agg(F.sum("n").alias("n")).groupBy("file").agg(F.max_by("n_cols", F.struct(F.col("n"), -F.col("n_cols"))).alias("expected"))
+    narrow = F.col("trimmed") < F.greatest(F.lit(2.0), F.coalesce("expected", F.lit(PLATE_COLUMNS)) * 0.5)
+    ends = summed.join(modes, "file", "left").groupBy("file").agg(F.least(F.min("stop_line"), F.min(F.when(narrow, F.col("first_line")))).alias("stop_line"))
     lengths = lines.groupBy("file").agg((F.max("line_no") + 1).alias("n_lines"))
     return (
         starts.join(lengths, "file")
@@ -276,19 +261,16 @@ def pad_rows(lines: DataFrame, delimiters: DataFrame) -> DataFrame:
     return padded.withColumn("name", F.concat(F.lit("Col_"), (F.col("col") + 1).cast("string")))
 
 
-def apply_shape_rules(cells: DataFrame, max_cols: int = 50, keep_cols: int = 24) -> DataFrame:
-    """Files under two columns are dropped, files over ``max_cols`` keep the first ``keep_cols``."""
+def apply_shape_rules(cells: DataFrame, max_cols: int = 50) -> DataFrame:
+    """Cells of the files with at least two columns, with ``n_cols`` and ``wide`` for more than ``max_cols``; no column is cut."""
     shape = cells.groupBy("file").agg((F.max("col") + 1).alias("n_cols"))
-    return (
-        cells.join(shape, "file")
-        .filter((F.col("n_cols") >= 2) & ((F.col("n_cols") <= max_cols) | (F.col("col") < keep_cols)))
-        .drop("n_cols")
-    )
+    return cells.join(shape.filter(F.col("n_cols") >= 2), "file").withColumn("wide", F.col("n_cols") > max_cols)
 
 
 def rejected_files(cells: DataFrame) -> DataFrame:
-    """Files that ``apply_shape_rules`` turns away."""
-    return cells.groupBy("file").agg((F.max("col") + 1).alias("n_cols")).filter(F.col("n_cols") < 2)
+    """Files that ``apply_shape_rules`` turns away, as quarantine rows."""
+    narrow = cells.groupBy("file").agg((F.max("col") + 1).alias("n_cols"), F.count(F.lit(1)).alias("n_cells")).filter(F.col("n_cols") < 2)
+    return narrow.select("file", "n_cells", F.lit("fewer than two columns").alias("reason"))
 
 
 def empty_plates(failed: DataFrame) -> DataFrame:

@@ -120,7 +120,7 @@ def cln_09(spark, sf):
 
 @query("cln_10_sanitized_text")
 def cln_10(spark, sf):
-    return pages(spark, sf).select("page_id", cl.sanitize_string(F.col("html"), max_length=1_000_000).alias("text"))
+    return pages(spark, sf).select("page_id", cl.sanitize_string(F.col("html")).alias("text"))
 
 
 @query("cln_11_token_estimate", "SELECT conv_id, turn, length(text) // 4 AS tokens FROM conversations")

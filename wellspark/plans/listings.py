@@ -20,12 +20,11 @@ def flt_01(spark, sf):
 
 
 @query("flt_02_last_days", """
-SELECT 7::BIGINT AS days, id, metric_type FROM usage WHERE "timestamp" >= TIMESTAMP '2024-01-24' UNION ALL SELECT 30, id, metric_type FROM usage WHERE "timestamp" >= TIMESTAMP '2024-01-01'
-UNION ALL SELECT 365, id, metric_type FROM usage WHERE "timestamp" >= TIMESTAMP '2023-01-31'""")
+SELECT days, id, metric_type FROM usage CROSS JOIN (VALUES (7::BIGINT, TIMESTAMP '2024-01-24'), (30, TIMESTAMP '2024-01-01'), (365, TIMESTAMP '2023-01-31')) AS p(days, since)
+WHERE "timestamp" >= since AND "timestamp" < TIMESTAMP '2024-01-31'""")
 def flt_02(spark, sf):
-    u = usage(spark, sf)
-    parts = [u.filter(F.col("timestamp") >= U.back(d)).select(F.lit(d).alias("days"), "id", "metric_type") for d in (7, 30, 365)]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    periods = F.array_compact(F.array(*[F.when(U.within("timestamp", U.back(d)), F.lit(d)) for d in (7, 30, 365)]))
+    return usage(spark, sf).select(F.explode(periods).alias("days"), "id", "metric_type")
 
 
 @query("flt_03_valid_sessions", """

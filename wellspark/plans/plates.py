@@ -184,11 +184,11 @@ def plt_06(spark, sf):
 
 
 @query("plt_06b_protocol_wide", """
-SELECT plate_id, well_id, max(CASE WHEN field = 'protocol_brand' THEN value END) AS protocol_brand,
+SELECT file, plate_id, well_id, max(CASE WHEN field = 'protocol_brand' THEN value END) AS protocol_brand,
   max(CASE WHEN field = 'protocol_size' THEN value END) AS protocol_size, max(CASE WHEN field = 'protocol_conditions' THEN value END) AS protocol_conditions
-FROM json_wells WHERE plate_id <> 'Unknown' GROUP BY plate_id, well_id""")
+FROM json_wells GROUP BY file, plate_id, well_id""")
 def plt_06b(spark, sf):
-    return pr.widen(json_wells(spark, sf).filter(F.col("plate_id") != "Unknown"), ["protocol_brand", "protocol_size", "protocol_conditions"])
+    return pr.widen(json_wells(spark, sf), ["protocol_brand", "protocol_size", "protocol_conditions"])
 
 
 def protocol_wells(spark, sf):
@@ -233,10 +233,9 @@ def plt_10(spark, sf):
 
 
 @query("plt_10b_bad_wells", """
-SELECT plate_id, string_agg(well_id, ',' ORDER BY well_id) AS bad_wells FROM (
-  SELECT plate_id, well_id, row_number() OVER (PARTITION BY plate_id ORDER BY well_id) AS k
-  FROM (SELECT DISTINCT 'P' || (l_orderkey // 50) AS plate_id, chr((65 + l_linenumber)::INTEGER) || (1 + l_orderkey % 15) AS well_id FROM lineitem)
-  WHERE NOT regexp_matches(well_id, '^[A-H]([1-9]|1[0-2])$')) WHERE k <= 5 GROUP BY plate_id""")
+SELECT plate_id, well_id, count(*) AS n_rows
+FROM (SELECT 'P' || (l_orderkey // 50) AS plate_id, chr((65 + l_linenumber)::INTEGER) || (1 + l_orderkey % 15) AS well_id FROM lineitem)
+WHERE NOT regexp_matches(well_id, '^[A-H]([1-9]|1[0-2])$') GROUP BY plate_id, well_id""")
 def plt_10b(spark, sf):
     li = table(spark, sf, "lineitem")
     wells = li.select(

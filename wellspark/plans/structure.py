@@ -30,17 +30,15 @@ def txt_02(spark, sf):
     return _clean(spark, sf)
 
 
-@query("txt_03_delimiter_score", "SELECT file, delimiter, round(score, 6) AS score FROM detected")
+@query("txt_03_delimiter_score", """
+SELECT file, delimiter, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY score DESC, rank) AS k FROM scores) WHERE k = 1""")
 def txt_03(spark, sf):
-    return st.detect_delimiter(_clean(spark, sf)).withColumn("score", F.round("score", 6))
+    return st.detect_delimiter(_clean(spark, sf), fixed=False).withColumn("score", F.round("score", 6))
 
 
-@query("txt_03b_delimiter_score_fixed", """
-SELECT file, delimiter, round(score, 6) AS score FROM (
-  SELECT *, row_number() OVER (PARTITION BY file ORDER BY score DESC, rank) AS k
-  FROM (SELECT file, rank, delimiter, CASE WHEN n_cols < 2 THEN 0 ELSE score END AS score FROM scores)) WHERE k = 1""")
+@query("txt_03b_delimiter_score_fixed", "SELECT file, delimiter, round(score, 6) AS score FROM detected")
 def txt_03b(spark, sf):
-    return st.detect_delimiter(_clean(spark, sf), fixed=True).withColumn("score", F.round("score", 6))
+    return st.detect_delimiter(_clean(spark, sf)).withColumn("score", F.round("score", 6))
 
 
 @query("txt_04_delimiter_count", """
@@ -48,28 +46,15 @@ SELECT file, CASE WHEN c > 0 AND s > c THEN ';' WHEN c = m THEN ',' WHEN s = m T
 FROM (SELECT *, greatest(c, s, t, p) AS m FROM (
   SELECT file, sum(length(line) - length(replace(line, ',', ''))) AS c, sum(length(line) - length(replace(line, ';', ''))) AS s,
     sum(length(line) - length(replace(line, chr(9), ''))) AS t, sum(length(line) - length(replace(line, '|', ''))) AS p
-  FROM (SELECT file, line_no, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS line FROM raw_lines) WHERE line_no < 10 GROUP BY file))""")
+  FROM (SELECT file, line_no, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS line FROM raw_lines) GROUP BY file))""")
 def txt_04(spark, sf):
     return st.detect_delimiter_by_count(raw_lines(spark, sf))
 
 
-@query("txt_05_delimiter_uniform", """
-SELECT file, delimiter, n_cols FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY n_cols DESC, rank) AS k FROM (
-  SELECT file, rank, delimiter, min(n) AS n_cols FROM (
-    SELECT file, rank, delimiter, len(string_split(line, delimiter)) AS n
-    FROM clean_lines CROSS JOIN (VALUES (0, chr(9)), (1, ','), (2, ';'), (3, '|'), (4, '  ')) AS o(rank, delimiter)
-    WHERE line_no >= 1 AND line_no < 11 AND regexp_matches(line, '\\S') AND line NOT LIKE 'Notes%')
-  GROUP BY ALL HAVING min(n) = max(n) AND min(n) > 1)) WHERE k = 1""")
-def txt_05(spark, sf):
-    lines = _clean(spark, sf).filter(~F.col("line").startswith("Notes"))
-    starts = lines.select("file", F.lit(1).alias("data_start")).distinct()
-    return st.detect_uniform_delimiter(lines, starts)
-
-
 view("header_view", """
 SELECT file, coalesce(min(CASE WHEN n > 4 AND k > n * 0.5 THEN line_no END), 1) AS header_rows
 FROM (SELECT file, line_no, len(p) AS n, len(list_filter(p, lambda x: regexp_matches(x, '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$'))) AS k
-      FROM (SELECT file, line_no, list_filter(regexp_split_to_array(replace(line, ',', '.'), '\\s+'), lambda x: x <> '') AS p FROM clean_lines WHERE line_no < 10))
+      FROM (SELECT file, line_no, list_filter(regexp_split_to_array(replace(line, ',', '.'), '\\s+'), lambda x: x <> '') AS p FROM clean_lines))
 GROUP BY file""")
 
 
@@ -81,14 +66,13 @@ def txt_06(spark, sf):
 @query("txt_07_plate_label_row", """
 SELECT file, min(CASE WHEN contains(lower(line), 'plate') AND contains(lower(line), 'id') THEN line_no END) AS plate_id_row,
   bool_or(contains(lower(line), 'plate') AND contains(lower(line), 'id')) AS has_plate_id
-FROM raw_lines WHERE line_no < 5 GROUP BY file""")
+FROM raw_lines GROUP BY file""")
 def txt_07(spark, sf):
     return st.plate_label_row(raw_lines(spark, sf))
 
 
 @query("txt_08_column_pattern", """
-SELECT file, string_agg(line_no || ':' || len(string_split(line, delimiter)), ' ' ORDER BY line_no) AS pattern
-FROM clean_lines JOIN detected USING (file) WHERE line_no < 10 AND regexp_matches(line, '\\S') GROUP BY file""")
+SELECT file, line_no, len(string_split(line, delimiter)) AS n_cols FROM clean_lines JOIN detected USING (file) WHERE regexp_matches(line, '\\S')""")
 def txt_08(spark, sf):
     lines = _clean(spark, sf)
     return st.column_pattern(lines, _found(lines))
@@ -101,13 +85,13 @@ FROM (SELECT file, line_no, len(p) AS n, len(list_filter(p, lambda x: regexp_mat
 JOIN header_view USING (file) GROUP BY file""")
 
 view("blocks", """
-SELECT file, data_start, coalesce(min(CASE WHEN line_no > data_start AND line_no < data_start + 30 AND
+SELECT file, data_start, coalesce(min(CASE WHEN line_no > data_start AND
    (NOT regexp_matches(line, '\\S') OR len(string_split(trim(line), delimiter)) < greatest(2.0, expected * 0.5) OR regexp_matches(lower(line), 'total|summary|notes|comments|analysis')) THEN line_no END),
    max(line_no) + 1) AS data_end
 FROM clean_lines JOIN detected USING (file) JOIN starts USING (file)
 JOIN (SELECT file, mode_n AS expected FROM (SELECT file, n AS mode_n, row_number() OVER (PARTITION BY file ORDER BY count(*) DESC, n) AS k
       FROM (SELECT file, len(string_split(line, delimiter)) AS n FROM clean_lines JOIN detected USING (file) JOIN starts USING (file)
-            WHERE line_no >= data_start AND line_no < data_start + 5 AND regexp_matches(line, '\\S')) GROUP BY file, n) WHERE k = 1) USING (file)
+            WHERE line_no >= data_start AND regexp_matches(line, '\\S')) GROUP BY file, n) WHERE k = 1) USING (file)
 GROUP BY file, data_start""")
 
 
@@ -123,6 +107,19 @@ def txt_09(spark, sf):
     return _block(spark, sf)[2]
 
 
+@query("txt_05_delimiter_uniform", """
+SELECT file, delimiter, n_cols FROM (SELECT file FROM blocks) LEFT JOIN (SELECT file, delimiter, n_cols FROM (
+  SELECT *, row_number() OVER (PARTITION BY file ORDER BY n_cols DESC, rank) AS k FROM (
+    SELECT file, rank, delimiter, min(n) AS n_cols FROM (
+      SELECT file, rank, delimiter, len(string_split(line, delimiter)) AS n FROM clean_lines JOIN blocks USING (file)
+      CROSS JOIN (VALUES (0, chr(9)), (1, ','), (2, ';'), (3, '|'), (4, '  ')) AS o(rank, delimiter)
+      WHERE line_no >= data_start AND line_no < data_end AND regexp_matches(line, '\\S'))
+    GROUP BY ALL HAVING min(n) = max(n) AND min(n) > 1)) WHERE k = 1) USING (file)""")
+def txt_05(spark, sf):
+    lines, _, blocks = _block(spark, sf)
+    return st.detect_uniform_delimiter(lines, blocks)
+
+
 @query("txt_10_cells", "SELECT file, row, col, cell FROM cells")
 def txt_10(spark, sf):
     lines = _clean(spark, sf)
@@ -190,12 +187,17 @@ def word_cells(spark, sf):
 
 
 @query("txt_14_shape_rules", """
-SELECT file, row, col, cell FROM word_cells JOIN (SELECT file, max(col) + 1 AS n FROM word_cells GROUP BY file) USING (file)
-WHERE n >= 2 AND (n <= 50 OR col < 24)""")
+SELECT file, row, col, cell, n AS n_cols, n > 50 AS wide FROM word_cells JOIN (SELECT file, max(col) + 1 AS n FROM word_cells GROUP BY file) USING (file) WHERE n >= 2""")
 def txt_14(spark, sf):
     return st.apply_shape_rules(word_cells(spark, sf))
 
 
+@query("txt_14b_rejected_files", """
+SELECT file, n_cells, 'fewer than two columns' AS reason FROM (SELECT file, max(col) + 1 AS n, count(*) AS n_cells FROM word_cells GROUP BY file) WHERE n < 2""")
+def txt_14b(spark, sf):
+    return st.rejected_files(word_cells(spark, sf))
+
+
 @query("txt_15_empty_plates", """
 SELECT file, r AS row, c AS col, NULL::VARCHAR AS cell FROM (SELECT file FROM padded WHERE row = 0 GROUP BY file HAVING count(cell) < 12)
 CROSS JOIN (SELECT unnest(range(8)) AS r) CROSS JOIN (SELECT unnest(range(12)) AS c)""")

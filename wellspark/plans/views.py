@@ -102,7 +102,7 @@ FROM (SELECT file, line_no, regexp_replace(line, '^' || chr(65279), '') AS line
 view("candidate_widths", """
 SELECT file, line_no, rank, delimiter, length(line) - length(replace(line, delimiter, '')) + 1 AS n_cols
 FROM clean_lines CROSS JOIN (VALUES (0, ','), (1, ';'), (2, chr(9)), (3, '|')) AS o(rank, delimiter)
-WHERE line_no < 20 AND regexp_matches(line, '\\S')""")
+WHERE regexp_matches(line, '\\S')""")
 
 view("scores", """
 SELECT file, rank, delimiter, n_cols,
@@ -114,7 +114,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY file, rank ORDER BY n DESC, n_co
 WHERE k = 1""")
 
 view("detected", """
-SELECT file, delimiter, score FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY score DESC, rank) AS k FROM scores) WHERE k = 1""")
+SELECT file, delimiter, score FROM (SELECT file, rank, delimiter, score, row_number() OVER (PARTITION BY file ORDER BY score DESC, rank) AS k
+  FROM (SELECT file, rank, delimiter, CASE WHEN n_cols < 2 THEN 0 ELSE score END AS score FROM scores)) WHERE k = 1""")
 
 view("cells", """
 SELECT file, line_no AS row, unnest(range(len(parts))) AS col, trim(unnest(parts)) AS cell

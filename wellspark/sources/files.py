@@ -38,13 +38,13 @@ def extension(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"(?<=.)\.([^.]*)$", 1))
 
 
-def file_info(files: DataFrame, allowed: list[str] | None = None) -> DataFrame:
-    """Attributes of each file."""
+def file_info(files: DataFrame, allowed: list[str] | None = None, *more: Column) -> DataFrame:
+    """Attributes of each file, and what else is to be taken from it in the same pass."""
     name = file_name(F.col("path"))
     ext = extension(name)
     return files.select(
         "path", name.alias("filename"), ext.alias("extension"), F.col("length").alias("size_bytes"), F.round(F.col("length") / 1048576, 2).alias("size_mb"),
-        ext.isin(allowed or DATA_EXTENSIONS).alias("is_supported_type"),
+        ext.isin(allowed or DATA_EXTENSIONS).alias("is_supported_type"), *more,
     )
 
 
@@ -99,10 +99,9 @@ def union_groups(groups: dict[str, DataFrame]) -> DataFrame:
 
 def check_uploads(files: DataFrame, hostile: Column, log_files: bool = False) -> DataFrame:
     """Errors of each file: size, extension, MIME type of the extension, hostile content."""
-    info = file_info(files, LOG_EXTENSIONS if log_files else UPLOAD_EXTENSIONS)
+    marked = file_info(files, LOG_EXTENSIONS if log_files else UPLOAD_EXTENSIONS, hostile.alias("hostile"))
     cap = MAX_LOG_MB if log_files else MAX_UPLOAD_MB
     mime = F.try_element_at(F.create_map(*[F.lit(x) for kv in MIME_TYPES.items() for x in kv]), F.col("extension"))
-    marked = info.join(files.select("path", hostile.alias("hostile")), "path")
     errors = F.array_compact(F.array(
         F.when(F.col("size_bytes") > cap * 1048576, F.concat(F.lit("File too large (max: "), F.lit(str(cap)), F.lit("MB)"))),
         F.when(~F.col("is_supported_type"), F.concat(F.lit("File type not allowed: "), F.col("extension"))),
