@@ -21,7 +21,7 @@ def test_no_pair_joins(spark, name):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
-@pytest.mark.parametrize("name", ["agg_04_top_users", "join_07_keep_newest", "win_02_newest_per_key", "flt_08_newest_of_organization", "log_01_time_column"])
+@pytest.mark.parametrize("name", ["agg_04_top_users", "join_07_keep_newest", "win_02_newest_per_key", "flt_08_newest_of_organization", "win_04_first_values"])
 def test_ranks_are_limited_before_the_shuffle(spark, name):
     assert "WindowGroupLimit" in plan(spark, name)
 
@@ -45,3 +45,8 @@ def test_window_keys_include_the_chunk(spark):
     for name in ("win_06_failed_logins", "log_06_event_sequence", "plt_05_plate_segments"):
         text = plan(spark, name)
         assert "__chunk" in text
+
+
+def test_profile_reads_the_cells_twice_at_most(spark):
+    text = plan(spark, "log_02_standard_structure")
+    assert text.count("FileScan") <= 2 and text.count("Exchange hashpartitioning") <= 4

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from wellspark.operators import cleaning as cl, plates as pl, protocols as pr, reports as rp, structure as st
+from wellspark.operators import cleaning as cl, logs as lg, plates as pl, protocols as pr, reports as rp, structure as st
 
 
 def lines(spark, **files):
@@ -71,3 +71,24 @@ def test_reports_end_at_their_moment(spark):
     now = rp.current_usage(usage, at).first()
     assert (now.today_total, now.month_total) == (5.0, 3.0)
     assert rp.usage_summary(usage, at).first().total_value == pytest.approx(3.0)
+
+
+def test_no_log_file_is_lost(spark):
+    """With a time, without one, with a broken one, and without its header line: in = out + quarantine."""
+    df = lines(spark, timed="timestamp,v\n2024-01-01 00:00:00,1\nlate,2", untimed="a,b\nx,y\nz,w", headless="only")
+    annotation = spark.createDataFrame([("timed", 0, 1), ("untimed", 0, 1), ("headless", 3, 0)], "file string, header_row int, data_start int")
+    unknown = spark.createDataFrame([("timed", ",")], "file string, delimiter string")
+    timed = lg.with_time(df, lg.file_facts(df, unknown, annotation), prefix=False)
+    good, bad = lg.split_bad_times(timed)
+    assert sorted((r.source_file, r.line_no) for r in good.collect()) == [("headless", 0), ("timed", 1), ("untimed", 1), ("untimed", 2)]
+    assert [(r.source, r.key) for r in bad.collect()] == [("timed", "2")]
+    long = {(r.source_file, r.column, r.value, r.timestamp_source) for r in lg.to_long(good).collect()}
+    assert long == {("timed", "v", "1", "original"), ("untimed", "a", "x", "none"), ("untimed", "b", "y", "none"), ("untimed", "a", "z", "none"), ("untimed", "b", "w", "none")}
+
+
+def test_flags_see_the_last_value(spark):
+    from wellspark.operators import profile as pf
+
+    rows = [("f", r, c, n, v) for r in range(40) for c, (n, v) in enumerate([("timestamp", f"2024-01-01 00:00:{r:02d}"), ("temp", "5 °C" if r == 39 else "5 C"), ("note", "# x" if r == 38 else "ok")])]
+    flags = pf.profile_files(spark.createDataFrame(rows, "file string, row int, col int, name string, cell string")).first()
+    assert flags.units_in_values and flags.comment_cells and not flags.is_standard and flags.n_rows == 40

@@ -21,23 +21,15 @@ STANDARD_COLUMNS = ["timestamp", "source_file", "timestamp_source", "confidence_
 NUMERIC_SHARE = 0.7
 
 
-def first_values(cells: DataFrame, k: int, head_rows: int = 1000) -> DataFrame:
-    """The first ``k`` non-missing cells of each column.
-
-    Columns that reach ``k`` values in the first ``head_rows`` rows are settled
-    there.  Only the others are looked for further down, so the bulk of a long
-    file is neither sorted nor shuffled; no row is left out for it.
-    """
+def first_values(cells: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` non-missing cells of each column; each task keeps ``k`` before the shuffle."""
     known = cells.withColumn("cell", null_token("cell")).filter(F.col("cell").isNotNull())
-    head, rest = known.filter(F.col("row") < head_rows), known.filter(F.col("row") >= head_rows)
-    done = head.groupBy("file", "col").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).select("file", "col")
     rank = F.row_number().over(W.partitionBy("file", "col").orderBy("row"))
-    wanted = head.unionByName(rest.join(done, ["file", "col"], "left_anti").select(*head.columns))
-    return wanted.withColumn("k", rank).filter(F.col("k") <= k)
+    return known.withColumn("k", rank).filter(F.col("k") <= k)
 
 
 def time_step(low: Column, col: Column, n: Column, parsed: Column) -> Column:
-    """1 by exact name, 2 by name and all sampled values, 3 by any sampled value in the first three columns."""
+    """1 by exact name, 2 by name and all known values, 3 by any known value in the first three columns."""
     return (
         F.when(low.isin(TIME_NAMES), 1).when(contains_any(low, TIME_PIECES) & (n > 0) & (parsed == n), 2).when((col < 3) & (parsed > 0), 3)
     )
@@ -50,7 +42,8 @@ def time_column(cells: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """
     if names is None:
         names = cells.groupBy("file", "col").agg(F.min("name").alias("name"))
-    head = first_values(cells, 5).groupBy("file", "col").agg(F.count(F.lit(1)).alias("n"), F.count(parse_time("cell")).alias("parsed"))
+    known = null_token("cell")
+    head = cells.groupBy("file", "col").agg(F.count(known).alias("n"), F.count(parse_time(known)).alias("parsed"))
     step = time_step(F.lower(F.trim("name")), F.col("col"), F.col("n"), F.col("parsed"))
     best = names.join(head, ["file", "col"], "left").withColumn("step", step).filter(F.col("step").isNotNull())
     return best.groupBy("file").agg(F.min(F.struct("step", "col", "name")).alias("m")).select(
@@ -82,32 +75,27 @@ def named(rows: DataFrame) -> DataFrame:
     return rows.select("file", "row", F.inline(pairs))
 
 
-def time_column_of_rows(rows: DataFrame, heads: DataFrame, head_rows: int = 1000) -> DataFrame:
-    """``time_column`` over row arrays, reading past the head only for files that need it.
-
-    A file is decided by its head when a header has an exact time name, or when
-    every column has its five sample values there.  Lines of decided files are
-    dropped before they are split into cells.
-    """
+def time_column_of_rows(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """``time_column`` over row arrays; a file with an exact time name in its header needs no look at its values."""
     columns = heads.select("file", F.posexplode("names").alias("col", "name"))
     exact = heads.filter(F.exists("names", lambda n: F.lower(F.trim(n)).isin(TIME_NAMES))).select("file")
-    open_heads = heads.join(exact, "file", "left_anti")
-    head = named(rows.filter(F.col("row") < head_rows))
-    full = head.filter(null_token("cell").isNotNull()).groupBy("file", "col").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 5)
-    filled = full.groupBy("file").agg(F.count(F.lit(1)).alias("n")).join(open_heads, "file").filter(F.col("n") >= F.size("names")).select("file")
-    rest = rows.filter(F.col("row") >= head_rows).join(exact.unionByName(filled), "file", "left_anti")
-    return time_column(head.unionByName(named(rest)), columns)
+    return time_column(named(rows.join(exact, "file", "left_anti")), columns)
 
 
 def file_facts(lines: DataFrame, delimiters: DataFrame, annotation: DataFrame) -> DataFrame:
-    """``(file, delimiter, data_start, names, ts_col)``: all that is needed to read a file, settled as one small table."""
-    known = settle(annotation.join(delimiters.select("file", "delimiter"), "file"), "log-annotation")
+    """``(file, delimiter, data_start, names, ts_col)``: all that is needed to read a file, settled as one small table.
+
+    Every annotated file is in it: without a known delimiter with a comma,
+    without a header line with no names, without a time column with a NULL one.
+    """
+    known = annotation.join(delimiters.select("file", "delimiter"), "file", "left").withColumn("delimiter", F.coalesce("delimiter", F.lit(",")))
     # Header rows are found among the lines up to the deepest header; one number comes to the driver.
-    deepest = known.agg(F.max("header_row")).first()[0]
+    deepest = annotation.agg(F.max("header_row")).first()[0]
     names = header_names(log_rows(lines.filter(F.col("line_no") <= F.lit(deepest)), known), known)
-    heads = settle(known.join(names, "file").select("file", "delimiter", "data_start", "names"), "log-heads")
+    named_files = known.join(names, "file", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+    heads = settle(named_files.select("file", "delimiter", "data_start", "names"), "log-heads")
     times = time_column_of_rows(data_rows(lines, heads), heads)
-    return settle(heads.join(times.select("file", "ts_col"), "file"), "log-facts")
+    return settle(heads.join(times.select("file", "ts_col"), "file", "left"), "log-facts")
 
 
 def file_prefix(file: Column) -> Column:
@@ -134,9 +122,10 @@ def with_time(lines: DataFrame, facts: DataFrame, prefix: bool = True) -> DataFr
 
 
 def split_bad_times(timed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows with a time, quarantined rows)."""
-    good = timed.filter(F.col("timestamp").isNotNull())
-    bad = timed.filter(F.col("timestamp").isNull()).select(
+    """(rows with a time or of files without a time column, quarantined rows)."""
+    bad_time = F.col("timestamp").isNull() & F.col("ts_col").isNotNull()
+    good = timed.filter(~bad_time)
+    bad = timed.filter(bad_time).select(
         F.col("source_file").alias("source"), F.col("line_no").cast("string").alias("key"), F.lit("data_processing").alias("category"),
         F.lit("medium").alias("severity"), F.concat(F.lit("unparseable timestamp: "), F.coalesce("raw_timestamp", F.lit(""))).alias("message"),
         F.lit(True).alias("recoverable"),
@@ -148,9 +137,10 @@ def to_long(timed: DataFrame, source: str = "original") -> DataFrame:
     """``(source_file, line_no, timestamp, timestamp_source, column, value)`` without the time column itself."""
     pairs = F.filter(
         F.transform("names", lambda n, i: F.struct(i.alias("i"), n.alias("column"), null_token(F.get(F.col("cells"), i)).alias("value"))),
-        lambda p: p["i"] != F.col("ts_col"),
+        lambda p: ~p["i"].eqNullSafe(F.col("ts_col")),
     )
-    return timed.select("source_file", "line_no", "timestamp", F.lit(source).alias("timestamp_source"), F.inline(pairs)).drop("i")
+    origin = F.when(F.col("ts_col").isNull(), "none").otherwise(source)
+    return timed.select("source_file", "line_no", "timestamp", origin.alias("timestamp_source"), F.inline(pairs)).drop("i")
 
 
 def column_names(facts: DataFrame, prefix: bool = True, limit: int = 5000) -> list[str]:
@@ -159,7 +149,7 @@ def column_names(facts: DataFrame, prefix: bool = True, limit: int = 5000) -> li
     Too many is an error, never a cut.
     """
     shown = prefixed(F.col("file"), F.col("n")) if prefix else F.col("n")
-    heads = facts.select("file", "ts_col", F.posexplode("names").alias("i", "n")).filter(F.col("i") != F.col("ts_col"))
+    heads = facts.select("file", "ts_col", F.posexplode("names").alias("i", "n")).filter(~F.col("i").eqNullSafe(F.col("ts_col")))
     found = [r[0] for r in heads.select(shown.alias("n")).distinct().limit(limit + 1).collect()]
     if len(found) > limit:
         raise ValueError(f"more than {limit} columns; keep the long form")

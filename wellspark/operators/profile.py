@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from wellspark.functions.values import contains_any, null_token, parse_time, to_num
-from wellspark.operators.logs import first_values, time_step
+from wellspark.operators.logs import time_step
 
 # Name pieces, unit pieces and thresholds of the complexity tests.
 TIME_LIKE = ["time", "timestamp", "datetime", "date"]
@@ -24,45 +24,33 @@ FLAGS = [
 
 
 def column_flags(cells: DataFrame) -> DataFrame:
-    """Per column: fill, type and the value tests on the first 3 and 10 known values."""
-    known = null_token("cell")
+    """Per column: fill, type and the value tests over all its known values, in one aggregate."""
+    known, low = null_token("cell"), F.lower("name")
+    looks_numeric = F.regexp_replace(known, "[.-]", "").rlike("^[0-9]+$")
+    embedded = (F.contains(known, F.lit("T")) & F.contains(known, F.lit("Z"))) | (F.contains(known, F.lit("at 20")) & F.contains(known, F.lit(":")))
+    odd = contains_any(known, ZONES) | ((F.length(known) > 10) & known.rlike("[0-9]") & parse_time(known).isNull())
+    units = contains_any(known, SYMBOLS) | contains_any(F.upper(known), UNITS)
     stats = cells.groupBy("file", "col", "name").agg(
-        F.count(known).alias("n_known"), F.count(to_num(known)).alias("n_numeric")
-    )
-    cell, low = F.col("cell"), F.lower("name")
-    looks_numeric = F.regexp_replace(cell, "[.-]", "").rlike("^[0-9]+$")
-    in3 = F.col("k") <= 3
-    embedded = (F.contains(cell, F.lit("T")) & F.contains(cell, F.lit("Z"))) | (F.contains(cell, F.lit("at 20")) & F.contains(cell, F.lit(":")))
-    odd = contains_any(cell, ZONES) | ((F.length(cell) > 10) & cell.rlike("[0-9]") & parse_time("cell").isNull())
-    units = contains_any(cell, SYMBOLS) | contains_any(F.upper(cell), UNITS)
-    in5 = F.col("k") <= 5
-    head = first_values(cells, 10).groupBy("file", "col").agg(
-        F.count_if(in5).alias("n5"), F.count(F.when(in5, parse_time("cell"))).alias("parsed5"), F.count(F.lit(1)).alias("n10"), F.count_if(looks_numeric).alias("num10"), F.max(in3 & embedded).alias("embedded"),
-        F.max(in3 & to_num("cell").between(EPOCH_LOW, EPOCH_HIGH)).alias("epoch_values"), F.max(in3 & odd).alias("odd_values"), F.max(in3 & units).alias("unit_values"),
+        F.count(known).alias("n_known"), F.count(to_num(known)).alias("n_numeric"), F.count(parse_time(known)).alias("n_parsed"), F.count_if(looks_numeric).alias("n_digits"),
+        F.max(embedded).alias("embedded"), F.max(to_num(known).between(EPOCH_LOW, EPOCH_HIGH)).alias("epoch_values"), F.max(odd).alias("odd_values"), F.max(units).alias("unit_values"),
+        F.max(F.trim("cell").startswith("#")).alias("comment"),
     )
     is_text = F.col("n_numeric") < F.col("n_known")
     false = F.lit(False)
-    return stats.join(head, ["file", "col"], "left").select(
-        "file", "col", "name", "n_known", time_step(F.lower(F.trim("name")), F.col("col"), F.col("n5"), F.col("parsed5")).alias("step"),
+    return stats.select(
+        "file", "col", "name", "n_known", time_step(F.lower(F.trim("name")), F.col("col"), F.col("n_known"), F.col("n_parsed")).alias("step"), "comment",
         contains_any(low, TIME_LIKE).alias("time_like"), contains_any(low, SUSPICIOUS).alias("suspicious"), F.col("name").rlike(r"[^\x00-\x7F]").alias("non_ascii"),
-        F.coalesce(is_text & (F.col("n10") > 5) & (F.least(F.col("num10"), F.col("n10") - F.col("num10")) >= 2), false).alias("mixed"),
+        (is_text & (F.col("n_known") > 5) & (F.least(F.col("n_digits"), F.col("n_known") - F.col("n_digits")) >= 2)).alias("mixed"),
         F.coalesce(is_text & F.col("embedded"), false).alias("embedded"),
-        F.coalesce(~is_text & (contains_any(low, EPOCH_NAMES) | F.coalesce("epoch_values", false)), false).alias("epoch"),
+        (~is_text & (contains_any(low, EPOCH_NAMES) | F.coalesce("epoch_values", false))).alias("epoch"),
         F.coalesce(contains_any(low, TIME_PIECES) & F.col("odd_values"), false).alias("odd"), F.coalesce(is_text & F.col("unit_values"), false).alias("units"),
     )
 
 
 def row_flags(cells: DataFrame) -> DataFrame:
-    """Per file: number of rows, and the tests on the first five rows."""
-    rows = cells.groupBy("file", "row").agg(
-        F.count(null_token("cell")).alias("filled"), F.max(F.trim("cell").startswith("#")).alias("comment")
-    )
-    rank = F.row_number().over(W.partitionBy("file").orderBy("row"))
-    head = rows.withColumn("k", rank).filter(F.col("k") <= 5)
-    first = head.groupBy("file").agg(F.max("comment").alias("comment_cells"), F.min("filled").alias("least_filled"))
-    # Every row has a cell in column 0, so rows are counted without grouping by row again.
-    total = cells.filter(F.col("col") == 0).groupBy("file").agg(F.count(F.lit(1)).alias("n_rows"))
-    return total.join(first, "file")
+    """Per file: number of rows, and the filled cells of the emptiest."""
+    rows = cells.groupBy("file", "row").agg(F.count(null_token("cell")).alias("filled"))
+    return rows.groupBy("file").agg(F.count(F.lit(1)).alias("n_rows"), F.min("filled").alias("least_filled"))
 
 
 def profile_files(cells: DataFrame) -> DataFrame:
@@ -73,7 +61,7 @@ def profile_files(cells: DataFrame) -> DataFrame:
         (F.count_if("time_like") > 1).alias("many_time_columns"), (F.count_distinct("name") < F.count(F.lit(1))).alias("duplicate_names"),
         F.max("mixed").alias("mixed_types"), (F.count_if("suspicious") > 2).alias("suspicious_names"), (F.count(F.lit(1)) > 100).alias("very_wide"),
         F.max("embedded").alias("embedded_timestamps"), F.max("epoch").alias("epoch_column"), F.max("odd").alias("odd_time_format"),
-        F.max("non_ascii").alias("non_ascii_names"), F.max("units").alias("units_in_values"),
+        F.max("non_ascii").alias("non_ascii_names"), F.max("units").alias("units_in_values"), F.max("comment").alias("comment_cells"),
     )
     both = by_file.join(row_flags(cells), "file").withColumn("mostly_missing_column", F.col("least_known") / F.col("n_rows") < 0.5)
     both = both.withColumn("transposed", (F.col("n_rows") <= 2) & (F.col("n_cols") > 10)).withColumn(

@@ -52,23 +52,25 @@ TS = "CASE WHEN regexp_matches(cell, '^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}') THEN TRY
 view("prof_head", f"""
 SELECT *, {TS} AS parsed FROM (SELECT *, row_number() OVER (PARTITION BY file, col ORDER BY row) AS k FROM prof_cells WHERE cell NOT IN {NULLS}) WHERE k <= 10""")
 
+view("prof_known", f"SELECT *, {TS} AS parsed FROM prof_cells WHERE cell NOT IN {NULLS}")
+
 view("prof_time", """
 SELECT file, ts_col, ts_name, step FROM (SELECT file, col AS ts_col, name AS ts_name, step, row_number() OVER (PARTITION BY file ORDER BY step, col) AS k FROM (
   SELECT file, col, name, CASE WHEN lower(trim(name)) IN ('timestamp', 'time', 'datetime', 'date_time', 'created_at', 'updated_at', 'event_time', 'log_time', 'recorded_at') THEN 1
     WHEN regexp_matches(lower(name), 'time|date|stamp') AND n > 0 AND parsed = n THEN 2 WHEN col < 3 AND parsed > 0 THEN 3 END AS step
-  FROM (SELECT DISTINCT file, col, name FROM prof_cells) LEFT JOIN (SELECT file, col, count(*) AS n, count(parsed) AS parsed FROM prof_head WHERE k <= 5 GROUP BY file, col) USING (file, col)) WHERE step IS NOT NULL) WHERE k = 1""")
+  FROM (SELECT DISTINCT file, col, name FROM prof_cells) LEFT JOIN (SELECT file, col, count(*) AS n, count(parsed) AS parsed FROM prof_known GROUP BY file, col) USING (file, col)) WHERE step IS NOT NULL) WHERE k = 1""")
 
 view("prof_rows", f"""
-SELECT file, row, count(CASE WHEN cell NOT IN {NULLS} THEN 1 END) AS filled, bool_or(starts_with(trim(cell), '#')) AS comment, row_number() OVER (PARTITION BY file ORDER BY row) AS k FROM prof_cells GROUP BY file, row""")
+SELECT file, row, count(CASE WHEN cell NOT IN {NULLS} THEN 1 END) AS filled, bool_or(starts_with(trim(cell), '#')) AS comment FROM prof_cells GROUP BY file, row""")
 
 view("prof_cols", f"""
 SELECT s.file, s.col, s.name, n_known, n_known > n_numeric AS is_text, n10, num10, embedded, epoch_values, odd_values, unit_values
 FROM (SELECT file, col, name, count(CASE WHEN cell NOT IN {NULLS} THEN 1 END) AS n_known, count(CASE WHEN cell NOT IN {NULLS} AND regexp_matches(cell, '{NUM}') THEN 1 END) AS n_numeric FROM prof_cells GROUP BY ALL) s
 LEFT JOIN (SELECT file, col, count(*) AS n10, count(*) FILTER (regexp_matches(regexp_replace(cell, '[.-]', '', 'g'), '^[0-9]+$')) AS num10,
-   bool_or(k <= 3 AND ((contains(cell, 'T') AND contains(cell, 'Z')) OR (contains(cell, 'at 20') AND contains(cell, ':')))) AS embedded,
-   bool_or(k <= 3 AND coalesce(TRY_CAST(cell AS DOUBLE) BETWEEN 1e9 AND 9999999999999, FALSE)) AS epoch_values,
-   bool_or(k <= 3 AND (regexp_matches(cell, '-MST|-PST|-EST|-GMT') OR (length(cell) > 10 AND regexp_matches(cell, '[0-9]') AND parsed IS NULL))) AS odd_values,
-   bool_or(k <= 3 AND regexp_matches(cell, '°|§|µ|±|HPA|L/MIN|KG/M3')) AS unit_values FROM prof_head GROUP BY file, col) h ON h.file = s.file AND h.col = s.col""")
+   bool_or(((contains(cell, 'T') AND contains(cell, 'Z')) OR (contains(cell, 'at 20') AND contains(cell, ':')))) AS embedded,
+   bool_or(coalesce(TRY_CAST(cell AS DOUBLE) BETWEEN 1e9 AND 9999999999999, FALSE)) AS epoch_values,
+   bool_or((regexp_matches(cell, '-MST|-PST|-EST|-GMT') OR (length(cell) > 10 AND regexp_matches(cell, '[0-9]') AND parsed IS NULL))) AS odd_values,
+   bool_or(regexp_matches(cell, '°|§|µ|±|HPA|L/MIN|KG/M3')) AS unit_values FROM prof_known GROUP BY file, col) h ON h.file = s.file AND h.col = s.col""")
 
 view("prof_flags", """
 SELECT c.*, n_rows <= 2 AND n_cols > 10 AS transposed, n_rows > 5 AND least_filled < n_cols * 0.5 AS irregular_rows, comment_cells, n_rows FROM (
@@ -78,7 +80,7 @@ SELECT c.*, n_rows <= 2 AND n_cols > 10 AS transposed, n_rows > 5 AND least_fill
   bool_or(coalesce(is_text AND embedded, FALSE)) AS embedded_timestamps, bool_or(coalesce(NOT is_text AND (regexp_matches(lower(name), 'epoch|millis|unix|tick') OR coalesce(epoch_values, FALSE)), FALSE)) AS epoch_column,
   bool_or(coalesce(regexp_matches(lower(name), 'time|date|stamp') AND odd_values, FALSE)) AS odd_time_format, bool_or(regexp_matches(name, '[^\\x00-\\x7F]')) AS non_ascii_names,
   bool_or(coalesce(is_text AND unit_values, FALSE)) AS units_in_values FROM prof_cols JOIN (SELECT file, count(*) AS nr FROM prof_rows GROUP BY file) USING (file) GROUP BY file) c
-JOIN (SELECT file, count(*) AS n_rows, min(CASE WHEN k <= 5 THEN filled END) AS least_filled, bool_or(k <= 5 AND comment) AS comment_cells FROM prof_rows GROUP BY file) r USING (file)""")
+JOIN (SELECT file, count(*) AS n_rows, min(filled) AS least_filled, bool_or(comment) AS comment_cells FROM prof_rows GROUP BY file) r USING (file)""")
 
 ANY = " OR ".join(pf.FLAGS)
 
