@@ -58,7 +58,7 @@ def profile_files(cells: DataFrame) -> DataFrame:
     time = F.when(F.col("step").isNotNull(), F.struct("step", "col", "name"))
     by_file = column_flags(cells).groupBy("file").agg(
         F.count(F.lit(1)).alias("n_cols"), F.min("n_known").alias("least_known"), F.min(time).alias("time"),
-        (F.count_if("time_like") > 1).alias("many_time_columns"), (F.count_distinct("name") < F.count(F.lit(1))).alias("duplicate_names"),
+        (F.count_if("time_like") > 1).alias("many_time_columns"), (F.size(F.collect_set("name")) < F.count(F.lit(1))).alias("duplicate_names"),
         F.max("mixed").alias("mixed_types"), (F.count_if("suspicious") > 2).alias("suspicious_names"), (F.count(F.lit(1)) > 100).alias("very_wide"),
         F.max("embedded").alias("embedded_timestamps"), F.max("epoch").alias("epoch_column"), F.max("odd").alias("odd_time_format"),
         F.max("non_ascii").alias("non_ascii_names"), F.max("units").alias("units_in_values"), F.max("comment").alias("comment_cells"),

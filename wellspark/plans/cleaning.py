@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wellspark.functions import characters as ch
-from wellspark.functions.parallel import spread
 from wellspark.operators import cleaning as cl
 from wellspark.plans.registry import query, view
 from wellspark.plans.views import table
 
 
 def docs(spark, sf):
-    return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return table(spark, sf, "documents").select("doc_id", "text")
 
 
 def pages(spark, sf):
-    return spread(table(spark, sf, "pages"), "page_id")
+    return table(spark, sf, "pages")
 
 
 def _sql_replace(column: str, chars: dict[str, str]) -> str:

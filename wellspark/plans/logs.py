@@ -1,4 +1,4 @@
-"""Log alignment over the rendered event logs."""
+"""Log alignment over the table event logs."""
 
 from __future__ import annotations
 

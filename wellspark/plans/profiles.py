@@ -1,4 +1,4 @@
-"""Profile flags and time columns over table files rendered from orders."""
+"""Profile flags and time columns over table files table from orders."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wellspark.operators import logs as lg, profile as pf
 from wellspark.plans.registry import query, view
-from wellspark.plans.views import rendered
+from wellspark.plans.views import table
 
 view("prof_cells", """
 SELECT file, row, unnest(range(len(names))) AS col, unnest(names) AS name, unnest(cells) AS cell FROM (
@@ -41,7 +41,7 @@ def prof_cells(spark, sf):
         .otherwise(F.transform(wide, lambda i: i.cast("string")))
     )
     file = F.when(k == 7, F.concat(F.lit("w"), o.cast("string"))).otherwise(F.concat(F.lit("f"), (F.col("o_custkey") % 64).cast("string")))
-    rows = rendered(spark, sf, "orders", "o_orderkey").select(file.alias("file"), (o + 1).alias("row"), F.arrays_zip(names.alias("name"), cells.alias("cell")).alias("z"))
+    rows = table(spark, sf, "orders").select(file.alias("file"), (o + 1).alias("row"), F.arrays_zip(names.alias("name"), cells.alias("cell")).alias("z"))
     return rows.select("file", "row", F.posexplode("z").alias("col", "z")).select("file", "row", "col", "z.name", "z.cell")
 
 

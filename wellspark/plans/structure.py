@@ -1,4 +1,4 @@
-"""Delimiter, header and block detection over rendered plate files."""
+"""Delimiter, header and block detection over table plate files."""
 
 from __future__ import annotations
 
