@@ -213,15 +213,23 @@ def run_summary(wells: DataFrame, keys: tuple[str, str] = ("plate_id", "well_id"
 
 
 def merge_wells(*tables: DataFrame) -> DataFrame:
-    """Full outer join on plate and well; a column already present on the left wins."""
-    keys = ["plate_id", "well_id"]
+    """Full outer join on plate and well; a column already present on the left wins.
+
+    Wells without a plate id match nothing: each has a key of its own, so they
+    stay single rows and their common id is no hot key.
+    """
+    keys = ["plate_id", "well_id", "_lone"]
 
     def fold(left: DataFrame, right: DataFrame) -> DataFrame:
         repeated = [c for c in right.columns if c in left.columns and c not in keys]
         return left.join(right.drop(*repeated), keys, "full_outer")
 
-    ready = [t.withColumn("plate_id", F.coalesce(F.col("plate_id").cast("string"), F.lit(UNKNOWN_PLATE))) for t in tables]
-    return reduce(fold, ready)
+    def ready(i: int, t: DataFrame) -> DataFrame:
+        plate = F.coalesce(F.col("plate_id").cast("string"), F.lit(UNKNOWN_PLATE))
+        lone = F.concat(F.lit(f"{i}:"), F.monotonically_increasing_id().cast("string"))
+        return t.withColumn("plate_id", plate).withColumn("_lone", F.when(F.col("plate_id") == UNKNOWN_PLATE, lone).otherwise(""))
+
+    return reduce(fold, [ready(i, t) for i, t in enumerate(tables)]).drop("_lone")
 
 
 def combine(data: DataFrame | None = None, mapping: DataFrame | None = None, protocol: DataFrame | None = None) -> DataFrame:
@@ -232,6 +240,13 @@ def combine(data: DataFrame | None = None, mapping: DataFrame | None = None, pro
     return merge_wells(*present)
 
 
+def column_sets(left: DataFrame, right: DataFrame, name: str = "field") -> DataFrame:
+    """Every name found in ``left`` or ``right``: ``both``, ``left only`` or ``right only``."""
+    sides = left.select(name, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.select(name, F.lit(0).alias("l"), F.lit(1).alias("r")))
+    found = sides.groupBy(name).agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    return found.select(name, F.when(F.col("r") == 0, "left only").when(F.col("l") == 0, "right only").otherwise("both").alias("found_in"))
+
+
 def sort_wells(wells: DataFrame) -> DataFrame:
     """A1, A2, …, A10 rather than the text order A1, A10, A2."""
     return wells.orderBy("plate_id", F.substring("well_id", 1, 1), F.substring("well_id", 2, 3).try_cast("int"), "well_id")

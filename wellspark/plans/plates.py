@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from wellspark.operators import categories, plates as pl, protocols as pr, structure as st
@@ -276,18 +278,25 @@ def plt_13(spark, sf):
     return table(spark, sf, "part").select(k.cast("string").alias("file"), an.table_kind(json).alias("kind"))
 
 
-@query("plt_14_available_inputs", """
-SELECT 'data+map' AS inputs, plate_id, well_id, "raw data", "raw mapping" FROM data_wells FULL JOIN map_wells USING (plate_id, well_id)
-UNION ALL SELECT 'data', plate_id, well_id, "raw data", NULL FROM data_wells
-UNION ALL SELECT 'map', plate_id, well_id, NULL, "raw mapping" FROM map_wells""")
+_PARTS = {"protocol": "protocol_wells", "data": "data_wells", "map": "map_wells"}
+_COLUMNS = {'"raw data"': "data", '"raw mapping"': "map", "protocol_brand": "protocol", "protocol_kind": "protocol"}
+
+
+def _inputs_sql(names: tuple[str, ...]) -> str:
+    shown = ", ".join(c if p in names else f"NULL AS {c}" for c, p in _COLUMNS.items())
+    joined = _PARTS[names[0]] + "".join(f" FULL JOIN {_PARTS[n]} USING (plate_id, well_id)" for n in names[1:])
+    return f"SELECT '{'+'.join(names)}' AS inputs, plate_id, well_id, {shown} FROM {joined}"
+
+
+INPUTS = [("data",), ("map",), ("protocol",), ("data", "map"), ("protocol", "data"), ("protocol", "map"), ("protocol", "data", "map")]
+
+
+@query("plt_14_available_inputs", " UNION ALL ".join(_inputs_sql(n) for n in [INPUTS[-1], *INPUTS[:-1]]))
 def plt_14(spark, sf):
-    d, m = data_wells(spark, sf), map_wells(spark, sf)
-    runs = {"data+map": pl.combine(data=d, mapping=m), "data": pl.combine(data=d), "map": pl.combine(mapping=m)}
-    out = None
-    for name, wells in runs.items():
-        tagged = wells.withColumn("inputs", F.lit(name))
-        out = tagged if out is None else out.unionByName(tagged, allowMissingColumns=True)
-    return out
+    """All seven sets of inputs a run can have."""
+    parts = {"data": data_wells(spark, sf), "mapping": map_wells(spark, sf), "protocol": protocol_wells(spark, sf)}
+    runs = [pl.combine(**{("mapping" if n == "map" else n): parts["mapping" if n == "map" else n] for n in names}).withColumn("inputs", F.lit("+".join(names))) for names in INPUTS]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), runs)
 
 
 view("named_files", """
@@ -372,12 +381,12 @@ def set_03(spark, sf):
 
 
 @query("set_04_column_sets", """
-SELECT field_kind, count(*) AS n_values FROM (SELECT CASE WHEN field IN ('protocol_brand', 'protocol_size') THEN 'shared' ELSE 'only_here' END AS field_kind FROM json_wells) GROUP BY field_kind""")
+SELECT coalesce(l.field, r.field) AS field, CASE WHEN r.field IS NULL THEN 'left only' WHEN l.field IS NULL THEN 'right only' ELSE 'both' END AS found_in
+FROM (SELECT DISTINCT field FROM json_wells) l FULL JOIN (SELECT 'protocol_brand' AS field FROM protocol_wells WHERE protocol_brand IS NOT NULL
+  UNION SELECT 'protocol_kind' FROM protocol_wells WHERE protocol_kind IS NOT NULL) r ON l.field = r.field""")
 def set_04(spark, sf):
-    """Fields of a table that another table also has, and those it has alone."""
-    known = ["protocol_brand", "protocol_size"]
-    kind = F.when(F.col("field").isin(known), "shared").otherwise("only_here")
-    return json_wells(spark, sf).groupBy(kind.alias("field_kind")).agg(F.count(F.lit(1)).alias("n_values"))
+    """Fields of the two kinds of protocol: in both, or in one alone."""
+    return pl.column_sets(json_wells(spark, sf), pr.expand_scopes(scopes(spark, sf)))
 
 
 @query("prj_02_text_columns", 'SELECT o_orderkey::VARCHAR AS o_orderkey, o_custkey::VARCHAR AS o_custkey, o_orderstatus FROM orders')

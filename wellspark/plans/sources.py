@@ -12,11 +12,14 @@ from wellspark.session import work_folder
 from wellspark.sources import files as fs
 
 
-@query("src_01_list_files")
+@query("src_01_list_files", """SELECT 'o_orderstatus=' || o_orderstatus AS folder, 'csv' AS extension, TRUE AS has_content FROM orders GROUP BY o_orderstatus""")
 def src_01(spark, sf):
-    """The files of the table folder itself, newest first."""
-    listed = fs.list_files(spark, sf, ["parquet", "csv"])
-    return listed.select(fs.file_name(F.col("path")).alias("name"), "length")
+    """Orders written as files in a folder for each status, then found again by extension."""
+    base = work_folder(spark, "listed")
+    table(spark, sf, "orders").select("o_orderstatus", "o_orderkey", "o_custkey").write.partitionBy("o_orderstatus").option("header", True).csv(base)
+    listed = fs.list_files(spark, base, ["csv"])
+    folder = F.element_at(F.split("path", "/"), -2)
+    return listed.groupBy(folder.alias("folder"), fs.extension(fs.file_name(F.col("path"))).alias("extension")).agg((F.sum("length") > 0).alias("has_content"))
 
 
 view("upload_files", """
@@ -79,8 +82,8 @@ def src_07(spark, sf):
     sinks.write_csv(table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("amount")), f"{base}/orders")
     sinks.write_csv(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_extendedprice").alias("amount"), "l_quantity"), f"{base}/lineitem")
     groups = fs.read_csv_groups(spark, {"o_orderkey BIGINT, amount DOUBLE": [f"{base}/orders"], "o_orderkey BIGINT, amount DOUBLE, l_quantity DOUBLE": [f"{base}/lineitem"]})
-    source = F.when(F.col("l_quantity").isNull(), "orders").otherwise("lineitem")
-    return fs.union_groups(groups).select("o_orderkey", "l_quantity", "amount", source.alias("source"))
+    tagged = {ddl: df.withColumn("source", F.lit(name)) for (ddl, df), name in zip(groups.items(), ("orders", "lineitem"))}
+    return fs.union_groups(tagged).select("o_orderkey", "l_quantity", "amount", "source")
 
 
 @query("snk_01_csv_result", 'SELECT plate_id, well_id, "raw data", "raw mapping" FROM data_wells FULL JOIN map_wells USING (plate_id, well_id)')
