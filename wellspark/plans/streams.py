@@ -10,23 +10,28 @@ from wellspark.plans.views import table, users
 from wellspark.session import work_folder
 from wellspark.streaming import events as ev, logfiles as lf
 
-CLOSED = "(SELECT max(ts) FROM events)"
+
+
+def complete(spark, sf, build, name):
+    """A windowed stream run over all events, the last windows included."""
+    closing = work_folder(spark, f"{name}-end")
+    events = ev.read_events(spark, sf, closing=closing)
+    return ev.run_available(build(events), name, closing=(closing, table(spark, sf, "events")))
 
 
 @query("str_01_daily_counters", f"""
 SELECT window_start, organization_id, metric_type, count(*) AS event_count, round(sum(value), 2) AS total_value
 FROM (SELECT date_trunc('day', ts) AS window_start, c_nationkey::BIGINT AS organization_id, event_type AS metric_type, value FROM events JOIN customer ON c_custkey = user_id)
-WHERE window_start + INTERVAL 1 DAY <= {CLOSED} - INTERVAL 1 DAY GROUP BY window_start, organization_id, metric_type""")
+GROUP BY window_start, organization_id, metric_type""")
 def str_01(spark, sf):
-    out = ev.run_available(ev.daily_counters(ev.read_events(spark, sf), users(spark, sf)), "daily-counters")
+    out = complete(spark, sf, lambda e: ev.daily_counters(e, users(spark, sf)), "daily-counters")
     return out.withColumn("total_value", F.round("total_value", 2))
 
 
 @query("str_02_minute_budget", f"""
-SELECT window_start, requests, tokens, requests > 50 OR tokens > 20000 AS over_budget FROM (SELECT date_trunc('minute', ts) AS window_start, count(*) AS requests, round(sum(value * 1000), 2) AS tokens FROM events GROUP BY 1)
-WHERE window_start + INTERVAL 1 MINUTE <= {CLOSED} - INTERVAL 10 MINUTE""")
+SELECT window_start, requests, tokens, requests > 50 OR tokens > 20000 AS over_budget FROM (SELECT date_trunc('minute', ts) AS window_start, count(*) AS requests, round(sum(value * 1000), 2) AS tokens FROM events GROUP BY 1)""")
 def str_02(spark, sf):
-    out = ev.run_available(ev.budget(ev.read_events(spark, sf), F.col("value") * 1000), "budget")
+    out = complete(spark, sf, lambda e: ev.budget(e, F.col("value") * 1000), "budget")
     return out.withColumn("tokens", F.round("tokens", 2))
 
 
@@ -56,9 +61,9 @@ def str_03b(spark, sf):
 
 
 @query("str_04_sessions", f"""
-SELECT user_id, created_at AS session_start, last_activity + INTERVAL 30 MINUTE AS session_end, n_events FROM sessions WHERE last_activity + INTERVAL 30 MINUTE <= {CLOSED} - INTERVAL 1 HOUR""")
+SELECT user_id, created_at AS session_start, last_activity + INTERVAL 30 MINUTE AS session_end, n_events FROM sessions""")
 def str_04(spark, sf):
-    return ev.run_available(ev.sessions(ev.read_events(spark, sf)), "sessions")
+    return complete(spark, sf, ev.sessions, "sessions")
 
 
 @query("str_04b_sessions_batch", "SELECT user_id, created_at, last_activity, n_events FROM sessions")
@@ -96,6 +101,6 @@ def str_05(spark, sf):
 
 @query("str_06_sliding_week", f"""
 SELECT window_start, event_type, count(*) AS n FROM (SELECT date_trunc('day', ts) - to_days(i::INTEGER) AS window_start, event_type FROM events CROSS JOIN (SELECT unnest(range(7)) AS i))
-WHERE window_start + INTERVAL 7 DAY <= {CLOSED} - INTERVAL 1 DAY GROUP BY ALL""")
+GROUP BY ALL""")
 def str_06(spark, sf):
-    return ev.run_available(ev.sliding_activity(ev.read_events(spark, sf)), "sliding-week")
+    return complete(spark, sf, ev.sliding_activity, "sliding-week")

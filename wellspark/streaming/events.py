@@ -15,27 +15,50 @@ REQUESTS_PER_MINUTE = 50
 TOKENS_PER_MINUTE = 20000
 
 
-def read_events(spark: SparkSession, folder: str, glob: str = "events*.parquet", files_per_batch: int | None = None) -> DataFrame:
-    """Event files as a stream; ``at`` is the zoned event time a watermark needs."""
+#: A moment after all events: a row with this time lets the watermark pass every open window.
+LAST_MOMENT = "9999-01-01 00:00:00"
+MARKS = 100
+
+
+def read_events(spark: SparkSession, folder: str, glob: str = "events*.parquet", files_per_batch: int | None = None, closing: str | None = None) -> DataFrame:
+    """Event files as a stream; ``at`` is the zoned event time a watermark needs.
+
+    ``closing`` is a folder for the mark that ``run_available`` writes once the
+    events are used up, so that the last windows are written as well.
+    """
     schema = spark.read.option("pathGlobFilter", glob).parquet(folder).schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder).withColumn("at", F.col("ts").cast("timestamp"))
+    events = reader.parquet(folder)
+    if closing:
+        spark.createDataFrame([], schema).write.parquet(closing)
+        events = events.union(spark.readStream.schema(schema).parquet(closing))
+    return events.withColumn("at", F.col("ts").cast("timestamp"))
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_available(stream: DataFrame, name: str, mode: str = "append", closing: tuple[str, DataFrame] | None = None) -> DataFrame:
     """Process everything that is there, then read what was written.
 
-    Output and checkpoint lie in the shared work folder, so a restarted driver
-    or executor continues from the last committed batch.
+    Output and checkpoint lie in the shared work folder, so a restarted driver or
+    executor continues from the last committed batch.  With ``closing`` (the
+    folder given to ``read_events`` and the events as a table) the same query then
+    goes on with marks after all events, which close the windows still open.
+    Marks are copies of some events, so that the query's own filters let one
+    pass; their window never closes.
     """
     spark = stream.sparkSession
     base = work_folder(spark, name)
-    query = (
-        stream.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/data").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+
+    def run() -> None:
+        writer = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/data").option("checkpointLocation", f"{base}/checkpoint")
+        writer.trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    if closing:
+        folder, events = closing
+        events.limit(MARKS).withColumn("ts", F.lit(LAST_MOMENT).cast(events.schema["ts"].dataType)).write.mode("append").parquet(folder)
+        run()
     return spark.read.schema(stream.schema).parquet(f"{base}/data")
 
 
