@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -38,18 +39,16 @@ class QuotedCells:
             yield i, cell.strip()
 
 
-def annotate(lines: DataFrame, annotator: Callable[[str, list[str]], str], head: int = 50) -> DataFrame:
-    """Ask a user function for the annotation JSON of each file, given its first lines.
+def annotate(lines: DataFrame, annotator: Callable[[str, Iterator[str]], str]) -> DataFrame:
+    """Ask a user function for the annotation JSON of each file, given all its lines in order.
 
-    Only ``head`` lines per file are gathered, so a group is bounded whatever the
-    file size; the function runs on executors, file by file.
+    Spark brings the lines of a file together and sorts them; the function gets
+    an iterator and may stop where it knows enough, so no file is held whole.
     """
-    top = lines.filter(F.col("line_no") < head).groupBy("file").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("lines")
-    )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"file": pdf["file"], "json": [annotator(f, list(ls)) for f, ls in zip(pdf["file"], pdf["lines"])]})
+        rows = (row for pdf in batches for row in zip(pdf["file"], pdf["line"]))
+        for file, group in groupby(rows, key=lambda row: row[0]):
+            yield pd.DataFrame({"file": [file], "json": [annotator(file, (line for _, line in group))]})
 
-    return top.mapInPandas(run, "file string, json string")
+    return lines.select("file", "line_no", "line").repartition("file").sortWithinPartitions("file", "line_no").mapInPandas(run, "file string, json string")

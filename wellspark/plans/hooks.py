@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 from pyspark.sql import functions as F
 
@@ -25,12 +26,15 @@ def udf_01(spark, sf):
 
 @query("udf_02_quoted_cells", "SELECT file, row, col, cell FROM log_cells")
 def udf_02(spark, sf):
-    lines = log_lines(spark, sf).filter(F.col("line").rlike(r"\S"))
-    cells = lines.lateralJoin(hooks.QuotedCells(F.col("line").outer(), F.lit(",")))
-    return cells.select("file", F.col("line_no").alias("row"), "col", "cell")
+    """Only lines with a quote go to the CSV reader; the others are cut by a built-in."""
+    lines = log_lines(spark, sf).filter(F.col("line").rlike(r"\S")).select("file", F.col("line_no").alias("row"), "line")
+    has_quote = F.contains("line", F.lit('"'))
+    quoted = lines.filter(has_quote).lateralJoin(hooks.QuotedCells(F.col("line").outer(), F.lit(","))).select("file", "row", "col", "cell")
+    plain = lines.filter(~has_quote).select("file", "row", F.posexplode(F.split("line", ",")).alias("col", "cell"))
+    return quoted.unionByName(plain.withColumn("cell", F.trim("cell")))
 
 
-def _first_header(file: str, lines: list[str]) -> str:
+def _first_header(file: str, lines: Iterator[str]) -> str:
     row = next((i for i, line in enumerate(lines) if line and not line.startswith("#")), None)
     return json.dumps({"file_name": file, "variable_names_row_index": row})
 
