@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 
 #: One word: a run without the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +20,17 @@ LENGTH = 2048
 #: Open bins per task, and pieces per packing task.
 OPEN, PIECES = 2048, 60_000
 #: Words a task keeps the ids of; a full table starts anew.
-KEPT_WORDS = 1 << 20
+KEPT_WORDS = 1 << 19
+
+
+#: Lower-case letters that no normal form changes; the words made of them alone go straight to the tokenizer's model.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Letters that stand for the bytes without one of their own in byte-level vocabularies."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
 
 
 class WordIds:
@@ -28,38 +40,61 @@ class WordIds:
     text's ids are the ids of its words one after the other.  It lowers all
     letters, so words are kept in lower case (not in texts that may hold a
     special token's string), and it separates signs from letters and digits, so
-    the signs that end a word are encoded apart from it.
+    the signs that end a word are encoded apart from it.  A tokenizer that
+    answers a probe otherwise gets whole texts.
     """
 
     SIGNS = b'.,;:!?#$%&*|"'
+    PROBE = "Ab cd, Éa\tx1. naïve-ß 'tis don't!"
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    @staticmethod
-    def words(text: bytes) -> list[bytes]:
-        return text.split() if b"<|" in text else text.lower().split()
+        self.tokenizer, self.known, self.letters = Tokenizer.from_file(path), {}, _byte_letters()
+        self.model, self.by_word = self.tokenizer.model, True
+        try:
+            parts = self.encode([self.PROBE.encode()])[0]
+        except Exception:  # a model without the letters of bytes
+            parts = b""
+        self.by_word = parts == np.array(self.tokenizer.encode(self.PROBE, add_special_tokens=False).ids, "<u4").tobytes()
+        self.known.clear()
+
+    def _learn(self, words: set[bytes]) -> None:
+        known, rest = self.known, []
+        for w in words:
+            text = w.decode("utf-8", "replace").lower()
+            if _PLAIN.fullmatch(text):
+                letters = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+                known[w] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+            else:
+                rest.append(w)
+        for i in range(0, len(rest), 10_000):
+            part = rest[i : i + 10_000]
+            for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
+                known[word] = np.array(e.ids, "<u4").tobytes()
 
-    def encode(self, documents: list[list[bytes]]) -> list[bytes]:
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
+    def encode(self, documents: list[bytes]) -> list[bytes]:
+        if not self.by_word:
+            return [np.array(self.tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes() for t in documents]
+        lists = [t.split() if b"<|" in t else t.lower().split() for t in documents]
         known = self.known
-        missing = {w for words in documents for w in words if w not in known}
-        parted = {}
+        if len(known) > KEPT_WORDS:
+            known.clear()
+        missing = {w for words in lists for w in words if w not in known}
+        parted: dict[bytes, tuple[bytes, bytes]] = {}
+        single: set[bytes] = set()
         for w in missing:
             core = w.rstrip(self.SIGNS)
             if len(core) < len(w) and core[-1:].isalnum():
                 parted[w] = core, w[len(core) :]
-        single = list({p for w in missing for p in parted.get(w, (w,)) if p not in known})
-        for i in range(0, len(single), 10_000):
-            part = single[i : i + 10_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                known[word] = np.array(e.ids, "<u4").tobytes()
-        known.update((w, known[core] + known[signs]) for w, (core, signs) in parted.items())
-        return [b"".join([known[w] for w in words]) for words in documents]
+                single.update(parted[w])
+            else:
+                single.add(w)
+        self._learn(single.difference(known))
+        for w, (core, signs) in parted.items():
+            known[w] = known[core] + known[signs]
+        return [b"".join([known[w] for w in words]) for words in lists]
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -75,7 +110,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for part in slices(batch, "text"):
                 at, piece, start, size, crc = [], [], [], [], []
-                for i, ids in enumerate(_LOADED[tokenizer].encode([WordIds.words(t) for t in texts(part.column("text"))])):
+                for i, ids in enumerate(_LOADED[tokenizer].encode(texts(part.column("text")))):
                     ids += bytes(4)
                     for p, lo in enumerate(range(0, len(ids), 4 * length)):
                         own = ids[lo : lo + 4 * length]
