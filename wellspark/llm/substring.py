@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F
 
 from wellspark.llm.batches import slices, texts
 
@@ -19,6 +19,8 @@ DEPTH = WINDOW // STEP
 ANCHOR, RUN = 5, 63
 #: Words of one index; a larger shard is cut between anchors.
 SHARD_WORDS = 300_000
+#: Stands for a null id, before all others.
+NO_ID = -(1 << 63)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -289,17 +291,17 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out += words[last:]
             whole = b" ".join(out)
             n_words.append(len(words)), n_removed.append(len(words) - len(out)), kept.append(whole.decode()), digest.append(hashlib.sha256(whole).hexdigest())
-        columns = [batch.column("id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string())]
-        yield pa.RecordBatch.from_arrays(columns, ["id", "n_words", "n_removed", "kept_sha256", "kept"])
+        columns = [batch.column("own"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["own", "n_words", "n_removed", "kept_sha256", "kept"])
 
 
 def removed_ranges(keyed: DataFrame) -> DataFrame:
     """``own``, ``th``, ``lo``, ``hi``: word ranges of the texts of ``keyed`` (``own``, ``th``, ``text``) that stand earlier as well."""
-    found = keyed.select("own", "th", "text").mapInArrow(_anchored, "key long, own long, th long, value long")
+    found = keyed.mapInArrow(_anchored, "key long, own long, th long, value long")
     counted = found.withColumn("n", F.count("*").over(Window.partitionBy("key")))
     kept = counted.filter((F.col("n") > 1) | (F.col("value").bitwiseAND(3) > 0))
     per_text = kept.groupBy("own", "th").agg(F.collect_list(F.struct("key", "value")).alias("segments"))
-    full = keyed.select("own", "th", "text").join(per_text, ["own", "th"]).select("own", "th", "text", "segments")
+    full = keyed.join(per_text, ["own", "th"]).select("own", "th", "text", "segments")
     contents = full.mapInArrow(_contents, "key long, own long, th long, value long, content binary")
     return contents.repartition("key").sortWithinPartitions("key").mapInArrow(_searched, "own long, th long, lo long, hi long")
 
@@ -317,11 +319,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     others.  Repeated rows of an id do not come before each other.  An empty
     table gives no rows; other columns are not read.
     """
-    kind = docs.schema[id_col].dataType
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("own"), F.xxhash64(text).alias("th"), text.alias("text"))
+    # Both joins read exactly these columns by the same keys, so the texts are shuffled once and the exchange is used again.
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("own"), F.xxhash64(text).alias("th"), text.alias("text"))
     spans = removed_ranges(keyed).groupBy("own", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    joined = keyed.join(spans, ["own", "th"], "left").select("id", "text", "spans")
-    fields = [("id", kind), ("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()), ("kept", T.StringType())]
-    done = joined.mapInArrow(_cleaned, T.StructType([T.StructField(*f) for f in fields])).withColumnRenamed("id", id_col)
-    return done if texts_too else done.drop("kept")
+    joined = keyed.join(spans, ["own", "th"], "left").select("own", "text", "spans")
+    done = joined.mapInArrow(_cleaned, "own long, n_words long, n_removed long, kept_sha256 string, kept string")
+    named = done.withColumn("own", F.when(F.col("own") != NO_ID, F.col("own")).cast(docs.schema[id_col].dataType)).withColumnRenamed("own", id_col)
+    return named if texts_too else named.drop("kept")
