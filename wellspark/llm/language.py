@@ -122,8 +122,10 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, parts: int
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     own = own.filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~learned_apart(F.col("id"), parts, held_out))
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
-    rates = own.groupBy("lang").agg((F.lit(2.0 * per_language * (1 << 40)) / F.count("*")).alias("below"))  # twice the rows wanted at most meet in a task
-    few = own.select("id", "lang", place.alias("place")).join(rates, "lang").filter("place <= below")
+    # One number for each language, as in the model: ids beyond it are passed over before any shuffle, and at most about twice the rows wanted meet.
+    below = [(r["lang"], 2.0 * per_language * (1 << 40) / r["n"]) for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()]
+    limit = F.try_element_at(F.create_map(*[F.lit(x) for pair in below or [("", 0.0)] for x in pair]), F.col("lang"))
+    few = own.select("id", "lang", place.alias("place")).filter(F.col("place") <= limit)
     first = F.row_number().over(Window.partitionBy("lang").orderBy("place", "id"))
     chosen = few.withColumn("n", first).filter(F.col("n") <= per_language).select("id", "lang").distinct()
 
