@@ -57,7 +57,8 @@ def connected(edges: DataFrame) -> DataFrame:
     """
     a, b = edges.columns[:2]
     pairs = edges.select(F.greatest(a, b).cast("long").alias("a"), F.least(a, b).cast("long").alias("b")).filter((F.col(a) != F.col(b)))
-    stars = settle(pairs.mapInArrow(_contract, "a long, b long").repartition("a").mapInArrow(_contract, "a long, b long").distinct(), "stars")
+    # The exchange first: edges often come out of Python, and one task should not run two workers.
+    stars = settle(pairs.repartition("a").mapInArrow(_contract, "a long, b long").distinct(), "stars")
     seen = None
     for _ in range(ROUNDS):
         mark = tuple(stars.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first())
