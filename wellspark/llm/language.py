@@ -137,7 +137,8 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, parts: int
 
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("id", kind), T.StructField("lang", T.StringType()), T.StructField("x", T.BinaryType())])
-    rows = own.join(chosen, ["id", "lang"], "left_semi").select("id", "text", "lang").mapInArrow(work, schema).collect()
+    # At most per_language ids for each language of the model are broadcast, so the texts stay where they are.
+    rows = own.join(F.broadcast(chosen), ["id", "lang"], "left_semi").select("id", "text", "lang").mapInArrow(work, schema).collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r["lang"], r["id"], r["x"]))
