@@ -81,25 +81,87 @@ class Node:
     label: int  # of the base match it overlaps, else 0
 
 
-def nodes_of(text: str, spans: list[Span]) -> list[Node]:
-    pieces: list[tuple[int, int, str]] = []
+def _pieces_of(text: str, spans: list[Span]) -> list[tuple[int, int, str]]:
+    """Start, end and the digits of a card or phone that base found there (else empty) of every node.
+
+    Tokens that overlap one base card or phone are one piece.  Of other number
+    groups set apart by one blank, those that repeat the last nine digits of such
+    a match are one piece; the rest join while the group before has at most 4
+    digits and all have at most 19.
+    """
+    numbers = sorted((s, e) for k, s, e in spans if k >= 2)
+    known = [_digits(text[s:e]) for s, e in numbers]
+    ends, whole = {d[-9:] for d in known}, set(known)
+    out: list[tuple[int, int, str]] = []
+    run: list[tuple[int, int]] = []  # number groups, one blank between
+
+    def repeated(last: int, first: int) -> int | None:
+        """The group from which groups up to ``last`` repeat a match: all its digits if possible, else the fewest with an area's zero."""
+        digits, found = "", None
+        for i in range(last, first - 1, -1):
+            digits = _digits(text[slice(*run[i])]) + digits
+            if len(digits) > 19:
+                break
+            if digits in whole:
+                return i
+            if digits[-9:] in ends and (found is None or (found == i + 1 and text[run[i][0]] in "0+(")):
+                found = i
+        return found
+
+    def join(first: int, last: int) -> None:
+        at, size = first, [len(_digits(text[lo:hi])) for lo, hi in run]
+        while at < last:
+            to, total = at + 1, size[at]
+            while to < last and size[to - 1] <= 4 and total + size[to] <= 19:
+                total += size[to]
+                to += 1
+            out.append((run[at][0], run[to - 1][1], ""))
+            at = to
+
+    def close() -> None:
+        done = 0
+        for j in range(len(run)) if ends else ():
+            i = repeated(j, done)
+            if i is not None:
+                join(done, i)
+                out.append((run[i][0], run[j][1], ""))
+                done = j + 1
+        join(done, len(run))
+        run.clear()
+
+    k = 0
     for m in _TOKEN.finditer(text):
         word = m[0].rstrip(_EDGES)
         start = m.start() + len(word) - len(word.lstrip(_EDGES))
         word = word.lstrip(_EDGES)
         if not word:
             continue
-        number = _NUMBER.fullmatch(word) is not None
-        if number and pieces and pieces[-1][2]:  # number groups set apart by one blank
-            lo, hi, before = pieces[-1]
-            if hi + 1 == start and text[hi] == " " and len(_digits(before)) <= 4 and len(_digits(before + word)) <= 19:
-                pieces[-1] = (lo, start + len(word), f"{before} {word}")
-                continue
-        pieces.append((start, start + len(word), word if number else ""))
+        end = start + len(word)
+        while k < len(numbers) and numbers[k][1] <= start:
+            k += 1
+        if k < len(numbers) and numbers[k][0] < end:
+            close()
+            if out and out[-1][2] and numbers[k][0] < out[-1][1]:
+                out[-1] = (out[-1][0], end, out[-1][2])
+            else:
+                out.append((start, end, known[k]))
+        elif _NUMBER.fullmatch(word):
+            if run and not (run[-1][1] + 1 == start and text[start - 1] == " "):
+                close()
+            run.append((start, end))
+        else:
+            close()
+            out.append((start, end, ""))
+    close()
+    return out
+
+
+def nodes_of(text: str, spans: list[Span]) -> list[Node]:
+    pieces = _pieces_of(text, spans)
     ordered = sorted((s, e, k) for k, s, e in spans)
     out: list[Node] = []
     i, before = 0, None
-    for start, end, _ in pieces:
+    for start, end, found in pieces:
         while i < len(ordered) and ordered[i][1] <= start and all(e <= start for _, e, _ in ordered[i : i + 4]):
             i += 1
         label = next((k + 1 for s, e, k in ordered[i : i + 8] if s < end and e > start), 0)
@@ -112,8 +174,8 @@ def nodes_of(text: str, spans: list[Span]) -> list[Node]:
         keys = []
         if len(plain) >= 5:
             keys.append("w" + plain)
-        if n >= 7 and not flags[0]:
-            keys.append("d" + digits[-9:])
+        if found or (n >= 7 and not flags[0]):
+            keys.append("d" + (found or digits)[-9:])
         out.append(Node(start, end, f"{size}:" + "".join(str(int(f)) for f in flags), tuple(keys), before is not None and not text[before:start].strip(), label))
         before = end
     return out
