@@ -125,6 +125,15 @@ def test_keep_one_keeps_the_first_of_each_group(odd, empty):
     assert simhash.keep_one(empty).count() == 0
 
 
+def test_marks_of_many_edges_do_not_overflow(spark):
+    from wellspark.llm.components import _mark
+
+    def many(first):
+        return spark.range(first, first + 18_000_000, 1, 8).selectExpr("id as a", "0L as b")
+
+    assert _mark(many(1)) == _mark(many(1)) != _mark(many(2)) and _mark(many(1))[0] == 18_000_000
+
+
 # --- personal data --------------------------------------------------------------------------------------------
 
 

@@ -47,6 +47,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _mark(stars: DataFrame) -> tuple:
+    """What tells one edge table from another: no sums of hashes, which overflow at some millions of edges."""
+    return tuple(stars.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """``node``, ``component`` (its smallest node) for every node of ``edges`` (two bigint columns).
 
@@ -61,7 +66,7 @@ def connected(edges: DataFrame) -> DataFrame:
     stars = settle(pairs.repartition("a").mapInArrow(_contract, "a long, b long").distinct(), "stars")
     seen = None
     for _ in range(ROUNDS):
-        mark = tuple(stars.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first())
+        mark = _mark(stars)
         if mark == seen or not mark[0]:
             break
         seen = mark
