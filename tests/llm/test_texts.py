@@ -134,6 +134,79 @@ def test_marks_of_many_edges_do_not_overflow(spark):
     assert _mark(many(1)) == _mark(many(1)) != _mark(many(2)) and _mark(many(1))[0] == 18_000_000
 
 
+def shingle_set(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def alike(a, b):
+    return a == b or len(a & b) >= 0.8 * len(a | b)
+
+
+def check_near_copies(df):
+    from wellspark.llm import jaccard
+
+    rows = [(r.doc_id, frozenset(shingle_set(r.text))) for r in df.collect()]
+    names = {s: i for i, s in enumerate(sorted({s for _, s in rows}, key=sorted))}
+    sets = list(names)
+    group = naive_components(range(len(sets)), lambda a, b: alike(sets[a], sets[b]))
+    least = defaultdict(list)
+    for i, s in rows:
+        if i is not None:
+            least[group[names[s]]].append(i)
+    want = sorted((str(i), str(min(least[group[names[s]]], default=None))) for i, s in rows)
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in jaccard.near_copies(df).collect()) == want
+    return len(set(group.values())), len(sets)
+
+
+def changed(words_, n, r):
+    """The words with n of them replaced, at least five places apart."""
+    out = list(words_)
+    for i in r.sample(range(len(out) // 6), n):
+        out[6 * i + r.randrange(2)] = f"new{r.random()}"
+    return out
+
+
+def test_near_copies_equal_all_pairs(spark, odd, given, empty):
+    from wellspark.llm import jaccard
+
+    check_near_copies(odd)
+    check_near_copies(given)
+    assert jaccard.near_copies(empty).count() == 0 and jaccard.keep_first(empty).count() == 0
+    kept = jaccard.keep_first(odd)
+    ids = [r.doc_id for r in kept.collect()]
+    assert kept.columns == odd.columns and ids.count(5) == 0 and ids.count(4) == 1 and ids.count(None) == 2
+
+
+def test_stage_removes_near_copies_from_similarity_80_up(spark):
+    import corpus_pipeline
+
+    r, rows, pairs = random.Random(5), [], []
+    for n in range(600):
+        text = words(1000 + n, 400, 5000)
+        copy = changed(text, r.randrange(2, 9), r)
+        rows += [(2 * n, " ".join(text), "en", "a"), (2 * n + 1, " ".join(copy), "en", "a")]
+        a, b = shingle_set(rows[-2][1]), shingle_set(rows[-1][1])
+        pairs.append(len(a & b) / len(a | b))
+    kept = {x.doc_id for x in corpus_pipeline.near_duplicates(spark, documents(spark, rows), SF).collect()}
+    near = [n for n, s in enumerate(pairs) if s >= 0.8]
+    found = [n for n in near if 2 * n + 1 not in kept]
+    assert len(near) > 500 and min(pairs) < 0.83 and len(found) >= 0.999 * len(near)
+    assert all(2 * n in kept for n in range(600)) and all(2 * n + 1 in kept for n, s in enumerate(pairs) if s < 0.8)
+
+
+def test_large_groups_of_near_copies_and_of_texts_that_only_share_a_part(spark, monkeypatch):
+    from wellspark.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "CELL", 8)
+    r = random.Random(8)
+    base, part = words(7, 300, 5000), words(8, 150, 5000)
+    rows = [(i, " ".join(changed(base, r.randrange(1, 7), r)), "en", "a") for i in range(60)]
+    rows += [(100 + i, " ".join(part + words(50 + i // 2, 30 + i % 2, 5000)), "en", "a") for i in range(80)]
+    groups, texts_ = check_near_copies(documents(spark, rows))
+    assert groups < texts_
+
+
 # --- personal data --------------------------------------------------------------------------------------------
 
 
