@@ -140,3 +140,12 @@ def test_sanitized_string(spark):
     df = spark.createDataFrame([("<b>Hi</b> a&b JAVASCRIPT:x \x00",), ("x" * 2000,)], "t string")
     got = [r[0] for r in df.select(cl.sanitize_string(F.col("t"))).collect()]
     assert got[0] == "Hi a&amp;b JAVASCRIPT_x" and len(got[1]) == 2000
+
+
+def test_readable_names_are_of_names_and_unique(spark, tmp_path):
+    from wellspark.plans.cleaning import cln_07
+
+    spark.createDataFrame([(i, f"https://a.org/{'x' * 300}/{i}", "") for i in range(3)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i, "word " * 100 + str(i), "en", "web", 500) for i in range(3)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    names = [r.name for r in cln_07(spark, str(tmp_path)).collect()]
+    assert len(set(names)) == len(names) == 6 and not any("word_word" in n for n in names)

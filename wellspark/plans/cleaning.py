@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wellspark.functions import characters as ch
-from wellspark.operators import cleaning as cl
+from wellspark.operators import cleaning as cl, sinks
 from wellspark.plans.registry import query, view
 from wellspark.plans.views import table
 
@@ -91,7 +91,11 @@ def cln_06(spark, sf):
 
 @query("cln_07_readable_names")
 def cln_07(spark, sf):
-    return marked(spark, sf).select("doc_id", cl.readable_name(F.col("text")).alias("name"))
+    # Names only: the address of each page, and a file name built from each document's fields.
+    urls = pages(spark, sf).select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("url").alias("given"))
+    built = table(spark, sf, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.concat_ws(" ", "source", "lang", "doc_id", F.lit("5±2 µM 37°C.csv")).alias("given"))
+    named = urls.unionByName(built).withColumn("name", cl.readable_name(F.col("given")))
+    return sinks.unique_names(named, "kind", "name", "id").select("kind", "id", "given", F.col("unique_name").alias("name"))
 
 
 @query("cln_07b_readable_paths")
