@@ -13,6 +13,7 @@ from wellspark.llm.packing import packed_documents
 from wellspark.llm.pii import personal_data
 from wellspark.llm.quality import score_documents
 from wellspark.llm.secrets import secrets
+from wellspark.llm.sharding import assign
 from wellspark.llm.simhash import simhash_groups
 from wellspark.llm.substring import without_repeats
 from wellspark.llm.topk import top_k
@@ -175,3 +176,30 @@ SELECT w.doc_id, CAST(len(a) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_
 def op8(spark, sf_dir):
     """Every document without passages that stand earlier."""
     return without_repeats(table(spark, sf_dir, "documents"))
+
+
+#: CRC-32 of bytes in a list: the table from its rule, then one step a byte.
+_CRC_TABLE = "SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY i) AS steps FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i)"
+_CRC = "xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {bytes}), lambda c, b: xor(c >> 8, {table}[xor(c & 255, b) + 1])), 4294967295)"
+_BYTES = "list_transform(regexp_extract_all(hex({text}), '..'), lambda x: CAST(16 * (strpos('0123456789ABCDEF', x[1]) - 1) + strpos('0123456789ABCDEF', x[2]) - 1 AS BIGINT))"
+OP12_SQL = rf"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}),
+d AS (SELECT row_number() OVER () AS uid, doc_id, encode(coalesce(text, '')) AS body FROM documents),
+b AS (SELECT uid, doc_id, CAST(octet_length(body) + 1 AS BIGINT) AS size, CAST({_CRC.format(bytes=_BYTES.format(text="body"), table="steps")} AS BIGINT) AS crc,
+             md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS m FROM d, crc),
+j AS (SELECT uid, CAST(('0x' || m[1:16]) AS UBIGINT)::HUGEINT AS k, 0::BIGINT AS place, 0::BIGINT AS next FROM b
+      UNION ALL
+      SELECT uid, k2, next, CAST(floor((next + 1)::DOUBLE * (2147483648::DOUBLE / ((k2 // 8589934592) + 1)::DOUBLE)) AS BIGINT)
+      FROM (SELECT *, (k * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT AS k2 FROM j WHERE next < 16)),
+p AS (SELECT uid, place, next FROM j WHERE next >= 16)
+SELECT doc_id, size, crc AS text_crc32, 'key' AS law, CAST(place AS INTEGER) AS shard,
+       row_number() OVER (PARTITION BY place ORDER BY md5(concat_ws(':', CAST(doc_id AS VARCHAR), CAST(crc AS VARCHAR))), doc_id NULLS FIRST, size, crc) - 1 AS slot,
+       CAST(CASE WHEN next = 16 THEN 16 ELSE place END AS INTEGER) AS grown_shard
+FROM b JOIN p USING (uid)
+"""
+
+
+@query("op12_shards", OP12_SQL)
+def op12(spark, sf_dir):
+    """Shard and slot of every document."""
+    return assign(table(spark, sf_dir, "documents"))
