@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wellspark.llm.embeddings import near_vectors
 from wellspark.llm.language import identify
+from wellspark.llm.lexical import ranked
 from wellspark.llm.mixing import mix
 from wellspark.llm.packing import packed_documents
 from wellspark.llm.pii import personal_data
@@ -203,3 +204,25 @@ FROM b JOIN p USING (uid)
 def op12(spark, sf_dir):
     """Shard and slot of every document."""
     return assign(table(spark, sf_dir, "documents"))
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP11_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, {_TERMS} AS a FROM documents),
+n AS (SELECT uid, doc_id, CAST(len(a) AS BIGINT) AS n FROM d WHERE len(a) > 0),
+s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM n),
+m AS (SELECT uid, doc_id, 50 + (50 * n * docs) // words AS m FROM n, s),
+p AS (SELECT uid, term, count(*) AS tf FROM (SELECT uid, unnest(a) AS term FROM d) GROUP BY uid, term),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+w AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), s),
+r AS (SELECT item_id, m.uid, m.doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+      FROM q JOIN w USING (term) JOIN p USING (term) JOIN m ON m.uid = p.uid GROUP BY item_id, m.uid, m.doc_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM r WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 50
+"""
+
+
+@query("op11_ranked_search", OP11_SQL)
+def op11(spark, sf_dir):
+    """The fifty best documents for every benchmark item."""
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
