@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wellspark.llm.conversations import audit
 from wellspark.llm.embeddings import near_vectors
 from wellspark.llm.language import identify
 from wellspark.llm.lexical import ranked
@@ -226,3 +227,52 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <
 def op11(spark, sf_dir):
     """The fifty best documents for every benchmark item."""
     return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _op13_sql() -> str:
+    """Shortest paths from the last turn to the first; each state holds its least (cost, audit, turns)."""
+    added = {1: (3, "user"), 2: (3, "user"), 3: (4, "assistant"), 4: (3, "user")}
+    kept = {1: "CASE initial WHEN 's' THEN v[2] WHEN 'u' THEN v[3] END", 2: "CASE initial WHEN 'u' THEN v[3] END", 3: "CASE initial WHEN 'a' THEN v[4] END", 4: "CASE initial WHEN 'u' THEN v[3] END"}
+    made = "{{'c': {c}, 'a': {a}, 't': {t}}}".format
+    nothing = made(c="1000000000::BIGINT", a="''", t="[]::VARCHAR[]")
+
+    def direct(s: int) -> str:
+        to, role = added[s]
+        stays = "CASE WHEN fault = 3 THEN 5 ELSE 0 END"
+        delete = made(c=f"v[{s}].c + 2", a=f"'D' || v[{s}].a", t=f"v[{s}].t")
+        rerole = made(c=f"v[{to}].c + 1 + {stays}", a=f"'R' || v[{to}].a", t=f"list_concat(['{role}:' || text], v[{to}].t)")
+        keep = made(c=f"({kept[s]}).c + {stays}", a=f"'K' || ({kept[s]}).a", t=f"list_concat([role || ':' || text], ({kept[s]}).t)")
+        return f"list_sort([{delete}, CASE WHEN fault IN (1, 2) THEN {nothing} ELSE {rerole} END, CASE WHEN fault IN (1, 2) OR ({kept[s]}) IS NULL THEN {nothing} ELSE {keep} END])[1]"
+
+    def inserted(s: int, before: str) -> str:
+        to, role = added[s]
+        return f"list_sort([d[{s}], " + made(c=f"{before}[{to}].c + 5", a=f"'I' || {before}[{to}].a", t=f"list_concat(['{role}:'], {before}[{to}].t)") + "])[1]"
+
+    lists = {"d": ", ".join(direct(s) for s in range(1, 5)), "x": ", ".join(inserted(s, "d") for s in range(1, 5)), "y": ", ".join(inserted(s, "x") for s in range(1, 5))}
+    end = ", ".join(made(c=f"{c}::BIGINT", a=f"'{a}'", t=f"{t}::VARCHAR[]") for c, a, t in ((0, "", "[]"), (10, "II", "['user:', 'assistant:']"), (5, "I", "['assistant:']"), (0, "", "[]")))
+    key = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+    crc = _CRC.format(bytes=_BYTES.format(text=f"encode({key})"), table="steps")
+    space = r"[\x20\x09-\x0D]"
+    return rf"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}),
+w AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc} % 20 AS what FROM conversations, crc),
+g AS (SELECT coalesce('=' || CAST(conv_id AS VARCHAR), '') AS k, turn, CASE WHEN what = 4 THEN 'user' ELSE role END AS role,
+             CASE what WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM w, (SELECT unnest([1, 2]) AS copy) WHERE what <> 0 AND (copy = 1 OR what = 3)),
+o AS (SELECT *, substr(role, 1, 1) AS initial, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, text) AS i,
+             right(regexp_replace(text, '{space}+$', ''), 1) AS last FROM g),
+f AS (SELECT *, CASE WHEN last = '' THEN 1 WHEN row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 THEN 2 WHEN last NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault, lead(initial) OVER (PARTITION BY k ORDER BY i) AS later FROM o),
+s AS (SELECT k, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+             count(*) FILTER (later IS NOT NULL AND initial || later NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY k),
+p AS (SELECT k, n + 1 AS i, [{end}] AS v FROM s
+      UNION ALL
+      SELECT k, i, [{lists["y"]}] FROM (SELECT *, [{lists["x"]}] AS x FROM (SELECT p.k, f.i, [{lists["d"]}] AS d FROM p JOIN f ON f.k = p.k AND f.i = p.i - 1)))
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(v[1].c, 0) AS cost, coalesce(v[1].a, '') AS audit, sha256(coalesce(array_to_string(v[1].t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s ON s.k = coalesce('=' || CAST(conv_id AS VARCHAR), '') LEFT JOIN p ON p.k = s.k AND p.i = 1
+"""
+
+
+@query("op13_conversation_repair", _op13_sql())
+def op13(spark, sf_dir):
+    """Faults and cheapest repair of every damaged conversation."""
+    return audit(table(spark, sf_dir, "conversations"))
