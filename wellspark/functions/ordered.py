@@ -136,3 +136,39 @@ def sessionize(df: DataFrame, keys: Sequence[str], at: str, tie: str, gap_second
     marked = _attach(data, carried, keys).withColumn("__start", F.when(previous.isNull() | (silent >= gap_seconds * 1_000_000), F.col(at)))
     filled = fill_forward(marked.drop(_CHUNK, _CARRY), keys, [at, tie], time_chunk(at, chunk_seconds), {"created_at": F.col("__start")})
     return filled.groupBy(*keys, "created_at").agg(F.max(at).alias("last_activity"), F.count(F.lit(1)).alias("n_events"))
+
+
+def _xor(a: Column, b: Column) -> Column:
+    return (a + b) % F.lit(2)
+
+
+def scan_two_states(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, from0: Column, from1: Column, out: str) -> DataFrame:
+    """``out_before`` and ``out_after``: the state, 0 or 1, before and after each row, and ``out_end`` after the key's last row.
+
+    ``from0`` and ``from1`` tell where a row leads from either state; every key
+    starts in 0.  A row keeps the state, swaps it, or sets it whatever it was.  So
+    each chunk is read for both starts at once: the state is the last value that
+    was set, turned by the swaps since then, and only without one does the
+    chunk's own start count.  Chunks are composed in the same way.
+    """
+    after, before = f"{out}_after", f"{out}_before"
+    data = df.withColumn(_CHUNK, chunk).withColumn("__0", from0.cast("int")).withColumn("__1", from1.cast("int"))
+    swaps, sets = (F.col("__0") > F.col("__1")).cast("int"), F.col("__0") == F.col("__1")
+    inside = W.partitionBy(*keys, _CHUNK).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    data = data.withColumn("__s", F.sum(swaps).over(inside))
+    data = data.withColumn("__k", F.last(F.when(sets, F.struct(F.col("__0").alias("v"), F.col("__s").alias("s"))), ignorenulls=True).over(inside))
+    at = F.struct(*[F.col(o) for o in order])
+    ends = data.groupBy(*keys, _CHUNK).agg(F.max_by(F.struct("__s", "__k"), at).alias("e"))
+    turned = F.when(F.col("e.__k").isNotNull(), _xor(F.col("e.__k.v"), F.col("e.__s") - F.col("e.__k.s")))
+    ends = ends.select(*keys, _CHUNK, turned.alias("__v"), F.when(turned.isNull(), F.col("e.__s") % 2).otherwise(0).alias("__w"))
+    upto = W.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(W.unboundedPreceding, 0)
+    ends = ends.withColumn("__s", F.sum("__w").over(upto))
+    ends = ends.withColumn("__k", F.last(F.when(F.col("__v").isNotNull(), F.struct(F.col("__v").alias("v"), F.col("__s").alias("s"))), ignorenulls=True).over(upto))
+    ends = ends.withColumn("__a", F.when(F.col("__k").isNotNull(), _xor(F.col("__k.v"), F.col("__s") - F.col("__k.s"))).otherwise(F.col("__s") % 2))
+    whole = W.partitionBy(*keys).orderBy(_CHUNK)
+    last = F.last("__a").over(whole.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    carried = ends.select(*keys, _CHUNK, F.coalesce(F.lag("__a").over(whole), F.lit(0)).alias(_CARRY), last.cast("int").alias(f"{out}_end"))
+    state = F.when(F.col("__k").isNotNull(), _xor(F.col("__k.v"), F.col("__s") - F.col("__k.s"))).otherwise(_xor(F.col(_CARRY), F.col("__s")))
+    joined = _attach(data, carried, keys).withColumn(after, state.cast("int"))
+    previous = F.lag(after).over(W.partitionBy(*keys, _CHUNK).orderBy(*order))
+    return joined.withColumn(before, F.coalesce(previous, F.col(_CARRY)).cast("int")).drop(_CHUNK, _CARRY, "__0", "__1", "__s", "__k")

@@ -278,3 +278,57 @@ def fill_gaps(df: DataFrame, key: str, order: str, value: str, chunk: Column | N
     return both.withColumn("neighbour_mean", F.coalesce(v, mean)).drop("__next")
 
 
+
+
+def named_by_first_row(rows: DataFrame) -> DataFrame:
+    """``(file, row, col, name, cell)`` with each file's first row as names, for the profile of the file."""
+    first = rows.filter(F.col("row") == 0).select("file", F.col("cells").alias("names"))
+    return named(rows.filter(F.col("row") > 0).join(first, "file"))
+
+
+def read_routed(rows: DataFrame, standard: DataFrame, annotation: DataFrame, imputed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both ways of reading, each file by exactly one: ``(long rows, quarantined rows, one ledger row per file)``.
+
+    ``rows`` holds every line once as an array of cells (settled: nothing here
+    goes back to the text), ``standard`` (``file, is_standard``) has a row for each
+    file.  A standard file is read by its first row; the others by their
+    ``annotation``; a file that has none goes to quarantine whole.  A row's time
+    comes from its time column, else from ``imputed`` at its line; without either
+    it stays with ``timestamp_source`` ``none``, and with an unreadable time it is
+    quarantined.  One table of facts decides, so that a file cannot be read twice or never.
+    """
+    own = standard.filter("is_standard").select("file", F.lit("fast").alias("method"), F.lit(0).cast("long").alias("header_row"), F.lit(1).cast("long").alias("data_start"))
+    told = standard.filter("not is_standard").join(annotation, "file", "left").select(
+        "file", F.when(F.col("data_start").isNull(), "quarantine").otherwise("annotated").alias("method"), F.col("header_row").cast("long").alias("header_row"), F.col("data_start").cast("long").alias("data_start")
+    )
+    plan = settle(own.unionByName(told), "log-routes")
+    heads = plan.join(header_names(rows, plan.filter("header_row is not null")), "file", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+    read = rows.join(heads.filter("method <> 'quarantine'"), "file").filter(F.col("row") >= F.col("data_start"))
+    times = time_column_of_rows(read.select("file", "row", "cells", "names"), heads.filter("method <> 'quarantine'"))
+    facts = settle(heads.join(times.select("file", "ts_col"), "file", "left"), "log-facts")
+
+    data = rows.join(facts, "file").filter((F.col("method") == "quarantine") | (F.col("row") >= F.col("data_start")))
+    marks = imputed.select("file", F.col("row_index").cast("int").alias("row"), parse_time("timestamp").alias("_imputed")).filter(F.col("_imputed").isNotNull())
+    stamp = F.get(F.col("cells"), F.col("ts_col"))
+    found = data.join(marks.groupBy("file", "row").agg(F.min("_imputed").alias("_imputed")), ["file", "row"], "left").withColumn("_read", parse_time(stamp))
+    why = F.when(F.col("method") == "quarantine", "no annotation for a file that is not standard").when(
+        F.col("ts_col").isNotNull() & F.col("_read").isNull() & F.col("_imputed").isNull(), F.concat(F.lit("unparseable timestamp: "), F.coalesce(stamp, F.lit("")))
+    )
+    marked = settle(found.select(
+        F.col("file").alias("source_file"), F.col("row").cast("long").alias("line_no"), "method", F.coalesce("_read", "_imputed").alias("timestamp"), "ts_col", "names", "cells",
+        F.when(F.col("_read").isNotNull(), "original").when(F.col("_imputed").isNotNull(), "imputed").otherwise("none").alias("timestamp_source"), why.alias("message"),
+    ), "routed-rows")
+    good, bad = marked.filter("message is null"), marked.filter("message is not null")
+    quarantine = bad.select(F.col("source_file").alias("source"), F.col("line_no").cast("string").alias("key"), F.lit("data_processing").alias("category"), F.lit("medium").alias("severity"), "message", F.lit(True).alias("recoverable"))
+    counts = marked.groupBy("source_file").agg(F.count_if(F.col("message").isNull()).alias("n_rows"), F.count_if(F.col("message").isNotNull()).alias("n_quarantined"))
+    ledger = plan.select("file", "method").join(counts.withColumnRenamed("source_file", "file"), "file", "left").select("file", "method", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("n_quarantined", F.lit(0)).alias("n_quarantined"))
+    return _long_of(good), quarantine, ledger.withColumn("ok", F.col("n_rows") > 0)
+
+
+def _long_of(rows: DataFrame) -> DataFrame:
+    """Long rows of ``read_routed``: every cell but the time, named; cells beyond the header are ``col_i``."""
+    pairs = F.filter(
+        F.transform("cells", lambda c, i: F.struct(i.alias("i"), F.coalesce(F.get(F.col("names"), i), F.concat(F.lit("col_"), i.cast("string"))).alias("column"), null_token(c).alias("value"))),
+        lambda p: ~p["i"].eqNullSafe(F.col("ts_col")),
+    )
+    return rows.select("source_file", "line_no", "timestamp", "timestamp_source", F.inline(pairs)).drop("i")

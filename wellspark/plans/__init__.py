@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["structure", "plates", "reports", "listings", "logs", "profiles", "cleaning", "quality", "sources", "streams", "hooks"]
+FAMILIES = ["structure", "plates", "reports", "listings", "logs", "profiles", "cleaning", "quality", "sources", "streams", "hooks", "rawfiles"]
 
 
 def load_all() -> None:

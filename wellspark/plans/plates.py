@@ -41,8 +41,8 @@ def plt_02(spark, sf):
     return pl.correct_end_row(plate_cells(spark, sf), annotation(spark, sf))
 
 
-def cut_wells(spark, sf):
-    lines = _clean(spark, sf)
+def cut_wells(spark, sf, lines=None):
+    lines = _clean(spark, sf) if lines is None else st.fix_decimal_commas(st.strip_bom(lines))
     facts = settle(st.detect_delimiter(lines).join(annotation(spark, sf), "file"), "plate-facts")
     return pl.grid_to_wells(pl.cut_lines(lines, facts), "raw data")
 
