@@ -113,7 +113,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum(F.size("terms")) / (POSTINGS * (most // DOCS))))
     parts = held.groupBy("m").agg(wanted.cast("int").alias("parts"))
     dealt = held.join(parts, "m").withColumn("part", F.pmod(F.xxhash64("place"), F.col("parts")).cast("int")).select("m", "part", "id", "terms", "tfs")
-    return settle(dealt.groupBy("m", "part").applyInArrow(_block, BLOCK_SCHEMA), "blocks"), n
+    # Dealt by both columns: a large stratum must not stay where the join by m has put it.
+    return settle(dealt.repartition("m", "part").groupBy("m", "part").applyInArrow(_block, BLOCK_SCHEMA), "blocks"), n
 
 
 def gain(tf: np.ndarray, m: int) -> np.ndarray:
