@@ -117,14 +117,6 @@ def test_components_of_paths_stars_and_rings(spark):
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_keep_one_keeps_the_first_of_each_group(odd, empty):
-    kept = simhash.keep_one(odd)
-    assert kept.columns == odd.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert ids.count(5) == 0 and ids.count(4) == 1 and ids.count(None) == 2 and 11 not in ids and -3 in ids
-    assert simhash.keep_one(empty).count() == 0
-
-
 def test_marks_of_many_edges_do_not_overflow(spark):
     from wellspark.llm.components import _mark
 
@@ -175,7 +167,25 @@ def test_near_copies_equal_all_pairs(spark, odd, given, empty):
     assert jaccard.near_copies(empty).count() == 0 and jaccard.keep_first(empty).count() == 0
     kept = jaccard.keep_first(odd)
     ids = [r.doc_id for r in kept.collect()]
-    assert kept.columns == odd.columns and ids.count(5) == 0 and ids.count(4) == 1 and ids.count(None) == 2
+    assert kept.columns == odd.columns and ids.count(5) == 0 and ids.count(4) == 1 and ids.count(None) == 0
+
+
+def test_another_text_of_a_repeated_id_stays(spark):
+    from wellspark.llm import jaccard
+
+    a, b, c = (" ".join(words(i, 40, 5000)) for i in (1, 2, 3))
+    rows = [(3, a, "en", "a"), (5, a, "en", "a"), (5, b, "en", "a"), (7, b + " more", "en", "x"), (8, c, "en", "a"), (8, c, "fr", "b"), (8, c, "en", "a"), (None, c, "en", "a"), (None, "odd one", "en", "a"), (None, "odd one", "en", "a")]
+    kept = sorted(((r.doc_id, r.text) for r in jaccard.keep_first(documents(spark, rows)).collect()), key=str)
+    assert kept == sorted([(3, a), (5, b), (8, c), (None, "odd one")], key=str)
+    both = [sorted((str(r.doc_id), r.lang) for r in jaccard.keep_first(documents(spark, x)).collect()) for x in (rows, rows[::-1])]
+    assert both[0] == both[1]
+
+
+def test_packed_hashes_come_back():
+    from wellspark.llm import jaccard
+
+    found = jaccard.shingles(" ".join(words(1, 500)).encode(), 5)
+    assert (jaccard.unpack(jaccard.pack(found)) == np.unique(found & jaccard.MASK)).all() and len(jaccard.unpack(b"")) == 0
 
 
 def test_stage_removes_near_copies_from_similarity_80_up(spark):
@@ -199,6 +209,7 @@ def test_large_groups_of_near_copies_and_of_texts_that_only_share_a_part(spark,
     from wellspark.llm import jaccard
 
     monkeypatch.setattr(jaccard, "CELL", 8)
+    monkeypatch.setattr(jaccard, "FEW", 10)
     r = random.Random(8)
     base, part = words(7, 300, 5000), words(8, 150, 5000)
     rows = [(i, " ".join(changed(base, r.randrange(1, 7), r)), "en", "a") for i in range(60)]

@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from wellspark.session import settle
 
-ROUNDS = 60
-
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The edges of one partition as stars around each local component's smallest node."""
@@ -63,14 +61,10 @@ def connected(edges: DataFrame) -> DataFrame:
     a, b = edges.columns[:2]
     pairs = edges.select(F.greatest(a, b).cast("long").alias("a"), F.least(a, b).cast("long").alias("b")).filter((F.col(a) != F.col(b)))
     # The exchange first: edges often come out of Python, and one task should not run two workers.
-    stars = settle(pairs.repartition("a").mapInArrow(_contract, "a long, b long").distinct(), "stars")
+    # By both ends: the edges of one centre are contracted in many tasks.
+    stars = settle(pairs.repartition("a", "b").mapInArrow(_contract, "a long, b long").distinct(), "stars")
     seen = None
-    for _ in range(ROUNDS):
-        mark = _mark(stars)
-        if mark == seen or not mark[0]:
-            break
+    while (mark := _mark(stars)) != seen and mark[0]:
         seen = mark
         stars = settle(_small_star(_large_star(stars)), "stars")
-    else:
-        raise RuntimeError(f"components have not settled in {ROUNDS} rounds")
     return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(stars.select("b", "b").distinct())
