@@ -7,7 +7,7 @@ from wellspark.functions import hooks
 from wellspark.operators import errors as er, listings as ls, logs as lg, plates as pl, protocols as pr, quality as dq, sinks
 from wellspark.session import work_folder
 from wellspark.sources import annotations as an
-from wellspark.streaming import events as ev
+from wellspark.streaming import events as ev, locks as lk
 
 
 def test_outer_join_keeps_all_keys_and_left_columns_win(spark):
@@ -172,7 +172,7 @@ def as_logins(spark, rows):
 def test_gated_lock_batch(spark):
     rows = attempts()
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
-    got = {r.event_id: (r.ignored, r.failed_attempts) for r in ev.gated_locks_batch(as_logins(spark, rows)).collect()}
+    got = {r.event_id: (r.ignored, r.failed_attempts) for r in lk.gated_locks_batch(as_logins(spark, rows)).collect()}
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     assert got == brute_force_lock(rows)
     assert any(ignored for ignored, _ in got.values())
@@ -188,10 +188,48 @@ def test_gated_lock_stream_keeps_state_between_batches(spark, tmp_path):
         time.sleep(1.1)
     schema = spark.read.parquet(folder).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    got = {r.event_id: (r.ignored, r.failed_attempts) for r in ev.run_available(ev.gated_locks(stream), "t").collect()}
+    got = {r.event_id: (r.ignored, r.failed_attempts) for r in lk.gated_locks(stream).collect()}
     assert got == brute_force_lock(rows)
 
 
+def test_gated_lock_of_a_hot_user_is_cut_into_units(spark):
+    rows = [(1 if i % 2 else 100 + i % 7, i, (i // 40) * 5000 + (i % 40) * (20 if i % 3 else 70), i % 11 == 0) for i in range(3000)]
+    got = {r.event_id: (r.ignored, r.failed_attempts) for r in lk.gated_locks_batch(as_logins(spark, rows), unit_seconds=3600).collect()}
+    assert got == brute_force_lock(rows)
+    units = lk._in_units(as_logins(spark, rows), 3600).groupBy("user_id", "unit").count().collect()
+    assert sum(r.user_id == 1 for r in units) > 50 and max(r["count"] for r in units) < 100
+
+
+def test_all_start_states_of_a_unit(spark):
+    import random
+
+    for seed in range(30):
+        rng, at, paths, walks = random.Random(seed), 10**9, lk.Paths(), {f: (f, 0) for f in (0, 1, 2, 3, 4, 5, 9)}
+        for _ in range(rng.randrange(1, 60)):
+            at += rng.choice([1, 60, 300, 899]) * 10**6
+            good = rng.random() < 0.1
+            paths.add(at, good)
+            walks = {f: lk.step(*s, at, good)[:2] for f, s in walks.items()}
+        failed, counted, until = paths.ends()
+        for f, end in walks.items():
+            i = min(f, 5)
+            assert end == (failed[i] + (f if counted[i] else 0), until[i])
+
+
+def test_late_attempts_go_aside_and_a_repeated_batch_changes_nothing(spark, tmp_path):
+    rows = attempts(seed=9)
+    first, second = rows[:200], rows[200:]
+    late = [(1, 9000, 3, False), (2, 9001, 4, True)]
+    sink = lk.lock_batches(str(tmp_path), 3600)
+    for part, batch in ((first, 0), (second + late, 1), (second + late, 1), ([(5, 9002, rows[-1][2] + 90 * 86400, True)], 2)):
+        sink(as_logins(spark, part), batch)
+    read = lambda what: spark.read.parquet(f"{tmp_path}/{what}").collect()
+    got = {r.event_id: (r.ignored, r.failed_attempts) for r in read("data") if r.event_id != 9002}
+    assert got == brute_force_lock(rows) and {r.event_id for r in read("late")} == {9000, 9001}
+    want = {u: f for u, f in ((u, [f for e, (_, f) in sorted(got.items()) if rows[e][0] == u][-1]) for u in (1, 2)) if f}
+    assert {r.user_id: r.failed for r in spark.read.parquet(f"{tmp_path}/state/batch_id=2").collect() if r.user_id != 5} == want
+
+
 def test_late_events_are_dropped(spark, tmp_path):
     folder = str(tmp_path / "in")
     import time

@@ -172,3 +172,12 @@ def scan_two_states(df: DataFrame, keys: Sequence[str], order: Sequence[str], ch
     joined = _attach(data, carried, keys).withColumn(after, state.cast("int"))
     previous = F.lag(after).over(W.partitionBy(*keys, _CHUNK).orderBy(*order))
     return joined.withColumn(before, F.coalesce(previous, F.col(_CARRY)).cast("int")).drop(_CHUNK, _CARRY, "__0", "__1", "__s", "__k")
+
+
+def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, value: str, out: str) -> DataFrame:
+    """The value of the row before, also where that row lies in an earlier chunk; NULL for a key's first row."""
+    data = df.withColumn(_CHUNK, chunk)
+    ends = data.groupBy(*keys, _CHUNK).agg(F.max_by(value, F.struct(*[F.col(o) for o in order])).alias("__last"))
+    carried = ends.select(*keys, _CHUNK, F.lag("__last").over(W.partitionBy(*keys).orderBy(_CHUNK)).alias(_CARRY))
+    inside = F.lag(value).over(W.partitionBy(*keys, _CHUNK).orderBy(*order))
+    return _attach(data, carried, keys).withColumn(out, F.coalesce(inside, F.col(_CARRY))).drop(_CHUNK, _CARRY)

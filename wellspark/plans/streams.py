@@ -8,7 +8,7 @@ from wellspark.plans.registry import query, view
 from wellspark.plans.reports import logins
 from wellspark.plans.views import table, users
 from wellspark.session import work_folder
-from wellspark.streaming import events as ev, logfiles as lf
+from wellspark.streaming import events as ev, locks as lk, logfiles as lf
 
 
 
@@ -51,13 +51,13 @@ SELECT user_id, event_id, ts, success, ignored, failed::BIGINT AS failed_attempt
 def str_03(spark, sf):
     e = ev.read_events(spark, sf).filter(F.col("event_type").isin("error", "signup"))
     attempts = e.select("user_id", "event_id", F.col("at").alias("ts"), (F.col("event_type") == "signup").alias("success"))
-    return ev.run_available(ev.gated_locks(attempts), "gated-locks")
+    return lk.gated_locks(attempts)
 
 
 @query("str_03b_gated_lock_batch", GATED)
 def str_03b(spark, sf):
     attempts = logins(spark, sf).select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "success")
-    return ev.gated_locks_batch(attempts)
+    return lk.gated_locks_batch(attempts)
 
 
 @query("str_04_sessions", f"""

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from wellspark.operators.reports import LOCK_AFTER, LOCK_MINUTES
 from wellspark.session import work_folder
 
 # Request and token budget of one minute.
@@ -90,69 +86,3 @@ def sliding_activity(events: DataFrame, span: str = "7 days", step: str = "1 day
     counted = events.withWatermark("at", delay).groupBy(F.window("at", span, step).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     return counted.select(F.col("w.start").alias("window_start"), "event_type", "n")
 
-
-# --- gated account lock ---------------------------------------------------------
-
-LOCK_SCHEMA = "user_id bigint, event_id bigint, ts timestamp, success boolean, ignored boolean, failed_attempts int, locked_until timestamp"
-LOCK_STATE = "failed int, until bigint"
-_LOCK_NS = LOCK_MINUTES * 60 * 10**9
-
-
-def _step(failed: int, until: int, at: int, success: bool) -> tuple[int, int, bool]:
-    """(failures, locked until, ignored) after one attempt; times in nanoseconds, 0 for no lock."""
-    if at < until:
-        return failed, until, True
-    if success:
-        return 0, 0, False
-    failed += 1
-    return failed, (at + _LOCK_NS if failed >= LOCK_AFTER else 0), False
-
-
-def _walk(rows: pd.DataFrame, failed: int, until: int) -> tuple[pd.DataFrame, int, int]:
-    """Apply the attempts of one user, already in time order, to a starting state."""
-    ignored, counts, locks = [], [], []
-    for at, success in zip(rows["ts"].astype("datetime64[ns]").astype("int64").to_numpy(), rows["success"].to_numpy()):
-        failed, until, skip = _step(failed, until, int(at), bool(success))
-        ignored.append(skip)
-        counts.append(failed)
-        locks.append(pd.Timestamp(until) if until else pd.NaT)
-    out = rows.assign(ignored=ignored, failed_attempts=pd.array(counts, dtype="int32"), locked_until=pd.Series(locks, index=rows.index, dtype="datetime64[ns]"))
-    return out[["user_id", "event_id", "ts", "success", "ignored", "failed_attempts", "locked_until"]], failed, until
-
-
-def _lock_state(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    failed, until = state.get if state.exists else (0, 0)
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    out, failed, until = _walk(rows, failed, until)
-    state.update((failed, until))
-    yield out
-
-
-def gated_locks(logins: DataFrame) -> DataFrame:
-    """Lock state after every login attempt; attempts during a lock are ignored, even good ones.
-
-    One trigger's attempts of a user are put in time order together, so a trigger
-    should be kept small (``files_per_batch``).
-    """
-    return logins.groupBy("user_id").applyInPandasWithState(_lock_state, LOCK_SCHEMA, LOCK_STATE, "append", "NoTimeout")
-
-
-def gated_locks_batch(logins: DataFrame) -> DataFrame:
-    """The same over a finished table.
-
-    Rows are partitioned by user and sorted inside the partitions by Spark;
-    Python walks the Arrow batches with the state of the current user only, so
-    memory stays constant however many attempts one user has.
-    """
-    ordered = logins.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id")
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, failed, until = None, 0, 0
-        for pdf in batches:
-            for user, rows in pdf.groupby("user_id", sort=False):
-                if user != current:
-                    current, failed, until = user, 0, 0
-                out, failed, until = _walk(rows, failed, until)
-                yield out
-
-    return ordered.mapInPandas(walk, LOCK_SCHEMA)
