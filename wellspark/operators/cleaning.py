@@ -24,6 +24,15 @@ TOKEN_CHARS = 4
 FILES_PER_BATCH = 10
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows dealt evenly by a hash before costly text work, which else runs in as many tasks as the file has row groups.
+
+    The hash covers the text too, so that rows of one id do not stay together.
+    The same plan at every size: the shuffle costs a small part of what the work does.
+    """
+    return df.repartition(F.xxhash64(*columns))
+
+
 def _normal_form(form: str):
     @F.pandas_udf(T.StringType())
     def normal(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -39,11 +48,20 @@ def normalize(text: Column, form: str = "NFKC") -> Column:
 
 
 def clean_controls(text: Column) -> Column:
-    """Control characters become spaces; runs of spaces collapse; every tab-separated part is trimmed."""
-    spaced = F.regexp_replace(text, r"[\p{C}&&[^\t\n\r]]", " ")
-    single = F.regexp_replace(spaced, " +", " ")
-    parts = F.regexp_replace(single, r"[ \r\p{Z}]*([\t\n])[ \r\p{Z}]*", "$1")
-    return F.regexp_replace(parts, r"^[ \r\t\n\p{Z}]+|[ \r\t\n\p{Z}]+$", "")
+    """Control characters become spaces; runs of spaces collapse; every tab-separated part is trimmed.
+
+    ASCII texts, in which only a few codes count, take narrow classes; each
+    replacement matches only where there is something to change.
+    """
+
+    def cleaned(controls: str, space: str) -> Column:
+        spaced = F.regexp_replace(text, controls, " ")
+        single = F.regexp_replace(spaced, "  +", " ")
+        parts = F.regexp_replace(single, rf"[{space}]++([\t\n])[{space}]*+|([\t\n])[{space}]++", "$1$2")
+        return F.regexp_replace(parts, rf"^[{space}\t\n]++|[{space}\t\n]++$", "")
+
+    narrow = cleaned(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", r" \r")
+    return F.when(text.rlike(NON_ASCII), cleaned(r"[\p{C}&&[^\t\n\r]]", r" \r\p{Z}")).otherwise(narrow)
 
 
 def scientific_to_ascii(text: Column, keep_original: bool = False) -> Column:

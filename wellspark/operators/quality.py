@@ -4,48 +4,63 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from wellspark.functions.values import let
 from wellspark.operators.cleaning import SCRIPT_PATTERNS, sanitize_html
 
 # Patterns, limits and words of the rule sets.
-# Each SQL pattern comes with the literals without which it cannot match.
+# Each pattern comes with the literals, in small letters, without which it cannot match.
 SQL_PATTERNS = [
-    (r"'.*?;.*?--", ["'", ";", "--"]), (r'".*?;.*?--', ['"', ";", "--"]), (r"'.*?OR.*?=.*?'", ["'", "="]), (r'".*?OR.*?=.*?"', ['"', "="]),
-    (r"'.*?\sOR\s.*?=", ["'", "="]), (r'".*?\sOR\s.*?=', ['"', "="]), (r"\sOR\s+\d+=\d+", ["="]), (r"'.*?UNION.*?SELECT", ["'"]), (r'".*?UNION.*?SELECT', ['"']),
-    (r"'.*?DROP\s+TABLE", ["'"]), (r'".*?DROP\s+TABLE', ['"']), (r"'.*?INSERT\s+INTO", ["'"]), (r'".*?INSERT\s+INTO', ['"']), (r"'.*?DELETE\s+FROM", ["'"]),
-    (r'".*?DELETE\s+FROM', ['"']), (r"'.*?UPDATE.*?SET", ["'"]), (r'".*?UPDATE.*?SET', ['"']), (r"--\s*$", ["--"]), (r"/\*.*?\*/", ["/*", "*/"]), (r";\s*--", [";", "--"]),
+    (r"'.*?;.*?--", ["'", ";", "--"]), (r'".*?;.*?--', ['"', ";", "--"]), (r"'.*?OR.*?=.*?'", ["'", "=", "or"]), (r'".*?OR.*?=.*?"', ['"', "=", "or"]),
+    (r"'.*?\sOR\s.*?=", ["'", "=", "or"]), (r'".*?\sOR\s.*?=', ['"', "=", "or"]), (r"\sOR\s+\d+=\d+", ["=", "or"]), (r"'.*?UNION.*?SELECT", ["'", "union", "select"]), (r'".*?UNION.*?SELECT', ['"', "union", "select"]),
+    (r"'.*?DROP\s+TABLE", ["'", "drop", "table"]), (r'".*?DROP\s+TABLE', ['"', "drop", "table"]), (r"'.*?INSERT\s+INTO", ["'", "insert", "into"]), (r'".*?INSERT\s+INTO', ['"', "insert", "into"]),
+    (r"'.*?DELETE\s+FROM", ["'", "delete", "from"]), (r'".*?DELETE\s+FROM', ['"', "delete", "from"]), (r"'.*?UPDATE.*?SET", ["'", "update", "set"]), (r'".*?UPDATE.*?SET', ['"', "update", "set"]),
+    (r"--\s*$", ["--"]), (r"/\*.*?\*/", ["/*", "*/"]), (r";\s*--", [";", "--"]),
 ]
+SCRIPT_NEEDS = {
+    r"<script[^>]*>.*?</script>": ["<script", "</script>"], r"javascript:": ["javascript:"], r"on\w+\s*=": ["=", "on"], r"<iframe[^>]*>.*?</iframe>": ["<iframe", "</iframe>"],
+    r"<object[^>]*>.*?</object>": ["<object", "</object>"], r"<embed[^>]*>": ["<embed"], r"<link[^>]*>": ["<link"], r"<meta[^>]*>": ["<meta"], r"expression\s*\(": ["expression"],
+    r"url\s*\(": ["url"], r"@import": ["@import"],
+}
 EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 ORGANIZATION_CHARS = r"^[a-zA-Z0-9\s\.\-_&,()]+$"
 PERSON_CHARS = r"^[a-zA-Z\s\.\-\']+$"
 EXPERIMENT_CHARS = r"^[a-zA-Z0-9\s\.\-_#@!$%^&*()+=\[\]{}|;:,.<>?]+$"
 SEARCH_CHARS = r"^[a-zA-Z0-9\s\.\-_@]+$"
 FORBIDDEN_SCHEMES = ["javascript:", "data:", "vbscript:", "file:"]
-HOSTILE_CONTENT = [
-    r"<script", r"javascript:", r"vbscript:", r"onclick=", r"onerror=", r"onload=", r"eval\(", r"exec\(", r"__import__", r"subprocess", r"os\.system", r"shell_exec", r"passthru",
-]
+HOSTILE_CONTENT = ["<script", "javascript:", "vbscript:", "onclick=", "onerror=", "onload=", "eval(", "exec(", "__import__", "subprocess", "os.system", "shell_exec", "passthru"]
 URL_PARTS = r"^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 
 
+def _any_guarded(text: Column, patterns: list[tuple[str, list[str]]]) -> Column:
+    """Whether a pattern matches in any case; literal tests on the text in small letters, made once, run before each pattern."""
+
+    def test(low: Column) -> Column:
+        out = F.lit(False)
+        for pattern, needs in patterns:
+            guard = F.lit(True)
+            for piece in needs:
+                guard = guard & F.contains(low, F.lit(piece))
+            out = out | (guard & text.rlike("(?i)" + pattern))
+        return out
+
+    return let(F.lower(text), test)
+
+
 def has_script(text: Column) -> Column:
-    return text.rlike("(?i)" + "|".join(f"(?:{p})" for p in SCRIPT_PATTERNS))
+    return _any_guarded(text, [(p, SCRIPT_NEEDS[p]) for p in SCRIPT_PATTERNS])
 
 
 def has_sql(text: Column) -> Column:
-    """Any SQL-injection pattern; a cheap literal test runs before each expensive pattern."""
-    out = F.lit(False)
-    for pattern, needs in SQL_PATTERNS:
-        guard = F.lit(True)
-        for piece in needs:
-            guard = guard & F.contains(text, F.lit(piece))
-        out = out | (guard & text.rlike("(?i)" + pattern))
-    return out
+    """Any SQL-injection pattern."""
+    return _any_guarded(text, SQL_PATTERNS)
 
 
 def has_hostile_content(text: Column) -> Column:
-    return F.lower(text).rlike("|".join(HOSTILE_CONTENT))
+    return let(F.lower(text), lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in HOSTILE_CONTENT]))
 
 
 @dataclass(frozen=True)

@@ -51,7 +51,7 @@ SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
 FROM (SELECT doc_id, replace(text, 'e ', 'e' || chr(1) || chr(9) || ' ') || '  ' || chr(127) || ' end ' AS text FROM documents)""")
 def cln_02(spark, sf):
     dirty = F.concat(F.replace(F.col("text"), F.lit("e "), F.lit("e\x01\t ")), F.lit("  \x7f end "))
-    return docs(spark, sf).select("doc_id", cl.clean_controls(dirty).alias("text"))
+    return cl.spread(docs(spark, sf).select("doc_id", "text"), "doc_id", "text").select("doc_id", cl.clean_controls(dirty).alias("text"))
 
 
 @query("cln_03_scientific", f"SELECT doc_id, {_sql_replace('text', ch.SCIENTIFIC)} AS text FROM marked_docs")
@@ -71,7 +71,7 @@ def cln_04(spark, sf):
 
 @query("cln_05_full_cleaning")
 def cln_05(spark, sf):
-    done = cl.clean_table(marked(spark, sf), "text")
+    done = cl.clean_table(cl.spread(marked(spark, sf).select("doc_id", "text"), "doc_id", "text"), "text")
     return done.select(
         "doc_id", "processed_text", "has_changes", F.array_join("processing_steps", ",").alias("steps"), F.array_join("unicode_chars_found", "").alias("found"),
         "original_length", "processed_length", "ascii_compatible",
@@ -80,7 +80,8 @@ def cln_05(spark, sf):
 
 @query("cln_05b_lossless_order")
 def cln_05b(spark, sf):
-    return cl.clean_table(marked(spark, sf), "text", order="lossless").select("doc_id", "processed_text", "ascii_compatible")
+    spread = cl.spread(marked(spark, sf).select("doc_id", "text"), "doc_id", "text")
+    return cl.clean_table(spread, "text", order="lossless").select("doc_id", "processed_text", "ascii_compatible")
 
 
 @query("cln_06_plain_names", """

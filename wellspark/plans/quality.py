@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from wellspark.operators import errors as er, quality as dq, reports as rp
+from wellspark.operators.cleaning import spread
 from wellspark.plans.cleaning import ESCAPED, REMOVED
 from wellspark.plans.registry import query, view
 from wellspark.plans.views import table, users
@@ -142,7 +143,7 @@ def bodies(spark, sf):
 @query("dq_07_patterns", f"SELECT kind, id, regexp_matches(body, '{SCRIPT_SQL}') AS script, regexp_matches(body, '{SQL_SQL}') AS sql_pattern FROM bodies")
 def dq_07(spark, sf):
     b = F.col("body")
-    return bodies(spark, sf).select("kind", "id", dq.has_script(b).alias("script"), dq.has_sql(b).alias("sql_pattern"))
+    return spread(bodies(spark, sf), "id", "body").select("kind", "id", dq.has_script(b).alias("script"), dq.has_sql(b).alias("sql_pattern"))
 
 
 @query("dq_08_integer", """

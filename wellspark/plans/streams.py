@@ -11,12 +11,10 @@ from wellspark.session import work_folder
 from wellspark.streaming import events as ev, locks as lk, logfiles as lf
 
 
-
 def complete(spark, sf, build, name):
-    """A windowed stream run over all events, the last windows included."""
-    closing = work_folder(spark, f"{name}-end")
-    events = ev.read_events(spark, sf, closing=closing)
-    return ev.run_available(build(events), name, closing=(closing, table(spark, sf, "events")))
+    """A windowed stream run once over all events, the last windows included."""
+    mark = ev.end_mark(spark, work_folder(spark, f"{name}-end"))
+    return ev.run_available(build(ev.read_events(spark, sf), mark), name)
 
 
 @query("str_01_daily_counters", f"""
@@ -24,14 +22,14 @@ SELECT window_start, organization_id, metric_type, count(*) AS event_count, roun
 FROM (SELECT date_trunc('day', ts) AS window_start, c_nationkey::BIGINT AS organization_id, event_type AS metric_type, value FROM events JOIN customer ON c_custkey = user_id)
 GROUP BY window_start, organization_id, metric_type""")
 def str_01(spark, sf):
-    out = complete(spark, sf, lambda e: ev.daily_counters(e, users(spark, sf)), "daily-counters")
+    out = complete(spark, sf, lambda e, mark: ev.daily_counters(e, users(spark, sf), mark=mark), "daily-counters")
     return out.withColumn("total_value", F.round("total_value", 2))
 
 
 @query("str_02_minute_budget", f"""
 SELECT window_start, requests, tokens, requests > 50 OR tokens > 20000 AS over_budget FROM (SELECT date_trunc('minute', ts) AS window_start, count(*) AS requests, round(sum(value * 1000), 2) AS tokens FROM events GROUP BY 1)""")
 def str_02(spark, sf):
-    out = complete(spark, sf, lambda e: ev.budget(e, F.col("value") * 1000), "budget")
+    out = complete(spark, sf, lambda e, mark: ev.budget(e, F.col("value") * 1000, mark=mark), "budget")
     return out.withColumn("tokens", F.round("tokens", 2))
 
 
@@ -63,7 +61,7 @@ def str_03b(spark, sf):
 @query("str_04_sessions", f"""
 SELECT user_id, created_at AS session_start, last_activity + INTERVAL 30 MINUTE AS session_end, n_events FROM sessions""")
 def str_04(spark, sf):
-    return complete(spark, sf, ev.sessions, "sessions")
+    return complete(spark, sf, lambda e, mark: ev.sessions(e, mark=mark), "sessions")
 
 
 @query("str_04b_sessions_batch", "SELECT user_id, created_at, last_activity, n_events FROM sessions")
@@ -103,4 +101,4 @@ def str_05(spark, sf):
 SELECT window_start, event_type, count(*) AS n FROM (SELECT date_trunc('day', ts) - to_days(i::INTEGER) AS window_start, event_type FROM events CROSS JOIN (SELECT unnest(range(7)) AS i))
 GROUP BY ALL""")
 def str_06(spark, sf):
-    return complete(spark, sf, ev.sliding_activity, "sliding-week")
+    return complete(spark, sf, lambda e, mark: ev.sliding_activity(e, mark=mark), "sliding-week")
