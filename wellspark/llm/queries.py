@@ -79,17 +79,19 @@ def op10(spark, sf_dir):
 
 
 OP4_SQL = r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents),
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS h FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CAST([5, 2, 1][1 + CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER)] AS DOUBLE) AS weight FROM s),
 f AS (SELECT *, 2.0 * source_size AS cap, 2.0 * source_size / weight AS full_at FROM w),
 l AS (SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY full_at, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
              / sum(weight) OVER (ORDER BY full_at, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),
 t AS (SELECT source, source_size, least(cap, weight * (SELECT arg_min(level, full_at) FROM l WHERE level <= full_at)) AS target FROM l),
-c AS (SELECT d.*, t.source_size, t.target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
-       CAST(greatest(0, least(size, floor(target - before))) + greatest(0, least(size, floor(target - before - source_size))) AS BIGINT) AS taken FROM c
+c AS (SELECT d.*, t.source_size, CAST(t.target AS DOUBLE) AS target, sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS reached
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT uid, size, h, doc_id, source, e, CAST(reached + e * source_size AS DOUBLE) / target AS finish FROM c, (SELECT unnest([0, 1]) AS e) WHERE size > 0),
+o AS (SELECT uid, size, coalesce(sum(size) OVER (ORDER BY finish, coalesce('=' || source, ''), h, doc_id, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p),
+k AS (SELECT uid, sum(greatest(0, least(size, (SELECT CAST(floor(1.5 * sum(size)) AS BIGINT) FROM d) - before))) AS taken FROM o GROUP BY uid)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM c LEFT JOIN k USING (uid)
 """
 
 
