@@ -1,7 +1,9 @@
 """Search, mixing, language, quality, embeddings, the pipeline and the registered queries."""
 
+import functools
 import hashlib
 import math
+import types
 import zlib
 from collections import Counter, defaultdict
 
@@ -255,12 +257,62 @@ def test_near_vectors(spark, monkeypatch):
     assert embeddings.near_vectors(vectors(spark, [])).count() == 0
 
 
-def test_recall_on_the_given_vectors(spark):
-    df = spark.read.parquet(f"{BIG}/embeddings.parquet")
-    want = naive_near([tuple(r) for r in df.select("vec_id", "embedding", "label").collect()])
-    got = embeddings.near_vectors(df).collect()
-    assert sum(r.n_links for r in got) >= 0.99 * sum(n for n, _, _ in want.values())
-    assert all(r.n_links <= want[r.vec_id][0] for r in got)
+def drawn(kind, n, d=64, seed=5):
+    """Vectors around the given ones, normal ones, ones with a common mean, and ones of decaying spread."""
+    r = np.random.default_rng(seed)
+    x = r.standard_normal((n, d))
+    if kind == "given":
+        return np.array([x.embedding for x in r_table()], np.float64)[r.integers(len(r_table()), size=n)] + 0.01 * x
+    if kind == "decaying":
+        return x * (np.arange(1, d + 1) ** -0.5) + 0.3
+    return x + {"normal": 0.0, "mean 0.5": 0.5, "mean 1.0": 1.0}[kind]
+
+
+@functools.cache
+def r_table():
+    import pyarrow.parquet as pq
+
+    return [types.SimpleNamespace(**x) for x in pq.read_table(f"{BIG}/embeddings.parquet").to_pylist()]
+
+
+@pytest.mark.parametrize("kind", ["given", "normal", "mean 0.5", "mean 1.0", "decaying"])
+def test_tables_find_fresh_pairs(kind):
+    """Recall of the tables on pairs that they were not fitted on, at the least cosine and above."""
+    x = drawn(kind, 12_000)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tables = embeddings.Tables(x[:8000], 12_000, 0.93)
+    r = np.random.default_rng(9)
+    for least in (0.93, 0.95):
+        for off in (r.standard_normal((4000, 64)), x[8000:] - x[r.permutation(4000)]):
+            a = x[8000:]
+            off = off - (off * a).sum(axis=1, keepdims=True) * a
+            b = least * a + math.sqrt(1 - least**2) * off / np.linalg.norm(off, axis=1, keepdims=True)
+            differ = np.hstack([tables._flips(a, b, w) for w in range(len(tables.words))])
+            seen = np.logical_or.reduce([differ[:, tables.start(t) : tables.start(t) + tables.length].sum(axis=1) <= 1 for t in range(tables.count)]) & (differ.sum(axis=1) <= tables.radius)
+            assert seen.mean() >= 0.97, (kind, least, seen.mean())
+
+
+def test_substrings_follow_the_number_of_vectors():
+    x = drawn("normal", 3000)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    lengths = [embeddings.Tables(x, n, 0.93).length for n in (10**2, 10**4, 10**6, 10**8)]
+    assert lengths == sorted(lengths) and lengths[-1] >= lengths[0] + 8
+
+
+@pytest.mark.parametrize("kind", ["normal", "mean 1.0"])
+def test_recall_against_all_pairs(spark, kind):
+    x = drawn(kind, 300)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    r = np.random.default_rng(2)
+    off = r.standard_normal(x.shape)
+    off -= (off * x).sum(axis=1, keepdims=True) * x
+    c = r.uniform(0.931, 0.97, (300, 1))
+    y = c * x + np.sqrt(1 - c * c) * off / np.linalg.norm(off, axis=1, keepdims=True)
+    rows = [(i, [float(v) for v in e], int(i % 300 % 3)) for i, e in enumerate(np.vstack([x, y]))]
+    want = naive_near(rows)
+    got = {v.vec_id: v.n_links for v in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert sum(n for n, _, _ in want.values()) >= 600 and sum(got.values()) >= 0.97 * sum(n for n, _, _ in want.values())
+    assert all(got[i] <= n for i, (n, _, _) in want.items())
 
 
 def test_rotation_is_orthogonal_and_balanced():

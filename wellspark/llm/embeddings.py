@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,10 @@ from wellspark.session import settle
 BITS = 64
 #: Vectors the rotation is learned from, those with the smallest hashes of their ids; all vectors are indexed.
 FIT_ROWS = 8192
+#: Share of planted pairs at the least cosine that the tables may miss, and pairs planted of either kind.
+MISS, PLANTED = 0.01, 2000
+#: Substring lengths that are weighed, and what comparing a pair costs against sending a key.
+LENGTHS, COMPARE = range(6, 33), 0.05
 
 
 def learn_rotation(sample: np.ndarray, rounds: int = 50, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -44,54 +49,114 @@ def _usable(vector: Column) -> Column:
     return F.coalesce(~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _codes(mean: np.ndarray, axes: np.ndarray):
-    """64-bit codes; vectors of another dimension than the learned one get random hyperplanes."""
+def planted_pairs(sample: np.ndarray, least: float, seed: int = 3) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Unit vectors and partners at cosine ``least``: off in any direction, and off as sample vectors differ from each other."""
+    rng = np.random.default_rng(seed)
+    x = sample[rng.integers(len(sample), size=PLANTED)]
+    out = []
+    for off in (rng.standard_normal(x.shape), sample[rng.integers(len(sample), size=PLANTED)] - sample[rng.integers(len(sample), size=PLANTED)] + 1e-9 * rng.standard_normal(x.shape)):
+        off = off - (off * x).sum(axis=1, keepdims=True) * x
+        off /= np.maximum(np.linalg.norm(off, axis=1, keepdims=True), 1e-300)
+        out.append((x, least * x + math.sqrt(1 - least * least) * off))
+    return out
+
+
+class Tables:
+    """How many substrings of which length, taken from as many learned codes of 64 bits as that needs.
+
+    The bits in which planted pairs differ decide: for each length, the tables that
+    miss at most ``MISS`` of them; of the lengths the one whose keys and expected
+    comparisons among ``n`` vectors cost least, so that it follows log2 n.  Tables
+    are added until the planted pairs really are found.
+    """
+
+    def __init__(self, sample: np.ndarray, n: int, least: float):
+        self.sample, self.words = sample, [learn_rotation(sample)]
+        pairs = planted_pairs(sample, least) if len(sample) else []
+        flips = [self._flips(x, y, 0) for x, y in pairs]
+
+        def needed(length: int) -> int:
+            shares = [np.mean([(f[:, i : i + length].sum(axis=1) <= 1).mean() for i in range(0, BITS - length + 1, length)]) for f in flips]
+            return math.ceil(math.log(MISS) / math.log(1 - min(0.999, max(1e-3, min(shares))))) if shares else 1
+
+        self.length = min(LENGTHS, key=lambda s: needed(s) * s * (1 + COMPARE * n / 2 ** (s - 1)))
+        self.count = needed(self.length)
+        while True:
+            self._learn()
+            differ = [np.hstack([self._flips(x, y, w) for w in range(len(self.words))]) for x, y in pairs]
+            found = [np.logical_or.reduce([d[:, self.start(t) : self.start(t) + self.length].sum(axis=1) <= 1 for t in range(self.count)]).mean() for d in differ]
+            if min(found, default=1.0) >= 1 - MISS:
+                break
+            self.count += 1
+        self.radius = max((int(d.sum(axis=1).max()) for d in differ), default=BITS * len(self.words))
+
+    def _learn(self) -> None:
+        while len(self.words) * (BITS // self.length) < self.count:
+            self.words.append(learn_rotation(self.sample, seed=7 + len(self.words)))
+
+    def _flips(self, x: np.ndarray, y: np.ndarray, word: int) -> np.ndarray:
+        mean, axes = self.words[word]
+        return ((x - mean) @ axes >= 0) != ((y - mean) @ axes >= 0)
+
+    def start(self, table: int) -> int:
+        """First bit of a table's substring, counted over all words; no substring crosses a word."""
+        word, place = divmod(table, BITS // self.length)
+        return BITS * word + self.length * place
+
+    def masks(self) -> list[tuple[int, int]]:
+        """(word, mask) of each table."""
+        return [(self.start(t) // BITS, ((1 << self.length) - 1) << self.start(t) % BITS) for t in range(self.count)]
+
+
+def _codes(words: list[tuple[np.ndarray, np.ndarray]]):
+    """Codes of 64 bits a word; vectors of another dimension than the learned one get random hyperplanes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [np.asarray(v, np.float64) for v in batch.column("vector").to_pylist()]
-            code = np.zeros(len(rows), np.uint64)
+            code = np.zeros((len(rows), len(words)), np.uint64)
             for d in {len(v) for v in rows}:
                 at = [i for i, v in enumerate(rows) if len(v) == d]
                 x = np.vstack([rows[i] for i in at])
                 x = x / np.abs(x).max(axis=1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                centre, turn = (mean, axes) if d == len(mean) else (np.zeros(d), np.random.default_rng(d).standard_normal((d, BITS)))
-                code[at] = np.packbits((x - centre) @ turn >= 0, axis=1, bitorder="little").view(np.uint64)[:, 0]
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("label"), pa.array(code.view(np.int64)), pa.array([len(v) for v in rows], pa.int32())], ["uid", "label", "code", "dim"])
+                for w, (mean, axes) in enumerate(words):
+                    centre, turn = (mean, axes) if d == len(mean) else (np.zeros(d), np.random.default_rng([d, w]).standard_normal((d, BITS)))
+                    code[at, w] = np.packbits((x - centre) @ turn >= 0, axis=1, bitorder="little").view(np.uint64)[:, 0]
+            codes = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * len(words), pa.int32()), pa.array(code.reshape(-1).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("label"), codes, pa.array([len(v) for v in rows], pa.int32())], ["uid", "label", "code", "dim"])
 
     return work
 
 
-def table_masks(tables: int) -> list[int]:
-    edges = [round(BITS * i / tables) for i in range(tables + 1)]
-    return [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(edges, edges[1:])]
+def _near(code: np.ndarray, t: int, j: int, masks: list[tuple[int, int]], radius: int) -> np.ndarray:
+    """Pairs of a cell within ``radius`` that no earlier table or key shows."""
+    differ = [code[:, w][:, None] ^ code[:, w][None, :] for w in range(code.shape[1])]
+    near = sum(np.bitwise_count(d).astype(np.int32) for d in differ) <= radius
+    for word, mask in masks[:t]:
+        near &= np.bitwise_count(differ[word] & np.uint64(mask)) > 1
+    if j:  # equal substrings meet under every wildcard; the first one counts
+        near &= (differ[masks[t][0]] & np.uint64(masks[t][1])) != 0
+    np.fill_diagonal(near, False)
+    return near
 
 
-def _candidates(tables: int, radius: int):
+def _candidates(masks: list[tuple[int, int]], words: int, radius: int):
     """Members of a cell that have a partner within ``radius`` which no earlier table or key shows."""
-    masks = np.array(table_masks(tables), np.uint64)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("members")
             flat = column.flatten()
             uid, part = flat.field("uid").to_numpy(zero_copy_only=False), flat.field("part").to_numpy(zero_copy_only=False)
-            code = flat.field("code").to_numpy(zero_copy_only=False).view(np.uint64)
+            code = flat.field("code").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, words)
             ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
             t, j, lo_part, hi_part = (batch.column(c).to_numpy() for c in ("t", "j", "lo", "hi"))
             out: list[tuple[int, np.ndarray, np.ndarray]] = []
             for k, (lo, hi) in enumerate(zip(np.r_[0, ends[:-1]], ends)):
-                f = code[lo:hi]
-                x = f[:, None] ^ f[None, :]
-                near = np.bitwise_count(x) <= radius
-                for mask in masks[: t[k]]:
-                    near &= np.bitwise_count(x & mask) > 1
-                if j[k]:  # equal substrings meet under every wildcard; the first one counts
-                    near &= (x & masks[t[k]]) != 0
+                near = _near(code[lo:hi], t[k], j[k], masks, radius)
                 if lo_part[k] != hi_part[k]:
                     near &= part[lo:hi, None] != part[None, lo:hi]
-                np.fill_diagonal(near, False)
                 has = near.any(axis=1)
                 out.append((k, uid[lo:hi][has], part[lo:hi][has]))
             at = np.repeat([o[0] for o in out], [len(o[1]) for o in out]).astype(np.int64)
@@ -103,9 +168,8 @@ def _candidates(tables: int, radius: int):
     return work
 
 
-def _verified(tables: int, radius: int, least: float):
+def _verified(masks: list[tuple[int, int]], radius: int, least: float):
     """Per member of a cell: linked rows it gains there and its root in the cell's spanning forest."""
-    masks = np.array(table_masks(tables), np.uint64)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,17 +178,11 @@ def _verified(tables: int, radius: int, least: float):
                 x = np.array([m["vector"] for m in members], np.float64)
                 x = x / np.abs(x).max(axis=1, keepdims=True)
                 norm = np.linalg.norm(x, axis=1)
-                code, part, n, uid = (np.array([m[c] for m in members], np.int64) for c in ("code", "part", "n", "uid"))
-                f = code.view(np.uint64)
-                d = f[:, None] ^ f[None, :]
-                links = (x @ x.T / np.outer(norm, norm) >= least) & (np.bitwise_count(d) <= radius)
-                for mask in masks[:t]:
-                    links &= np.bitwise_count(d & mask) > 1
-                if j:
-                    links &= (d & masks[t]) != 0
+                part, n, uid = (np.array([m[c] for m in members], np.int64) for c in ("part", "n", "uid"))
+                code = np.array([m["code"] for m in members], np.int64).view(np.uint64)
+                links = (x @ x.T / np.outer(norm, norm) >= least) & _near(code, t, j, masks, radius)
                 if lo != hi:
                     links &= part[:, None] != part[None, :]
-                np.fill_diagonal(links, False)
                 links = links | links.T
                 has = links.any(axis=1)
                 uids.append(uid[has])
@@ -137,15 +195,16 @@ def _verified(tables: int, radius: int, least: float):
 
 
 def near_vectors(
-    rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93, tables: int = 4, radius: int = 24, fit_rows: int = FIT_ROWS
+    rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93, fit_rows: int = FIT_ROWS
 ) -> DataFrame:
     """One row per row of ``rows``: the id, ``n_links``, ``component_id``, ``kept``.
 
     Vectors of one label and length link at cosine ``least`` or more, in double
-    precision.  Candidates are pairs whose codes differ in at most ``radius`` bits
-    and in at most one bit of some table's substring (64 keys each: a substring
-    with one bit left out).  A pair counts in its first table and key only, so
-    counts need no list of pairs.  Equal vectors are one node with a count.
+    precision.  Candidates are pairs whose codes differ in at most one bit of some
+    table's substring (a key for each bit left out) and in no more bits than
+    planted pairs do; ``Tables`` says how many tables of what length that takes.
+    A pair counts in its first table and key only, so counts need no list of
+    pairs.  Equal vectors are one node with a count.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and
     rows without label, link with nothing: n_links 0, component_id their own id.
@@ -164,21 +223,22 @@ def near_vectors(
     common = max(set(sizes), key=lambda d: (sizes.count(d), d)) if sizes else 1
     sample = np.array([r[0] for r in first if len(r[0]) == common], np.float64).reshape(-1, common)
     sample = sample / np.abs(sample).max(axis=1, keepdims=True) if len(sample) else sample
-    mean, axes = learn_rotation(sample / np.linalg.norm(sample, axis=1, keepdims=True))
-    coded = settle(nodes.select("uid", "label", "vector").mapInArrow(_codes(mean, axes), f"uid long, label {nodes.schema['label'].dataType.simpleString()}, code long, dim int"), "codes")
+    largest = nodes.groupBy("label").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    tables = Tables(sample / np.linalg.norm(sample, axis=1, keepdims=True) if len(sample) else sample, largest, least)
+    masks, words, radius = tables.masks(), len(tables.words), tables.radius
+    coded = settle(nodes.select("uid", "label", "vector").mapInArrow(_codes(tables.words), f"uid long, label {nodes.schema['label'].dataType.simpleString()}, code array<long>, dim int"), "codes")
 
-    masks = table_masks(tables)
-    keys = [(t, j, mask & ~(1 << bit)) for t, mask in enumerate(masks) for j, bit in enumerate(b for b in range(BITS) if mask >> b & 1)]
+    keys = [(t, j, w, mask & ~(1 << bit)) for t, (w, mask) in enumerate(masks) for j, bit in enumerate(b for b in range(BITS) if mask >> b & 1)]
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    probes = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(j).alias("j"), F.lit(signed(m)).alias("mask")) for t, j, m in keys])
+    probes = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(j).alias("j"), F.lit(w).alias("w"), F.lit(signed(m)).cast("long").alias("mask")) for t, j, w, m in keys])
     keyed = coded.select("uid", "code", "label", "dim", F.explode(probes).alias("p")).select(
-        F.struct(F.col("p.t").alias("t"), F.col("p.j").alias("j"), "label", "dim", F.col("code").bitwiseAND(F.col("p.mask")).alias("sub")).alias("key"), "uid", "code"
+        F.struct(F.col("p.t").alias("t"), F.col("p.j").alias("j"), "label", "dim", F.get("code", F.col("p.w")).bitwiseAND(F.col("p.mask")).alias("sub")).alias("key"), "uid", "code"
     )
     found = cells(keyed, "key", ["uid", "code"]).select(F.xxhash64("key").alias("cell"), "key.t", "key.j", "lo", "hi", "members")
-    pairs = found.mapInArrow(_candidates(tables, radius), "cell long, t int, j int, lo int, hi int, uid long, part int")
+    pairs = found.mapInArrow(_candidates(masks, words, radius), "cell long, t int, j int, lo int, hi int, uid long, part int")
     full = pairs.join(coded.select("uid", "code"), "uid").join(nodes.select("uid", "vector", "n"), "uid")
     grouped = full.groupBy("cell", "t", "j", "lo", "hi").agg(F.collect_list(F.struct("uid", "code", "part", "n", "vector")).alias("members"))
-    gained = settle(grouped.mapInArrow(_verified(tables, radius, least), "uid long, gain long, root long"), "gained")
+    gained = settle(grouped.mapInArrow(_verified(masks, radius, least), "uid long, gain long, root long"), "gained")
 
     joined = connected(gained.select("uid", "root"))
     totals = gained.groupBy("uid").agg(F.sum("gain").alias("gain"))
