@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 # Action codes and the text shown for them.
 ACTION_TEXTS = {
@@ -54,6 +54,13 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> Dat
     return (ordered.offset(offset) if offset else ordered).limit(limit)
 
 
+def newest_of_scope(df: DataFrame, scope: list[str], at: str, tie: str, limit: int, offset: int = 0) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` of every scope, newest first, with their ``position`` from 1; each task keeps as many before the shuffle."""
+    rank = F.row_number().over(W.partitionBy(*scope).orderBy(F.col(at).desc_nulls_last(), F.col(tie).desc()))
+    top = df.withColumn("position", rank).filter(F.col("position") <= offset + limit)
+    return top.filter(F.col("position") > offset) if offset else top
+
+
 def valid_sessions(sessions: DataFrame, users: DataFrame, now: Column) -> DataFrame:
     """Active, unexpired sessions of active users."""
     people = users.filter("is_active").select(F.col("id").alias("user_id"), "email", "organization_id")

@@ -39,16 +39,34 @@ def correct_end_row(cells: DataFrame, annotation: DataFrame) -> DataFrame:
     )
 
 
-def cut_blocks(cells: DataFrame, annotation: DataFrame) -> DataFrame:
-    """Cells inside the annotated rectangle, positions relative to its corner.
+#: Rows and columns of a bin of the rectangle join.
+BIN = 8
+
 
-    An equi-join on the file carries the rectangle to the cells, so no range join
-    has to compare every cell with every annotation.
+def binned_join(cells: DataFrame, rectangles: DataFrame, size: int = BIN) -> DataFrame:
+    """Cells beside the rectangles that reach into their bin, before the bounds are compared.
+
+    A file's grid is cut into square bins.  A rectangle is opened to the bins it
+    reaches, a cell lies in one, and only they meet; so the rows joined follow the
+    rectangles' own sizes, not cells times rectangles of a file.
     """
+
+    def place(name: str) -> Column:
+        return F.floor(F.col(name) / size).cast("int")
+
+    rows, cols = F.sequence(place("start_row"), place("end_row")), F.sequence(place("start_col"), place("end_col"))
+    opened = rectangles.withColumn("_rb", F.explode(rows)).withColumn("_cb", F.explode(cols))
+    placed = cells.withColumn("_rb", place("row")).withColumn("_cb", place("col"))
+    return placed.join(opened, ["file", "_rb", "_cb"])
+
+
+def cut_blocks(cells: DataFrame, annotation: DataFrame) -> DataFrame:
+    """Cells inside the annotated rectangles, positions relative to their corner; rectangles turned inside out hold none."""
     inside = F.col("row").between(F.col("start_row"), F.col("end_row")) & F.col("col").between(F.col("start_col"), F.col("end_col"))
     extra = [c for c in annotation.columns if c not in ("file", "start_row", "end_row", "start_col", "end_col")]
+    proper = annotation.filter("start_row <= end_row and start_col <= end_col")
     return (
-        cells.join(annotation, "file")
+        binned_join(cells, proper)
         .filter(inside)
         .select("file", *extra, (F.col("row") - F.col("start_row")).alias("r"), (F.col("col") - F.col("start_col")).alias("c"), "cell")
     )
@@ -190,6 +208,33 @@ def check_plates(wells: DataFrame, value: str, expected: int = 96) -> DataFrame:
     )
 
 
+def check_plate_columns(wells: DataFrame, required: tuple[str, ...] = ("plate_id", "well_id"), expected: int = 96) -> DataFrame:
+    """One row per plate and value column: wells, bad ids, missing cells of the column, warnings; and one for each required column that is missing.
+
+    All columns are counted in one pass: a plate's buffer is an array with a
+    counter for every value column, summed in the tasks per well and then per plate.
+    """
+    absent = [c for c in required if c not in wells.columns]
+    plate = F.col("plate_id").cast("string") if "plate_id" in wells.columns else F.lit(None).cast("string")
+    well = F.col("well_id").cast("string") if "well_id" in wells.columns else F.lit(None).cast("string")
+    values = [c for c in wells.columns if c not in required]
+    _, _, pattern = FORMATS[expected]
+    marks = wells.select(plate.alias("plate_id"), well.alias("well_id"), *[F.col(f"`{c}`").isNull().cast("long").alias(f"_{i}") for i, c in enumerate(values)])
+    per_well = marks.groupBy("plate_id", "well_id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"_{i}").alias(f"_{i}") for i in range(len(values))])
+    bad = F.col("well_id").isNotNull() & ~F.col("well_id").rlike(pattern)
+    per_plate = per_well.groupBy("plate_id").agg(
+        F.sum("n").alias("n_rows"), F.count("well_id").alias("n_wells"), F.count_if(bad).alias("n_bad"), F.array(*[F.struct(F.lit(c).alias("column"), F.sum(f"_{i}").alias("n_missing")) for i, c in enumerate(values)]).alias("columns")
+    )
+    missing = F.round(F.col("n_missing") * 100.0 / F.col("n_rows"), 4)
+    told = per_plate.select("plate_id", "n_rows", "n_wells", "n_bad", F.inline_outer("columns")).withColumn("missing_pct", missing)
+    warnings = F.array_compact(F.array(
+        *[F.lit(f"Missing required column: {c}") for c in absent],
+        F.when(F.col("n_bad") > 0, "Invalid well ID format"), F.when(F.col("n_wells") != expected, F.concat(F.lit(f"Expected {expected} wells, found "), F.col("n_wells").cast("string"))),
+        F.when(F.col("missing_pct") > 50, F.concat(F.lit("Column '"), "column", F.lit("' has "), F.format_string("%.1f", "missing_pct"), F.lit("% missing data"))),
+    ))
+    return told.select("plate_id", "column", "n_rows", "n_wells", "n_bad", "n_missing", "missing_pct", F.array_join(warnings, "; ").alias("warnings"), F.lit(not absent).alias("is_valid"))
+
+
 def bad_wells(wells: DataFrame, expected: int = 96) -> DataFrame:
     """Every bad well id of each plate with the number of its rows."""
     bad = wells.filter(F.coalesce(~F.col("well_id").rlike(FORMATS[expected][2]), F.lit(True)))
@@ -226,7 +271,8 @@ def merge_wells(*tables: DataFrame) -> DataFrame:
 
     def ready(i: int, t: DataFrame) -> DataFrame:
         plate = F.coalesce(F.col("plate_id").cast("string"), F.lit(UNKNOWN_PLATE))
-        lone = F.concat(F.lit(f"{i}:"), F.monotonically_increasing_id().cast("string"))
+        # A key of the row itself: a task that runs again gives the same.  Equal rows get one key, which they share with no other table.
+        lone = F.concat(F.lit(f"{i}:"), F.xxhash64(*[F.col(f"`{c}`") for c in t.columns]).cast("string"))
         return t.withColumn("plate_id", plate).withColumn("_lone", F.when(F.col("plate_id") == UNKNOWN_PLATE, lone).otherwise(""))
 
     return reduce(fold, [ready(i, t) for i, t in enumerate(tables)]).drop("_lone")

@@ -49,10 +49,15 @@ def retain(df: DataFrame, at: str, cutoff: Column) -> tuple[DataFrame, DataFrame
     return df.filter(keep), df.filter(~keep)
 
 
-def apply_updates(target: DataFrame, updates: DataFrame, key: list[str]) -> DataFrame:
-    """Non-NULL values of matching update rows replace those of the target."""
-    changed = [c for c in updates.columns if c not in key]
-    new = updates.select(*key, *[F.col(c).alias(f"__{c}") for c in changed])
+def apply_updates(target: DataFrame, updates: DataFrame, key: list[str], at: str | None = None) -> DataFrame:
+    """Non-NULL values of matching update rows replace those of the target.
+
+    Of updates that repeat a key the one latest ``at`` counts, without it the
+    largest, so no row of the target is multiplied.
+    """
+    changed = [c for c in updates.columns if c not in key and c != at]
+    whole = F.struct(*[F.col(c).alias(f"__{c}") for c in changed])
+    new = updates.groupBy(*key).agg((F.max_by(whole, at) if at else F.max(whole)).alias("_v")).select(*key, "_v.*")
     joined = target.join(new, key, "left")
     return joined.select(*[F.coalesce(F.col(f"__{c}"), F.col(c)).alias(c) if c in changed else F.col(c) for c in target.columns])
 
@@ -89,6 +94,16 @@ def export_rows(entities: dict[str, DataFrame], org: str = "organization_id") ->
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def export_folders(entities: dict[str, DataFrame], path: str, org: str = "organization_id", parts: int = 8) -> None:
+    """``export_rows`` as JSON lines, a folder for each organisation and entity.
+
+    Records of one organisation are dealt over up to ``parts`` files, so that a large one is not written by a single task.
+    """
+    rows = export_rows(entities, org)
+    spread = F.pmod(F.xxhash64("record"), F.lit(parts))
+    rows.repartition("organization_id", "entity", spread).write.partitionBy("organization_id", "entity").text(path)
+
+
 def export_counts(entities: dict[str, DataFrame], org: str = "organization_id") -> DataFrame:
     """Records per organisation and entity; needs no JSON, so columns are pruned."""
     parts = [df.groupBy(F.col(org).alias("organization_id")).agg(F.count(F.lit(1)).alias("n")).withColumn("entity", F.lit(name)) for name, df in entities.items()]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from wellspark.operators import listings as ls, reports as rp, sinks
 from wellspark.plans.registry import query
 from wellspark.plans.reports import E, U
+from wellspark.session import work_folder
 from wellspark.plans.views import audit, experiments, limits, ntz, organizations, sessions, table, usage, users
 
 
@@ -74,6 +75,67 @@ def flt_08(spark, sf):
     return top.join(people, "user_id").select("organization_id", "id", "user_email", "created_at", "position")
 
 
+NEWEST = "SELECT *, row_number() OVER (PARTITION BY {scope} ORDER BY {at} DESC NULLS LAST, {tie} DESC) AS position FROM {source}"
+
+
+@query("flt_08b_users_of_organization", f"SELECT organization_id, id, email, is_admin, is_active, created_at, last_login, position FROM ({NEWEST.format(scope='organization_id', at='created_at', tie='id', source='users')}) WHERE position <= 20")
+def flt_08b(spark, sf):
+    u = users(spark, sf).select("organization_id", "id", "email", "is_admin", "is_active", "created_at", "last_login")
+    return ls.newest_of_scope(u, ["organization_id"], "created_at", "id", 20)
+
+
+@query("flt_08c_all_users", """
+SELECT u.id, u.email, o.name AS organization_name, u.is_system_admin, u.created_at FROM users u JOIN organizations o ON o.id = u.organization_id ORDER BY u.created_at DESC, u.id DESC LIMIT 50""")
+def flt_08c(spark, sf):
+    """The fifty newest users of all organisations; the names are looked up for those only."""
+    top = ls.page(users(spark, sf).select("id", "email", "organization_id", "is_system_admin", "created_at"), [F.col("created_at").desc(), F.col("id").desc()], 50)
+    orgs = organizations(spark, sf).select(F.col("id").alias("organization_id"), F.col("name").alias("organization_name"))
+    return top.join(orgs, "organization_id").select("id", "email", "organization_name", "is_system_admin", "created_at")
+
+
+@query("flt_08d_experiments_of_user", f"SELECT user_id, id, name, status, created_at, position FROM ({NEWEST.format(scope='user_id', at='created_at', tie='id', source='experiments')}) WHERE position BETWEEN 3 AND 7")
+def flt_08d(spark, sf):
+    """The second page of every user's experiments."""
+    e = experiments(spark, sf).select("user_id", "id", "name", "status", "created_at")
+    return ls.newest_of_scope(e, ["user_id"], "created_at", "id", 5, 2)
+
+
+@query("flt_08e_recent_experiments", """
+SELECT e.id, e.name, e.status, e.created_at, u.email AS user_email, o.name AS organization_name FROM experiments e JOIN users u ON u.id = e.user_id JOIN organizations o ON o.id = e.organization_id
+ORDER BY e.created_at DESC, e.id DESC LIMIT 25""")
+def flt_08e(spark, sf):
+    top = ls.page(experiments(spark, sf).select("id", "name", "status", "created_at", "user_id", "organization_id"), [F.col("created_at").desc(), F.col("id").desc()], 25)
+    people = users(spark, sf).select(F.col("id").alias("user_id"), F.col("email").alias("user_email"))
+    orgs = organizations(spark, sf).select(F.col("id").alias("organization_id"), F.col("name").alias("organization_name"))
+    return top.join(people, "user_id").join(orgs, "organization_id").select("id", "name", "status", "created_at", "user_email", "organization_name")
+
+
+@query("flt_08f_sessions_of_user", f"SELECT user_id, created_at, last_activity, is_active, position FROM ({NEWEST.format(scope='user_id', at='last_activity', tie='created_at', source='sessions')}) WHERE position <= 5")
+def flt_08f(spark, sf):
+    s = sessions(spark, sf).select("user_id", "created_at", "last_activity", "is_active")
+    return ls.newest_of_scope(s, ["user_id"], "last_activity", "created_at", 5)
+
+
+@query("flt_08g_files_of_experiment", """
+SELECT experiment_id, file_no, uploaded_at, position FROM (SELECT l_orderkey AS experiment_id, l_linenumber::BIGINT AS file_no, l_shipdate AS uploaded_at,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC) AS position FROM lineitem)""")
+def flt_08g(spark, sf):
+    """All files of every experiment, newest first; an experiment's files are few."""
+    files = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("experiment_id"), F.col("l_linenumber").alias("file_no"), F.col("l_shipdate").alias("uploaded_at"))
+    return ls.newest_of_scope(files, ["experiment_id"], "uploaded_at", "file_no", 1000)
+
+
+@query("flt_08h_admin_log", """
+SELECT a.id, u.email AS admin_email, o.name AS target_name, a.action_type, a."timestamp" FROM audit a JOIN users u ON u.id = a.user_id LEFT JOIN organizations o ON o.id = a.target_org_id
+WHERE a.action_type <> 'login' ORDER BY a."timestamp" DESC, a.id DESC LIMIT 100""")
+def flt_08h(spark, sf):
+    a = audit(spark, sf).filter(F.col("action_type") != "login").select("id", "user_id", "target_org_id", "action_type", "timestamp")
+    top = ls.page(a, [F.col("timestamp").desc(), F.col("id").desc()], 100)
+    people = users(spark, sf).select(F.col("id").alias("user_id"), F.col("email").alias("admin_email"))
+    orgs = organizations(spark, sf).select(F.col("id").alias("target_org_id"), F.col("name").alias("target_name"))
+    return top.join(people, "user_id").join(orgs, "target_org_id", "left").select("id", "admin_email", "target_name", "action_type", "timestamp")
+
+
 @query("sort_01_descending", "SELECT id, email, created_at FROM users ORDER BY created_at DESC, id")
 def sort_01(spark, sf):
     return users(spark, sf).select("id", "email", "created_at").orderBy(F.col("created_at").desc(), "id")
@@ -203,6 +265,35 @@ def snk_03b(spark, sf):
     return sinks.export_rows({"experiments": experiments(spark, sf).select("id", "organization_id", "status"), "users": users(spark, sf).select("id", "organization_id", "email")})
 
 
+@query("snk_03c_export_folders", """
+SELECT organization_id, 'experiments' AS entity, '{"id":' || id || ',"organization_id":' || organization_id || ',"status":"' || status || '"}' AS record FROM experiments
+UNION ALL SELECT organization_id, 'users', '{"id":' || id || ',"organization_id":' || organization_id || ',"email":"' || email || '"}' FROM users""")
+def snk_03c(spark, sf):
+    """The export written, a folder for each organisation and entity, and read back."""
+    base = work_folder(spark, "export")
+    sinks.export_folders({"experiments": experiments(spark, sf).select("id", "organization_id", "status"), "users": users(spark, sf).select("id", "organization_id", "email")}, base)
+    return spark.read.text(base).select(F.col("organization_id").cast("long").alias("organization_id"), "entity", F.col("value").alias("record"))
+
+
+@query("snk_05b_bucketed_upsert", """
+SELECT id, email, updated_at FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, new DESC, email DESC) AS k FROM (
+  SELECT id, email, created_at AS updated_at, 0 AS new FROM users
+  UNION ALL SELECT user_id, name || '@new', created_at, 1 FROM experiments WHERE user_id % 50 = 0
+  UNION ALL SELECT user_id, status || '@newest', created_at, 2 FROM experiments WHERE user_id % 70 = 0)) WHERE k = 1""")
+def snk_05b(spark, sf):
+    """Users in buckets, two commits of updates, of which one comes twice."""
+    from wellspark.operators.buckets import BucketedTable
+
+    t = BucketedTable(spark, work_folder(spark, "bucketed"), ["id"], "updated_at", 16)
+    t.create(users(spark, sf).select("id", "email", F.col("created_at").alias("updated_at")))
+    e = experiments(spark, sf)
+    first = e.filter("user_id % 50 = 0").select(F.col("user_id").alias("id"), F.concat("name", F.lit("@new")).alias("email"), F.col("created_at").alias("updated_at"))
+    second = e.filter("user_id % 70 = 0").select(F.col("user_id").alias("id"), F.concat("status", F.lit("@newest")).alias("email"), F.col("created_at").alias("updated_at"))
+    for name, updates in (("a", first), ("b", second), ("b", second)):
+        t.upsert(updates, name)
+    return t.read()
+
+
 @query("snk_05_upsert", """
 SELECT config_key, config_value, updated_at FROM (SELECT *, row_number() OVER (PARTITION BY config_key ORDER BY updated_at DESC, new DESC, config_value DESC) AS k FROM (
   SELECT n_name AS config_key, 'default' AS config_value, TIMESTAMP '1990-01-01' AS updated_at, 0 AS new FROM nation

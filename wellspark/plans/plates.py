@@ -263,6 +263,18 @@ def merged(spark, sf):
     return pl.combine(data_wells(spark, sf), map_wells(spark, sf), protocol_wells(spark, sf))
 
 
+_CHECKED = ["raw data", "raw mapping", "protocol_brand", "protocol_kind"]
+
+
+@query("plt_10c_check_all_columns", " UNION ALL ".join(f"""
+SELECT plate_id, '{c}' AS "column", n_rows, n_wells, n_bad, n_missing, round(n_missing * 100.0::DOUBLE / n_rows, 4) AS missing_pct, concat_ws('; ', CASE WHEN n_bad > 0 THEN 'Invalid well ID format' END,
+  CASE WHEN n_wells <> 96 THEN 'Expected 96 wells, found ' || n_wells END, CASE WHEN n_missing * 100.0 / n_rows > 50 THEN 'Column ''{c}'' has ' || printf('%.1f', round(n_missing * 100.0::DOUBLE / n_rows, 4)) || '% missing data' END) AS warnings, TRUE AS is_valid
+FROM (SELECT plate_id, count(*) AS n_rows, count(DISTINCT well_id) AS n_wells, count(DISTINCT CASE WHEN NOT regexp_matches(well_id, '^[A-H]([1-9]|1[0-2])$') THEN well_id END) AS n_bad, count(*) FILTER ("{c}" IS NULL) AS n_missing FROM merged GROUP BY plate_id)""" for c in _CHECKED))
+def plt_10c(spark, sf):
+    """Every value column of the merged wells, in one pass."""
+    return pl.check_plate_columns(merged(spark, sf).select("plate_id", "well_id", *_CHECKED))
+
+
 @query("plt_12_run_summary", """
 SELECT count(*) AS total_samples, count(DISTINCT plate_id) AS unique_plates, 1::BIGINT AS data_columns, 1::BIGINT AS map_columns, 2::BIGINT AS protocol_columns, TRUE AS has_protocol FROM merged""")
 def plt_12(spark, sf):
@@ -365,6 +377,17 @@ def join_09(spark, sf):
     return pr.expand_scopes(scopes(spark, sf))
 
 
+@query("join_09b_many_rectangles", """
+SELECT p_partkey, count(*) AS n, round(sum(price), 2) AS total FROM (SELECT o_orderkey // 100 AS row, o_orderkey % 100 AS col, o_totalprice AS price FROM orders)
+JOIN (SELECT p_partkey, p_partkey % 60 AS r0, p_partkey % 60 + p_size % 20 AS r1, p_partkey * 7 % 90 AS c0, p_partkey * 7 % 90 + p_size % 9 AS c1 FROM part) ON row BETWEEN r0 AND r1 AND col BETWEEN c0 AND c1 GROUP BY p_partkey""")
+def join_09b(spark, sf):
+    """One file, a rectangle for each part: they overlap everywhere, and meet the cells of their bins only."""
+    o, k = F.col("o_orderkey"), F.col("p_partkey")
+    cells = table(spark, sf, "orders").select(F.lit("f").alias("file"), F.floor(o / 100).alias("row"), (o % 100).alias("col"), F.col("o_totalprice").alias("cell"))
+    rects = table(spark, sf, "part").select(F.lit("f").alias("file"), "p_partkey", (k % 60).alias("start_row"), (k % 60 + F.col("p_size") % 20).alias("end_row"), (k * 7 % 90).alias("start_col"), (k * 7 % 90 + F.col("p_size") % 9).alias("end_col"))
+    return pl.cut_blocks(cells, rects).groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("cell"), 2).alias("total"))
+
+
 @query("sort_06_well_order", """
 SELECT plate_id, well_id, "raw mapping", row_number() OVER (PARTITION BY plate_id ORDER BY well_id[1], well_id[2:]::INTEGER) AS position FROM map_wells""")
 def sort_06(spark, sf):
