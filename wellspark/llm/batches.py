@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
 SLICE_BYTES = 2_000_000
 
@@ -14,6 +15,18 @@ SLICE_BYTES = 2_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Fewer rows to an Arrow batch for jobs run inside, whose rows are large; the session's own limit if that is less."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def flat_utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts in a row and the n + 1 offsets; a null text is empty."""
     column = column.cast(pa.large_binary()).fill_null(b"")

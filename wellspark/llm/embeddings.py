@@ -92,7 +92,8 @@ class Tables:
 
     def _learn(self) -> None:
         while len(self.words) * (BITS // self.length) < self.count:
-            self.words.append(learn_rotation(self.sample, seed=7 + len(self.words)))
+            w = len(self.words)
+            self.words.append(learn_rotation(self.sample[w % 4 :: 4] if len(self.sample) > 1024 else self.sample, seed=7 + w))
 
     def _flips(self, x: np.ndarray, y: np.ndarray, word: int) -> np.ndarray:
         mean, axes = self.words[word]
