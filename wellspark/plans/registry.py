@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -36,7 +37,9 @@ def with_views(body: str) -> str:
     names = _needed(body)
     if not names:
         return body
-    head = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in names)
+    # A view named more than once is worked out once.
+    mentions = Counter(w for text in (body, *(VIEWS[n] for n in names)) for w in re.findall(r"[A-Za-z_][A-Za-z0-9_]*", text))
+    head = ",\n".join(f"{n} AS {'MATERIALIZED ' if mentions[n] > 1 else ''}({VIEWS[n]})" for n in names)
     if body.lstrip().upper().startswith("WITH RECURSIVE"):
         return f"WITH RECURSIVE {head},\n{body.lstrip()[len('WITH RECURSIVE'):]}"
     if body.lstrip().upper().startswith("WITH "):

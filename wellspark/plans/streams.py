@@ -80,21 +80,37 @@ SELECT event_type, "column", count(*) AS n, count(DISTINCT "timestamp") AS n_tim
   SELECT event_type, ts AS "timestamp", 'value' AS "column", v AS value FROM arriving UNION ALL SELECT event_type, ts, 'user_id', user_id::VARCHAR FROM arriving) GROUP BY event_type, "column" """)
 def str_05(spark, sf):
     """Daily log files are written, picked up as a stream and parsed into one table."""
+    out = _arrived(spark, sf, broken=False)["rows"]
+    kind = F.regexp_extract("source_file", "log=([a-z]+)_", 1)
+    return out.groupBy(kind.alias("event_type"), "column").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("timestamp").alias("n_times"), F.round(F.sum(F.col("value").cast("double")), 2).alias("total")
+    )
+
+
+@query("str_05b_nothing_is_lost", """
+SELECT event_type, count(*) AS n_lines, count(*) FILTER (event_id % 17 <> 0) AS n_rows, count(*) FILTER (event_id % 17 = 0) AS n_quarantined, count(*) FILTER (event_id % 17 = 0) AS n_messages FROM events GROUP BY event_type""")
+def str_05b(spark, sf):
+    """Lines with unreadable times go to quarantine, and the ledger accounts for every line."""
+    out = _arrived(spark, sf, broken=True)
+    kind = lambda c: F.regexp_extract(c, "log=([a-z]+)_", 1).alias("event_type")
+    lines = out["ledger"].groupBy(kind("file")).agg(*[F.sum(c).alias(c) for c in ("n_lines", "n_rows", "n_quarantined")])
+    return lines.join(out["quarantine"].groupBy(kind("source")).agg(F.count(F.lit(1)).alias("n_messages")), "event_type", "left")
+
+
+def _arrived(spark, sf, broken):
     base = work_folder(spark, "arriving")
     e = table(spark, sf, "events")
     name = F.concat("event_type", F.lit("_"), F.date_format("ts", "yyyyMMdd"))
-    line = F.concat_ws(";", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.format_string("%.2f", "value"), F.col("user_id").cast("string"))
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    stamp = F.when(F.col("event_id") % 17 == 0, "late").otherwise(stamp) if broken else stamp
+    line = F.concat_ws(";", stamp, F.format_string("%.2f", "value"), F.col("user_id").cast("string"))
     body = e.select(name.alias("log"), F.col("event_id").alias("k"), line.alias("value"))
     head = e.select(name.alias("log")).distinct().select("log", F.inline(F.array(
         F.struct(F.lit(-2).cast("long").alias("k"), F.lit("# device log").alias("value")), F.struct(F.lit(-1).cast("long").alias("k"), F.lit("time;value;user_id").alias("value")),
     )))
     files = body.unionByName(head).repartition("log").sortWithinPartitions("log", "k").drop("k")
     files.write.partitionBy("log").text(f"{base}/in")
-    out = lf.run_folder(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint")
-    kind = F.regexp_extract("source_file", "log=([a-z]+)_", 1)
-    return out.groupBy(kind.alias("event_type"), "column").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("timestamp").alias("n_times"), F.round(F.sum(F.col("value").cast("double")), 2).alias("total")
-    )
+    return lf.run_folder(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint")
 
 
 @query("str_06_sliding_week", f"""
