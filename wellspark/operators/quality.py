@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wellspark.functions.values import let
-from wellspark.operators.cleaning import SCRIPT_PATTERNS, sanitize_html
+from wellspark.operators.cleaning import SCRIPT_PATTERNS, sanitize_html, sanitize_string
 
 # Patterns, limits and words of the rule sets.
 # Each pattern comes with the literals, in small letters, without which it cannot match.
@@ -213,6 +213,49 @@ def check_schema(df: DataFrame, schema: dict[str, dict]) -> DataFrame:
     return df.withColumn("errors", F.map_from_entries(broken)).withColumn("is_valid", F.size("errors") == 0)
 
 
+#: Pieces an organisation's name may not hold, in any case.
+ORGANIZATION_WORDS = ["<script", "javascript:", "select", "drop", "insert", "update", "delete", "union"]
+
+
+def _checked_field(field: str, rule: dict) -> tuple[Column, Column]:
+    """(error or NULL, sanitized text) of a field that is not blank."""
+    raw = F.col(field).cast("string")
+    kind = rule.get("type", "string")
+    none = F.lit(None).cast("string")
+    if kind == "email":
+        low = F.lower(F.trim(raw))
+        return F.when(~low.rlike(EMAIL) | (F.length(low) > 254), "Invalid email address"), low
+    if kind == "integer":
+        number = to_integer(raw, rule.get("min"), rule.get("max"))
+        return F.when(number.isNull(), "Invalid integer value"), number.cast("string")
+    if kind == "organization":
+        clean = sanitize_string(raw, 100)
+        words = reduce(lambda a, b: a | b, [F.contains(F.lower(clean), F.lit(w)) for w in ORGANIZATION_WORDS])
+        error = F.when(F.length(raw) > 100, "Organization name must not exceed 100 characters").when(F.length(clean) < 2, "Organization name must be at least 2 characters").when(words, "Organization name contains invalid characters")
+        return error, clean
+    if kind == "experiment":
+        clean = sanitize_string(raw, 200)
+        return F.when(F.length(clean) < 3, "Experiment name must be at least 3 characters").when(F.length(clean) > 200, "Experiment name must not exceed 200 characters"), clean
+    return none, sanitize_string(raw, rule.get("max_length", 1000))
+
+
+def check_form(df: DataFrame, schema: dict[str, dict]) -> DataFrame:
+    """``errors`` (field to message), ``sanitized`` (field to cleaned text, only of fields without error) and ``is_valid`` of each row.
+
+    A blank optional field is sanitized to NULL; a text field is cut to its
+    ``max_length`` and cleaned, never refused, as the form does.
+    """
+    errors, cleaned = [], []
+    for field, rule in schema.items():
+        blank = F.coalesce(F.col(field).cast("string"), F.lit("")) == ""
+        error, clean = _checked_field(field, rule)
+        found = F.when(blank, F.lit(f"{field} is required") if rule.get("required") else F.lit(None).cast("string")).otherwise(error)
+        errors.append(F.struct(F.lit(field).alias("field"), found.alias("value")))
+        cleaned.append(F.when(found.isNull(), F.struct(F.lit(field).alias("field"), F.when(~blank, clean).alias("value"))))
+    out = df.withColumn("_errors", F.filter(F.array(*errors), lambda e: e["value"].isNotNull())).withColumn("_cleaned", F.array_compact(F.array(*cleaned)))
+    return out.withColumn("errors", F.map_from_entries("_errors")).withColumn("sanitized", F.map_from_entries("_cleaned")).withColumn("is_valid", F.size("_errors") == 0).drop("_errors", "_cleaned")
+
+
 def missing_fields(df: DataFrame, fields: list[str]) -> Column:
     """Names of required fields that are NULL or blank, joined by commas."""
     return F.array_join(F.array_compact(F.array(*[F.when(F.coalesce(F.col(f).cast("string"), F.lit("")) == "", F.lit(f)) for f in fields])), ", ")

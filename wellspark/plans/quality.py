@@ -180,6 +180,28 @@ def dq_10(spark, sf):
     return done.select("id", F.array_join(F.transform(F.map_entries("errors"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "|").alias("errors"))
 
 
+FORM = {"mail": {"type": "email", "required": True}, "amount": {"type": "integer", "min": 0, "max": 5000}, "lab": {"type": "organization", "required": True}, "title": {"type": "experiment"}, "note": {"max_length": 8}}
+
+
+@query("dq_10b_form", """
+SELECT id, concat_ws('|', CASE WHEN mail = '' THEN 'mail: mail is required' WHEN NOT regexp_matches(lower(trim(mail)), '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}$') THEN 'mail: Invalid email address' END,
+    CASE WHEN amount NOT BETWEEN 0 AND 5000 THEN 'amount: Invalid integer value' END,
+    CASE id % 6 WHEN 0 THEN 'lab: lab is required' WHEN 1 THEN 'lab: Organization name must be at least 2 characters' WHEN 2 THEN 'lab: Organization name contains invalid characters' WHEN 4 THEN 'lab: Organization name must not exceed 100 characters' END,
+    CASE WHEN id % 5 IN (1, 2) THEN 'title: Experiment name must be at least 3 characters' END) AS errors,
+  CASE id % 6 WHEN 3 THEN 'Good Lab &amp; Co' WHEN 5 THEN '5 &lt; 6 labs' END AS lab, CASE id % 5 WHEN 3 THEN 'xxx' WHEN 4 THEN 'xxxx' END AS title, substr(note, 1, 8) AS note
+FROM (SELECT id, mail, c_acctbal::BIGINT AS amount, c_mktsegment AS note FROM mails JOIN (SELECT c_custkey, trunc(c_acctbal) AS c_acctbal, c_mktsegment FROM customer) ON c_custkey = id)""")
+def dq_10b(spark, sf):
+    """A form with an organisation's name: missing, too short, with a forbidden word, with tags, too long, with a sign."""
+    k = F.col("c_custkey")
+    labs = F.array(*[F.lit(x) for x in ("", "x", "Selected Labs", "Good <b>Lab</b> & Co", "y" * 101, "5 < 6 labs")])
+    form = table(spark, sf, "customer").select(
+        k.alias("id"), F.col("c_acctbal").cast("bigint").alias("amount"), F.element_at(labs, (k % 6 + 1).cast("int")).alias("lab"), F.repeat(F.lit("x"), (k % 5).cast("int")).alias("title"), F.col("c_mktsegment").alias("note")
+    ).join(mails(spark, sf), "id")
+    done = dq.check_form(form, FORM)
+    listed = F.array_join(F.transform(F.map_entries("errors"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "|")
+    return done.select("id", listed.alias("errors"), *[F.try_element_at("sanitized", F.lit(f)).alias(f) for f in ("lab", "title", "note")])
+
+
 @query("dq_11_required_fields", "SELECT id, concat_ws(', ', CASE WHEN full_name IS NULL THEN 'full_name' END, CASE WHEN username = '' THEN 'username' END, CASE WHEN last_login IS NULL THEN 'last_login' END) AS missing FROM users")
 def dq_11(spark, sf):
     u = users(spark, sf)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wellspark.operators import quality as dq, sinks
+from wellspark.plans.cleaning import _controls, _spelled
 from wellspark.plans.registry import query, view
 from wellspark.plans.reports import E
 from wellspark.plans.views import experiments, log_lines, table, usage
@@ -125,16 +126,18 @@ def snk_10b(spark, sf):
     return joined.groupBy("user_id", "action_type", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("cln_13_file_set_cleaning")
+@query("cln_13_file_set_cleaning", f"""
+SELECT doc_id, lang, 'utf-8' AS encoding, octet_length(encode(text))::BIGINT AS size_bytes, text <> done AS has_changes, length(text) AS original_length, length(done) AS processed_length,
+  NOT regexp_matches(done, '[^\\x00-\\x7F]') AS ascii_compatible, done AS processed_text FROM (SELECT doc_id, lang, text, {_spelled(_controls('nfc_normalize(text)'))} AS done FROM documents)""")
 def cln_13(spark, sf):
-    """Cleaned texts written by language, and one metadata row per file."""
+    """Cleaned texts written by language, read back with one metadata row per file."""
     from wellspark.operators.cleaning import clean_table
 
     path = work_folder(spark, "cleaned")
     docs = table(spark, sf, "documents").select("doc_id", "lang", F.encode("text", "UTF-8").alias("content"))
     texts = docs.select("doc_id", "lang", fs.encoding_name(F.col("content")).alias("encoding"), F.octet_length("content").alias("size_bytes"), fs.decode_text(F.col("content")).alias("text"))
     clean_table(texts, "text").drop("text").write.partitionBy("lang").parquet(path)
-    return spark.read.parquet(path).select("doc_id", "lang", "encoding", "size_bytes", "has_changes", "original_length", "processed_length", "ascii_compatible")
+    return spark.read.parquet(path).select("doc_id", "lang", "encoding", "size_bytes", "has_changes", "original_length", "processed_length", "ascii_compatible", "processed_text")
 
 
 @query("src_06b_large_text_lines", "SELECT file, count(*) AS n_lines, max(line_no) AS last_line FROM log_lines GROUP BY file")
