@@ -7,11 +7,16 @@ from pyspark.sql import Column, functions as F
 from wellspark.functions.values import let
 
 # Greek letters and the names they are spelled with.
-GREEK_NAMES = (
-    "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega"
-).split()
-GREEK_SMALL = dict(zip("αβγδεζηθικλμνξοπρστυφχψω", GREEK_NAMES))
-GREEK_CAPITAL = dict(zip("ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", [n.capitalize() for n in GREEK_NAMES]))
+GREEK_SMALL = {
+    "α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "epsilon", "ζ": "zeta", "η": "eta", "θ": "theta", "ι": "iota", "κ": "kappa", "λ": "lambda",
+    "μ": "mu", "ν": "nu", "ξ": "xi", "ο": "omicron", "π": "pi", "ρ": "rho", "σ": "sigma", "τ": "tau", "υ": "upsilon", "φ": "phi", "χ": "chi", "ψ": "psi",
+    "ω": "omega",
+}
+GREEK_CAPITAL = {
+    "Α": "Alpha", "Β": "Beta", "Γ": "Gamma", "Δ": "Delta", "Ε": "Epsilon", "Ζ": "Zeta", "Η": "Eta", "Θ": "Theta", "Ι": "Iota", "Κ": "Kappa", "Λ": "Lambda",
+    "Μ": "Mu", "Ν": "Nu", "Ξ": "Xi", "Ο": "Omicron", "Π": "Pi", "Ρ": "Rho", "Σ": "Sigma", "Τ": "Tau", "Υ": "Upsilon", "Φ": "Phi", "Χ": "Chi", "Ψ": "Psi",
+    "Ω": "Omega",
+}
 
 # Units, letters with marks, mathematical signs, currencies and marks.
 SIGNS = {
@@ -24,29 +29,39 @@ SIGNS = {
 SCIENTIFIC = {**GREEK_SMALL, **GREEK_CAPITAL, **SIGNS}
 
 # Raised and lowered characters, and fractions.
-SUPERSCRIPTS = dict(zip("⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁼⁽⁾ⁿⁱᵃᵇᶜᵈᵉᶠᵍʰʲᵏˡᵐᵒᵖʳˢᵗᵘᵛʷˣʸᶻ", "0123456789+-=()niabcdefghjklmoprstuvwxyz"))
-SUBSCRIPTS = dict(zip("₀₁₂₃₄₅₆₇₈₉₊₋₌₍₎ₐₑₕᵢⱼₖₗₘₙₒₚᵣₛₜᵤᵥₓ", "0123456789+-=()aehijklmnoprstuvx"))
-FRACTIONS = dict(zip("½⅓⅔¼¾⅕⅖⅗⅘⅙⅚⅐⅛⅜⅝⅞⅑⅒", "1/2 1/3 2/3 1/4 3/4 1/5 2/5 3/5 4/5 1/6 5/6 1/7 1/8 3/8 5/8 7/8 1/9 1/10".split()))
+SUPERSCRIPTS = {
+    "⁰": "0", "¹": "1", "²": "2", "³": "3", "⁴": "4", "⁵": "5", "⁶": "6", "⁷": "7", "⁸": "8", "⁹": "9", "⁺": "+", "⁻": "-", "⁼": "=", "⁽": "(", "⁾": ")",
+    "ⁿ": "n", "ⁱ": "i", "ᵃ": "a", "ᵇ": "b", "ᶜ": "c", "ᵈ": "d", "ᵉ": "e", "ᶠ": "f", "ᵍ": "g", "ʰ": "h", "ʲ": "j", "ᵏ": "k", "ˡ": "l", "ᵐ": "m", "ᵒ": "o",
+    "ᵖ": "p", "ʳ": "r", "ˢ": "s", "ᵗ": "t", "ᵘ": "u", "ᵛ": "v", "ʷ": "w", "ˣ": "x", "ʸ": "y", "ᶻ": "z",
+}
+SUBSCRIPTS = {
+    "₀": "0", "₁": "1", "₂": "2", "₃": "3", "₄": "4", "₅": "5", "₆": "6", "₇": "7", "₈": "8", "₉": "9", "₊": "+", "₋": "-", "₌": "=", "₍": "(", "₎": ")",
+    "ₐ": "a", "ₑ": "e", "ₕ": "h", "ᵢ": "i", "ⱼ": "j", "ₖ": "k", "ₗ": "l", "ₘ": "m", "ₙ": "n", "ₒ": "o", "ₚ": "p", "ᵣ": "r", "ₛ": "s", "ₜ": "t", "ᵤ": "u",
+    "ᵥ": "v", "ₓ": "x",
+}
+FRACTIONS = {
+    "½": "1/2", "⅓": "1/3", "⅔": "2/3", "¼": "1/4", "¾": "3/4", "⅕": "1/5", "⅖": "2/5", "⅗": "3/5", "⅘": "4/5", "⅙": "1/6", "⅚": "5/6", "⅐": "1/7", "⅛": "1/8",
+    "⅜": "3/8", "⅝": "5/8", "⅞": "7/8", "⅑": "1/9", "⅒": "1/10",
+}
 NUMERIC_FORMS = {
     **{k: f"^{v}" for k, v in SUPERSCRIPTS.items()},
     **{k: f"_{v}" for k, v in SUBSCRIPTS.items()},
     **FRACTIONS,
 }
 
-# Words that stand for characters in readable file names.
-NAME_WORDS = {
-    "<": "lt", ">": "gt", ":": "colon", '"': "quote", "/": "slash", "\\": "backslash", "|": "pipe", "?": "question", "*": "star",
-    "+": "plus", "#": "hash", "%": "percent", "&": "and", "{": "lbrace", "}": "rbrace", "[": "lbracket", "]": "rbracket",
-    "(": "lparen", ")": "rparen", "=": "equals", "!": "exclamation", "@": "at", "$": "dollar", "^": "caret", "`": "backtick",
-    "~": "tilde", ";": "semicolon", "'": "apostrophe",
+# What stands for reserved characters and for symbols in readable file names.
+NAME_REPLACEMENTS = {
+    "<": "_lt_", ">": "_gt_", ":": "_colon_", '"': '_quote_', "/": "_slash_", '\\': '_backslash_', "|": "_pipe_", "?": "_question_", "*": "_star_",
+    "+": "_plus_", "#": "_hash_", "%": "_percent_", "&": "_and_", "{": "_lbrace_", "}": "_rbrace_", "[": "_lbracket_", "]": "_rbracket_", "(": "_lparen_",
+    ")": "_rparen_", "=": "_equals_", "!": "_exclamation_", "@": "_at_", "$": "_dollar_", "^": "_caret_", "`": "_backtick_", "~": "_tilde_", ";": "_semicolon_",
+    "'": '_apostrophe_', " ": "_", ",": "_", ".": "_dot_", "–": "_dash_", "—": "_dash_", "…": "_ellipsis_",
 }
-NAME_REPLACEMENTS = {**{k: f"_{v}_" for k, v in NAME_WORDS.items()}, " ": "_", ",": "_", ".": "_dot_", "–": "_dash_", "—": "_dash_", "…": "_ellipsis_"}
 NAME_SYMBOLS = {
-    **{c: GREEK_SMALL[c] for c in "αβγδμπστφχψω"},
-    "°": "deg", "±": "plusminus", "≤": "lte", "≥": "gte", "≠": "neq", "≈": "approx", "∞": "inf", "∑": "sum", "∏": "prod", "∫": "integral",
-    "∂": "partial", "∇": "nabla", "√": "sqrt", "∝": "proportional", "∈": "in", "∉": "notin", "⊂": "subset", "⊃": "superset",
-    "⊆": "subseteq", "⊇": "superseteq", "∪": "union", "∩": "intersection",
-    **dict(zip("¹²³⁴⁵⁶⁷⁸⁹⁰₁₂₃₄₅₆₇₈₉₀", "12345678901234567890")),
+    "α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "μ": "mu", "π": "pi", "σ": "sigma", "τ": "tau", "φ": "phi", "χ": "chi", "ψ": "psi", "ω": "omega",
+    "°": "deg", "±": "plusminus", "≤": "lte", "≥": "gte", "≠": "neq", "≈": "approx", "∞": "inf", "∑": "sum", "∏": "prod", "∫": "integral", "∂": "partial",
+    "∇": "nabla", "√": "sqrt", "∝": "proportional", "∈": "in", "∉": "notin", "⊂": "subset", "⊃": "superset", "⊆": "subseteq", "⊇": "superseteq", "∪": "union",
+    "∩": "intersection", "¹": "1", "²": "2", "³": "3", "⁴": "4", "⁵": "5", "⁶": "6", "⁷": "7", "⁸": "8", "⁹": "9", "⁰": "0", "₁": "1", "₂": "2", "₃": "3",
+    "₄": "4", "₅": "5", "₆": "6", "₇": "7", "₈": "8", "₉": "9", "₀": "0",
 }
 
 NON_ASCII = r"[^\x00-\x7F]"
