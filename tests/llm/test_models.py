@@ -3,6 +3,7 @@
 import functools
 import hashlib
 import math
+import random
 import types
 import zlib
 from collections import Counter, defaultdict
@@ -176,6 +177,45 @@ def test_language_of_odd_rows(spark, odd, empty):
     assert [r.lang_pred for r in language.identify(documents(spark, [(1, "word", None, "a"), (2, "123 ½ _", "en", "a")])).collect()][1] == "und"
 
 
+@pytest.mark.parametrize("one_id", [2, 3, 1, 4])
+def test_many_texts_under_one_id_are_sampled_by_row(spark, one_id, monkeypatch):
+    """3,000 texts of a labelled id, and one row a thousand times: the sample keeps its bound, and something is learned."""
+    r = random.Random(1)
+    stems = {"en": ["the", "and", "thing", "whole"], "fr": ["été", "que", "leur", "eaux"]}
+    rows = [(one_id, " ".join(r.choice(stems[lang]) + r.choice("abc") for _ in range(12)), lang, "a") for lang in stems for _ in range(1500)]
+    rows += [(one_id, "the same again", "en", "a")] * 1000
+    seen = []
+    fit = language.Model.fit
+    monkeypatch.setattr(language.Model, "fit", lambda x, langs, names: seen.append(Counter(langs)) or fit(x, langs, names))
+    got = language.identify(documents(spark, rows, clash=False), per_language=50).collect()
+    if zlib.crc32(str(one_id).encode()) % 4 == 2:
+        assert not seen and {x.lang_pred for x in got} == {"und"}
+        return
+    assert all(25 <= n <= 50 for n in seen[0].values()) and set(seen[0]) == {"en", "fr"}
+    assert Counter(x.lang_pred for x in got) == Counter({"en": 2500, "fr": 1500})
+
+
+def test_language_equals_a_plain_vote(spark):
+    """The answer of every fifth document by plain sums: best family, then a vote of all pairs in it."""
+    import pyarrow as pa
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.learn(docs, "doc_id", "text", "lang", 4, 2, 500, language.FAMILIES)
+    texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id % 5 == 0 and r.text and language.LETTER.search(r.text)}
+    want = {}
+    for i, text in texts.items():
+        x = [float(v) for v in language.profiles(pa.array([text]))[0]]
+        value = lambda w: sum(a * float(b) for a, b in zip(x, w)) + float(w[-1])
+        family = max(zip(model.families, model.family_weights), key=lambda f: value(f[1]))[0] if len(model.families) > 1 else next(iter(model.families))
+        votes = Counter({m: 0 for m in model.families[family]})
+        for (a, b), w in model.pairs.items():
+            if a in votes and b in votes:
+                votes[a if value(w) >= 0 else b] += 1
+        want[i] = [m for m in votes if votes[m] == max(votes.values())]
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs).collect()}
+    assert len(want) > 30 and all(got[i] in best for i, best in want.items())
+
+
 def test_profiles_do_not_cross_documents():
     import pyarrow as pa
 
@@ -206,6 +246,34 @@ def test_quality_of_odd_rows(spark, odd, empty):
     assert quality.keep_good(odd, labels.filter("false")).columns == odd.columns
 
 
+def test_quality_equals_direct_normal_equations(spark):
+    """Scores from one matrix of all labelled rows, solved at once, against those from partition sums."""
+    docs, labels = (spark.read.parquet(f"{BIG}/{t}.parquet") for t in ("documents", "labels"))
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    stats = {r.id: np.array(r.x) for r in quality.document_statistics(docs).collect()}
+    y = {r.doc_id: r.quality for r in labels.collect() if r.quality in (0, 1) and fold(r.doc_id) != 0 and r.doc_id in stats}
+    known = sorted(y)
+    x = np.array([stats[i] for i in known])
+    mean, spread = x.mean(axis=0), x.std(axis=0)
+    spread = np.where(spread > 1e-9, spread, 1.0)
+    z = lambda rows: quality.fourier((np.array(rows) - mean) / spread, 11)
+    fit = [i for i in known if fold(i) != 4]
+    a, b = z([stats[i] for i in fit]), np.array([y[i] for i in fit], float)
+    w = np.linalg.solve(a.T @ a + 1e-3 * len(fit) / quality.FEATURES * np.eye(a.shape[1]), a.T @ b)
+    steps = Counter()
+    for i in known:
+        if fold(i) == 4:
+            step = int(np.clip((float(z([stats[i]])[0] @ w) + 0.5) / 2 * quality.STEPS, 0, quality.STEPS - 1))
+            steps[step] += 1
+            steps[step, "good"] += y[i]
+    at = sorted(s for s in steps if isinstance(s, int))
+    values = quality.isotonic(np.array([steps[s] for s in at], float), np.array([steps[s, "good"] for s in at], float))
+    raw = z([stats[i] for i in sorted(stats)]) @ w
+    want = dict(zip(sorted(stats), np.clip(np.interp(raw, (np.array(at) + 0.5) / quality.STEPS * 2 - 0.5, values), 0, 1)))
+    got = {r.doc_id: r.score for r in quality.score_documents(docs, labels).collect()}
+    assert max(abs(got[i] - want[i]) for i in want) < 1e-3
+
+
 def test_fourier_features_approximate_the_kernel():
     x = np.random.default_rng(3).normal(size=(40, 8))
     z = quality.fourier(x, 1, 20_000)[:, :-1]

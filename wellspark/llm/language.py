@@ -23,7 +23,7 @@ FAMILIES = {
 }
 BUCKET_BITS = 11
 BUCKETS = 1 << BUCKET_BITS
-#: Documents learned from in each language: those with the smallest hashes of their ids.
+#: Documents learned from in each language: those with the smallest hashes of id and text.
 PER_LANGUAGE = 500
 LETTER = regex.compile(r"\p{L}")
 
@@ -121,27 +121,27 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, parts: int
     """A model from at most ``per_language`` documents of each language outside the held-out fold; None without any."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     own = own.filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~learned_apart(F.col("id"), parts, held_out))
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
-    # One number for each language, as in the model: ids beyond it are passed over before any shuffle, and at most about twice the rows wanted meet.
-    below = [(r["lang"], 2.0 * per_language * (1 << 40) / r["n"]) for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()]
+    # By id and text: other texts of a repeated id are rows of their own, and copies of a row count once.
+    own = own.withColumn("place", F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40)))
+    # One number for each language, as in the model: rows beyond it are passed over before any shuffle, and at most about twice the rows wanted meet.
+    below = [(r["lang"], 2.0 * per_language * (1 << 40) / r["n"]) for r in own.groupBy("lang").agg(F.approx_count_distinct("place").alias("n")).collect()]
     limit = F.try_element_at(F.create_map(*[F.lit(x) for pair in below or [("", 0.0)] for x in pair]), F.col("lang"))
-    few = own.select("id", "lang", place.alias("place")).filter(F.col("place") <= limit)
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("place", "id"))
-    chosen = few.withColumn("n", first).filter(F.col("n") <= per_language).select("id", "lang").distinct()
+    few = own.select("lang", "place").filter(F.col("place") <= limit).distinct()
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    chosen = few.withColumn("n", first).filter(F.col("n") <= per_language).select("lang", "place")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1_000_000):
                 x = profiles(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("lang"), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["id", "lang", "x"])
+                yield pa.RecordBatch.from_arrays([part.column("place"), part.column("lang"), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["place", "lang", "x"])
 
-    kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("id", kind), T.StructField("lang", T.StringType()), T.StructField("x", T.BinaryType())])
-    # At most per_language ids for each language of the model are broadcast, so the texts stay where they are.
-    rows = own.join(F.broadcast(chosen), ["id", "lang"], "left_semi").select("id", "text", "lang").mapInArrow(work, schema).collect()
+    # At most per_language places for each language of the model are broadcast, so the texts stay where they are.
+    found = own.join(F.broadcast(chosen), ["lang", "place"], "left_semi").select("place", "text", "lang").mapInArrow(work, "place long, lang string, x binary")
+    rows = found.dropDuplicates(["place", "lang"]).collect()
     if not rows:
         return None
-    rows.sort(key=lambda r: (r["lang"], r["id"], r["x"]))
+    rows.sort(key=lambda r: (r["lang"], r["place"], r["x"]))
     return Model.fit(np.array([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float32), [r["lang"] for r in rows], families)
 
 
