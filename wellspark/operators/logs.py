@@ -165,6 +165,33 @@ def to_wide(timed: DataFrame, names: list[str]) -> DataFrame:
     return timed.select("timestamp", *[value(n) for n in names], "source_file", "line_no")
 
 
+def wide_by_position(lines: DataFrame, facts: DataFrame, names: list[str], prefix: bool = True) -> DataFrame:
+    """``to_wide`` straight from lines: where a column stands is looked up once per file, and a row only takes cells by number."""
+    shown = F.transform("names", lambda n: prefixed(F.col("file"), n)) if prefix else F.col("names")
+    places = F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.array_position("shown", n).cast("int") - 1)
+    placed = facts.withColumn("shown", shown).select("file", "delimiter", "data_start", "ts_col", places.alias("places"))
+    data = lines.filter(not_blank()).join(placed, "file").filter(F.col("line_no") >= F.col("data_start"))
+    data = data.withColumn("cells", split_cells(F.col("line"), F.col("delimiter")))
+    values = [null_token(F.get(F.col("cells"), F.get(F.col("places"), F.lit(i)))).alias(n) for i, n in enumerate(names)]
+    return data.select(parse_time(F.get(F.col("cells"), F.col("ts_col"))).alias("timestamp"), *values, F.col("file").alias("source_file"), "line_no")
+
+
+def write_by_header(lines: DataFrame, facts: DataFrame, path: str) -> None:
+    """Unprefixed rows grouped by header, for any number of names: a folder for each different header, its values as an array in the header's order.
+
+    ``headers`` holds what the places mean; nothing is gathered on the driver and no name limit applies.
+    """
+    header = F.sha2(F.to_json("names"), 256)
+    marked = facts.withColumn("header", header)
+    marked.groupBy("header").agg(F.first("names").alias("names"), F.count(F.lit(1)).alias("n_files")).write.parquet(f"{path}/headers")
+    data = lines.filter(not_blank()).join(marked.select("file", "delimiter", "data_start", "ts_col", "header"), "file").filter(F.col("line_no") >= F.col("data_start"))
+    cells = split_cells(F.col("line"), F.col("delimiter"))
+    rows = data.withColumn("cells", F.transform(cells, null_token)).select(
+        F.col("file").alias("source_file"), "line_no", parse_time(F.get(F.col("cells"), F.col("ts_col"))).alias("timestamp"), F.col("cells").alias("values"), "header"
+    )
+    rows.write.partitionBy("header").parquet(f"{path}/rows")
+
+
 def in_time_order(df: DataFrame) -> DataFrame:
     return df.orderBy(F.col("timestamp").asc_nulls_last(), "source_file", "line_no")
 

@@ -8,6 +8,7 @@ from wellspark.operators import logs as lg, structure as st
 from wellspark.plans.registry import query, view
 from wellspark.plans.structure import log_annotation
 from wellspark.plans.views import log_lines, table
+from wellspark.session import work_folder
 from wellspark.sources import annotations as an
 
 NULLS = "('', 'N/A', 'NaN', 'null', 'NULL', '-', 'missing', 'n/a')"
@@ -35,7 +36,7 @@ SELECT "timestamp", source_file, line_no, max(CASE WHEN name = 'value' THEN valu
 FROM (SELECT c.file AS source_file, c.row AS line_no, t."timestamp" AS "timestamp", name, CASE WHEN cell NOT IN {NULLS} THEN cell END AS value
   FROM named_log_cells c JOIN log_time t ON t.file = c.file AND t.row = c.row WHERE col <> 0) GROUP BY 1, 2, 3""")
 def log_03(spark, sf):
-    return lg.to_wide(timed(spark, sf, prefix=False), ["props", "user_id", "value"])
+    return lg.wide_by_position(log_lines(spark, sf), facts_of(spark, sf), ["props", "user_id", "value"], prefix=False)
 
 
 @query("log_04_original_times", 'SELECT source_file, line_no, "timestamp", timestamp_source, "column", value FROM log_long')
@@ -141,7 +142,18 @@ SELECT "timestamp", max(CASE WHEN "column" = 'click_props' THEN value END) AS cl
 FROM log_long GROUP BY source_file, line_no, "timestamp" """)
 def log_10(spark, sf):
     facts = facts_of(spark, sf)
-    return lg.to_wide(lg.with_time(log_lines(spark, sf), facts), lg.column_names(facts))
+    return lg.wide_by_position(log_lines(spark, sf), facts, lg.column_names(facts))
+
+
+@query("log_10b_by_header", f"""
+SELECT header, source_file, line_no, "timestamp", "column", value FROM (SELECT c.file AS source_file, c.row AS line_no, t."timestamp" AS "timestamp", name AS "column", CASE WHEN cell NOT IN {NULLS} THEN cell END AS value,
+  CASE WHEN split_part(c.file, '_', 1) IN ('error', 'signup') THEN 'event time,user_id,value' ELSE 'timestamp,value,props' END AS header FROM named_log_cells c JOIN log_time t ON t.file = c.file AND t.row = c.row)""")
+def log_10b(spark, sf):
+    """Rows written in groups of equal headers, and opened again with their names."""
+    base = work_folder(spark, "by-header")
+    lg.write_by_header(log_lines(spark, sf), facts_of(spark, sf), base)
+    named = spark.read.parquet(f"{base}/rows").join(spark.read.parquet(f"{base}/headers"), "header")
+    return named.select(F.array_join("names", ",").alias("header"), "source_file", "line_no", "timestamp", F.inline(F.arrays_zip(F.col("names").alias("column"), F.col("values").alias("value"))))
 
 
 @query("log_11_type_votes", """

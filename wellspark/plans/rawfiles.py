@@ -81,8 +81,11 @@ SELECT plate_id, well_id, "raw data", value_num, "raw mapping" FROM cut_wells FU
 def join_01c(spark, sf):
     """Plate files on disk, found by their ending, decoded, cut to wells and joined with the sample map."""
     base = work_folder(spark, "plate-files")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    whole = raw_lines(spark, sf).groupBy(F.col("file").alias("name")).agg(text.alias("value"))
+    by_no = F.map_from_entries(F.collect_list(F.struct("line_no", "line")))
+    grouped = raw_lines(spark, sf).groupBy(F.col("file").alias("name")).agg(by_no.alias("by_no"), F.max("line_no").alias("last"))
+    # A line number without a line is a blank line of the file.
+    text = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), "last"), lambda i: F.coalesce(F.try_element_at("by_no", i), F.lit(""))), "\n")
+    whole = grouped.select("name", text.alias("value"))
     whole.repartition("name").write.partitionBy("name").option("lineSep", "\r\n").text(base)
     read = fs.read_texts(fs.scan_files(spark, base, ["txt"]))
     lines = fs.to_lines(read.select(_named(F.col("file")).alias("file"), F.regexp_replace("text", "\r\n$", "").alias("text")))
