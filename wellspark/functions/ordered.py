@@ -70,14 +70,12 @@ def fill_forward(
     per_chunk = data.groupBy(*keys, _CHUNK).agg(
         *[pick(F.col(f"__v_{o}"), F.when(F.col(f"__v_{o}").isNotNull(), at)).alias(f"__c_{o}") for o in values]
     )
-    if backward:
-        elsewhere = W.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(1, W.unboundedFollowing)
-        inside = W.partitionBy(*keys, _CHUNK).orderBy(*order).rowsBetween(0, W.unboundedFollowing)
-        take = F.first
-    else:
-        elsewhere = W.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(W.unboundedPreceding, -1)
-        inside = W.partitionBy(*keys, _CHUNK).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-        take = F.last
+    # Backward runs forward over the reversed order: a frame to the end of a partition is worked out anew for every row.
+    along = [F.col(o).desc() if backward else F.col(o).asc() for o in order]
+    chunks = F.col(_CHUNK).desc() if backward else F.col(_CHUNK).asc()
+    elsewhere = W.partitionBy(*keys).orderBy(chunks).rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy(*keys, _CHUNK).orderBy(*along).rowsBetween(W.unboundedPreceding, 0)
+    take = F.last
     carried = per_chunk.select(
         *keys, _CHUNK, *[take(f"__c_{o}", ignorenulls=True).over(elsewhere).alias(f"__k_{o}") for o in values]
     )

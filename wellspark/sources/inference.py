@@ -60,8 +60,8 @@ def column_kinds(spark: SparkSession, paths: str | list[str], delimiter: str = "
     rows = to_records(lines, known).filter(F.col("record").rlike(r"\S")).select("file", "row", "n_lines", split_record(F.col("record"), F.lit(delimiter)).alias("cells"))
     heads = rows.filter("row = 0").select("file", F.col("cells").alias("names"))
     data = rows.filter("row > 0").join(heads, "file").select("names", "n_lines", F.posexplode("cells").alias("col", "cell"))
-    number = F.regexp_replace(F.trim("cell"), "[+-]", "")
-    bits = kind_bit(F.col("cell"))
+    data = data.withColumn("bits", kind_bit(F.col("cell")))
+    number, bits = F.regexp_replace(F.trim("cell"), "[+-]", ""), F.col("bits")
     digits = F.when(bits.bitwiseAND(INTEGER | WIDE | FRACTION) > 0, F.length(F.substring_index(number, ".", 1)))
     scale = F.when(bits == FRACTION, F.length(F.regexp_extract(number, r"\.(.*)$", 1)))
     kinds = data.groupBy("names", "col").agg(F.bit_or(bits).alias("kinds"), F.max(digits).alias("digits"), F.max(scale).alias("scale"), F.max(F.col("n_lines") > 1).alias("many_lines"))
